@@ -68,3 +68,20 @@ APPROVAL_TERMS = [
     "phone",
 ]
 APPROVAL_ANY = "|".join(APPROVAL_TERMS)
+# Claims that need a reviewer, besides the approval terms.
+CLAIM_WORDS = (
+    r"\b(best|#1|number one|guarantee|guaranteed|certified|revenue|award-winning|official partner|trusted by"
+    r"|customers include|clients include)\b"
+)
+REVIEW_APPROVAL = "(?i)" + APPROVAL_ANY + "|" + CLAIM_WORDS
+# Markers of a reference that carries a secret.
+SECRET_REFERENCE = r"(?i:(?:token|api_key|apikey|secret|password)=)|^(?:sk-|gh[pousr]_|xox)"
+# Credentials that must not reach a published artifact.
+CREDENTIAL_LEAK = r"AIza[0-9A-Za-z_-]{20,}|Bearer\s+[0-9A-Za-z._-]+"
+# Local paths cut from exports.
+LOCAL_PATHS = [
+    (r"""/Users/[A-Za-z0-9._-]+/[^\s"')<>,]+""", "[redacted-local-path]"),
+    (r"""/home/[A-Za-z0-9._-]+/[^\s"')<>,]+""", "[redacted-local-path]"),
+    (r"""[A-Za-z]:\\Users\\[A-Za-z0-9._-]+\\[^\s"')<>,]+""", "[redacted-local-path]"),
+]
+EXPORT_URL = r"""https?://[^\s"')<>,]+"""
