@@ -134,7 +134,7 @@ OWNERS = {
 # Default budgets of an audited site: metric -> (limit, unit).
 BUDGETS = {
     "lcp-ms": 2500.0, "inp-ms": 200.0, "cls": 0.1, "ttfb-ms": 800.0, "document-fetch-ms": 1200.0, "total-js-kb": 250.0,
-    "third-party-js-kb": 120.0, "total-css-kb": 100.0, "image-kb": 1000.0, "render-blocking-requests": 6.0,
+    "third-party-js-kb": 120.0, "total-css-kb": 100.0, "image-bytes-kb": 1000.0, "render-blocking-requests": 6.0,
     "total-requests": 80.0,
 }
 # The 22 well-known paths probed on every site.

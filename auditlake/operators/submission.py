@@ -3,31 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls as u
+from auditlake.operators.ranking import ranked
 
 
-def submission_batches(urls: DataFrame, *, batch_size: int = 10_000, range_buckets: int = 64) -> DataFrame:
-    """Distinct URLs on their approved host, numbered into batches.
-
-    Positions are exact without sorting a whole host in one task: URLs get a hash bucket, the bucket sizes give each
-    bucket its start, and ranks are taken inside (host, bucket). One bucket gives plain URL order."""
+def submission_batches(urls: DataFrame, *, batch_size: int = 10_000, buckets: int = 64) -> DataFrame:
+    """Distinct URLs on their approved host, numbered into batches; a giant host is numbered bucket by bucket."""
     rows = (
         urls.select("approved_host", u.normalize_url(F.col("url")).alias("url"))
         .filter(u.hostname(F.col("url")) == F.col("approved_host"))
         .distinct()
-        .withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(range_buckets)))
-    )
-    sizes = rows.groupBy("approved_host", "bucket").agg(F.count("*").alias("n"))
-    before = W.partitionBy("approved_host").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("approved_host", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(W.partitionBy("approved_host", "bucket").orderBy("url"))
-    placed = rows.withColumn("rn", rank).join(starts, ["approved_host", "bucket"])
-    return placed.select(
-        "approved_host", "url", F.floor((F.col("start") + F.col("rn") - 1) / batch_size).alias("batch")
     )
+    placed = ranked(rows, ["approved_host"], F.pmod(F.xxhash64("url"), F.lit(buckets)), [F.col("url")], "position")
+    return placed.select("approved_host", "url", F.floor((F.col("position") - 1) / batch_size).alias("batch"))
 
 
 def valid_key(key: Column) -> Column:

@@ -2,3 +2,4 @@
 
 from auditlake.plans import q_pages  # noqa: F401
 from auditlake.plans import q_sites  # noqa: F401
+from auditlake.plans import q_scores  # noqa: F401
