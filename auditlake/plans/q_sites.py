@@ -316,8 +316,8 @@ def s4(spark, sf):
 
 # --- graph -------------------------------------------------------------------------------------------------
 # Link targets of the table never hit a crawled URL, so an edge list between pages is derived from the ids.
-EDGE_SQL = """SELECT DISTINCT site_id, 'r0' AS run_id, src, dst FROM (SELECT 'https://h' || CAST(l_suppkey % 50 AS STRING) || '.example' AS site_id, 'https://h' || CAST(l_suppkey % 50 AS STRING) || '.example/p/' || CAST(l_partkey % 97 AS STRING) AS src,
- 'https://h' || CAST(l_suppkey % 50 AS STRING) || '.example/' || CASE WHEN l_linenumber = 7 THEN 'admin/' ELSE 'p/' END || CAST((l_partkey * 7 + l_orderkey) % 211 AS STRING) AS dst FROM lineitem WHERE l_quantity > 45)"""
+EDGE_SQL = """SELECT DISTINCT site_id, 'r0' AS run_id, src, dst FROM (SELECT 'https://h' || CAST(l_suppkey AS STRING) || '.example' AS site_id, 'https://h' || CAST(l_suppkey AS STRING) || '.example/p/' || CAST(l_partkey % 97 AS STRING) AS src,
+ 'https://h' || CAST(l_suppkey AS STRING) || '.example/' || CASE WHEN l_linenumber = 7 THEN 'admin/' ELSE 'p/' END || CAST((l_partkey * 7 + l_orderkey) % 211 AS STRING) AS dst FROM lineitem)"""
 EDGES = f"edges AS ({EDGE_SQL})"
 
 
