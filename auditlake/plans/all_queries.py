@@ -5,3 +5,4 @@ from auditlake.plans import q_sites  # noqa: F401
 from auditlake.plans import q_scores  # noqa: F401
 from auditlake.plans import q_field  # noqa: F401
 from auditlake.plans import q_rules  # noqa: F401
+from auditlake.plans import q_compare  # noqa: F401
