@@ -13,23 +13,27 @@ GROUP = [*SITE, "rule_id", "title", "category", "severity"]
 SCOREABLE = ["open", "warning"]
 
 
-def finding_groups(findings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """Scoreable findings grouped by (rule, title, category, severity) with instance, URL and template counts.
+FACT = "array<struct<kind:string,value:string>>"
+
 
-    Every finding is turned into its own row plus one row per URL and template; counting first by value and then by
-    group spreads a group of any size, and needs no multi-distinct expansion."""
+def finding_facts(findings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Scoreable findings as long rows: the finding itself, and one row per URL and template it names."""
     rows = findings.filter(F.col("status").isin(SCOREABLE))
     if allowed is not None:
         rows = rows.join(allowed, [*SITE, "rule_id"], "left_semi")
+    named = lambda kind, column: F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     facts = F.concat(
         F.array(F.struct(F.lit("f").alias("kind"), F.lit(None).cast("string").alias("value"))),
-        F.transform(
-            F.concat("affected_urls", "evidence_urls"), lambda v: F.struct(F.lit("u").alias("kind"), v.alias("value"))
-        ),
-        F.transform("affected_templates", lambda v: F.struct(F.lit("t").alias("kind"), v.alias("value"))),
+        named("u", F.concat("affected_urls", "evidence_urls")),
+        named("t", F.col("affected_templates")),
     )
-    long = rows.select(*GROUP, "confidence", F.explode(facts).alias("x"))
-    by_value = long.groupBy(*GROUP, "x.kind", "x.value").agg(
+    return rows.select(*GROUP, "confidence", F.explode(facts).alias("x")).select(*GROUP, "confidence", "x.kind", "x.value")
+
+
+def group_facts(facts: DataFrame) -> DataFrame:
+    """Counts per (rule, title, category, severity). Counting by value first and by group afterwards spreads a
+    group of any size over the tasks, and needs no multi-distinct expansion."""
+    by_value = facts.groupBy(*GROUP, "kind", "value").agg(
         F.count("*").alias("n"), F.max("confidence").alias("confidence")
     )
     return by_value.groupBy(*GROUP).agg(
@@ -40,6 +44,10 @@ def finding_groups(findings: DataFrame, allowed: DataFrame | None = None) -> Dat
     )
 
 
+def finding_groups(findings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    return group_facts(finding_facts(findings, allowed))
+
+
 def penalty(severity: Column, confidence: Column, repeats: Column) -> Column:
     """Base plus capped repeat penalty, both scaled by the clamped confidence."""
     factor = clamp(confidence.cast("double"), 0.0, 100.0) / F.lit(100.0)

@@ -19,6 +19,7 @@ from auditlake.plans import q_scores as qs
 from auditlake.plans.q_pages import snapshots
 from auditlake.plans.q_rules import MISS, SMAP, sitemap_urls
 from auditlake.plans.registry import query
+from auditlake.session import materialise
 
 
 def sides(spark, sf):
@@ -229,7 +230,7 @@ V4 = f"""v4 AS (SELECT site_id, 'site.pages-crawled' AS check_id, 0 AS n_bad FRO
 
 @query("V4_scan_artifacts", o.with_([*o.PAGE_CTES, o.ENDPOINTS, SMAP, V4], "SELECT site_id, check_id, CAST(n_bad AS BIGINT) AS n_bad, CASE WHEN n_bad = 0 THEN 'passed' ELSE 'failed' END AS status FROM v4"))
 def v4(spark, sf):
-    snap = snapshots(spark, sf)
+    snap = materialise(snapshots(spark, sf), "snapshots")
     nodes, edges = g.nodes_and_edges(snap, p.page_links(snap))
     ep = inputs.endpoint_raw(spark, sf)
     return ck.scan_artifacts(snap, ep, sitemap_urls(ep), g.uncrawled_links(edges, nodes)).drop("run_id")

@@ -15,6 +15,7 @@ from auditlake.plans import oracle as o
 from auditlake.plans.q_pages import RES, snapshots
 from auditlake.plans.q_sites import LABEL, VAR, variants
 from auditlake.plans.registry import query
+from auditlake.session import materialise
 
 KINDS = " ".join(f"WHEN bool_or(regexp_matches(t, {o.q(pattern)})) THEN '{name}'" for name, pattern in it.SITE_TYPES)
 STYPE = f"stype AS (SELECT site_id, CASE {KINDS} ELSE 'content' END AS site_type FROM (SELECT site_id, lower(final_url || chr(10) || body_excerpt || chr(10) || array_to_string(types, ' ')) AS t FROM snap) GROUP BY site_id)"
@@ -67,9 +68,14 @@ pf AS (SELECT page_id, site_id, final_url AS affected_url, rule_id, CASE WHEN ru
  CASE WHEN rule_id = 'SEO-TECH-001' AND status < 500 THEN 'high' ELSE severity END AS severity FROM (SELECT page_id, site_id, final_url, status, unnest([{_LIST}]) AS rule_id FROM snap s JOIN stype USING (site_id)) JOIN ttl USING (rule_id) WHERE rule_id IS NOT NULL)"""
 
 
+def silver(spark, sf):
+    """Snapshots written once; page, group and site rules all read the written table."""
+    return materialise(p.with_json_ld_types(snapshots(spark, sf)), "snapshots")
+
+
 def prepared(spark, sf):
-    s = p.with_json_ld_types(snapshots(spark, sf))
-    return r.prepare_pages(s, it.site_types(s))
+    s = silver(spark, sf)
+    return r.prepare_pages(s, materialise(it.site_types(s), "site-types"))
 
 
 @query("R_page_rule_findings", o.with_([*o.PAGE_CTES, STYPE, PF], "SELECT * FROM pf"))
@@ -104,7 +110,7 @@ def group_rules(spark, sf):
 
 @query("R_duplicate_members", o.with_([*o.PAGE_CTES, DUP], "SELECT rule_id, final_url AS affected_url, n FROM (SELECT *, count(*) OVER (PARTITION BY rule_id, k) AS n FROM dk WHERE k <> '') WHERE n > 1"))
 def duplicate_members(spark, sf):
-    keys = r.duplicate_keys(whole_table(snapshots(spark, sf)))
+    keys = materialise(r.duplicate_keys(whole_table(snapshots(spark, sf))), "duplicate-keys")
     groups = r.duplicate_groups(keys)
     members = r.duplicate_members(keys, groups)
     sizes = groups.select("rule_id", "key_hash", F.col("n_pages").alias("n"))
@@ -122,12 +128,12 @@ def sitemap_urls(ep):
 
 @query("R_SEO_SITEMAP_011", o.with_([*o.PAGE_CTES, o.ENDPOINTS, SMAP, MISS], "SELECT * FROM miss"))
 def sitemap_011(spark, sf):
-    return r.missing_from_sitemap(snapshots(spark, sf), sitemap_urls(inputs.endpoint_raw(spark, sf))).select("site_id", "page_id", "affected_url")
+    return r.missing_from_sitemap(silver(spark, sf), sitemap_urls(inputs.endpoint_raw(spark, sf))).select("site_id", "page_id", "affected_url")
 
 
 @query("R_SEO_INTL_001", o.with_(o.PAGE_CTES, "SELECT site_id, page_id, final_url AS affected_url FROM snap WHERE n_hre = 0 AND site_id IN (SELECT site_id FROM snap WHERE n_hre > 0)"))
 def intl_001(spark, sf):
-    return r.missing_hreflang(snapshots(spark, sf)).select("site_id", "page_id", "affected_url")
+    return r.missing_hreflang(silver(spark, sf)).select("site_id", "page_id", "affected_url")
 
 
 def _ep(path, what="ok"):
@@ -183,8 +189,10 @@ SITE_CTES = [*o.PAGE_CTES, STYPE, o.ENDPOINTS, SMAP, MISS, WIDE, _TITLES, SF]
 
 
 def site_findings(spark, sf):
-    snap = p.with_json_ld_types(snapshots(spark, sf))
-    ep = inputs.endpoint_raw(spark, sf)
+    return site_findings_of(silver(spark, sf), inputs.endpoint_raw(spark, sf))
+
+
+def site_findings_of(snap, ep):
     maps = sitemap_urls(ep)
     missing = r.missing_from_sitemap(snap, maps).groupBy("site_id", "run_id").agg(F.count("*").alias("n_missing_from_sitemap"))
     sites = snap.select("site_id", "run_id").distinct()
@@ -361,7 +369,7 @@ AG = "ag AS (SELECT site_id, count(*) AS n_agent, count(*) FILTER (severity = 'c
  CAST(mcp_ok AS INT) AS mcp_discovery_available, CAST(cat_ok AS INT) AS api_catalog_available, CAST(skill_ok AS INT) AS agent_skills_available, n_agent AS agent_readiness_findings, n_crit AS critical_agent_readiness_findings,
  CAST(greatest(0, least(100, 100 - pen + CASE WHEN llms_ok THEN 8 ELSE 0 END + CASE WHEN md THEN 6 ELSE 0 END + CASE WHEN mcp_ok THEN 4 ELSE 0 END + CASE WHEN cat_ok THEN 4 ELSE 0 END + CASE WHEN skill_ok THEN 4 ELSE 0 END)) AS INT) AS score FROM (SELECT *, regexp_matches(md_type, '(?i)markdown|text/plain') AS md FROM sj) JOIN ag USING (site_id) JOIN aw USING (site_id)"""))
 def i13(spark, sf):
-    ep = inputs.endpoint_raw(spark, sf)
+    ep, snap = inputs.endpoint_raw(spark, sf), silver(spark, sf)
     wide = r.endpoint_wide(ep)
     ok = lambda path: F.coalesce(F.col(r.probe(path))["ok"], F.lit(False))
     kind = F.col(r.probe(dims.MARKDOWN_PROBE))["content_type"]
@@ -369,12 +377,37 @@ def i13(spark, sf):
         "site_id", "run_id", ok("/llms.txt").alias("has_llms"), F.coalesce(kind.rlike("(?i)markdown|text/plain"), F.lit(False)).alias("has_markdown"),
         ok("/.well-known/mcp.json").alias("has_mcp"), ok("/.well-known/api-catalog").alias("has_api_catalog"), ok("/.well-known/agent-skills/index.json").alias("has_skills"),
     )
-    found = r.with_catalogue(site_findings(spark, sf)).filter(F.col("category").isin("agent_readiness", "protocol_discovery", "api_auth_mcp", "policy"))
+    found = r.with_catalogue(site_findings_of(snap, ep)).filter(F.col("category").isin("agent_readiness", "protocol_discovery", "api_auth_mcp", "policy"))
     points = it.lookup(F.col("severity"), it.AGENT_PENALTY)
     agent = found.groupBy("site_id", "run_id").agg(
         F.count("*").alias("n_agent_findings"), F.count_if(F.col("severity") == "critical").alias("n_critical_agent"), F.sum(points).alias("agent_penalty")
     )
-    words = snapshots(spark, sf).groupBy("site_id", "run_id").agg(F.count("*").alias("n_pages"), F.avg("word_count").alias("avg_words"))
+    words = snap.groupBy("site_id", "run_id").agg(F.count("*").alias("n_pages"), F.avg("word_count").alias("avg_words"))
     key = ["site_id", "run_id"]
     joined = flags.join(agent, key, "left").join(words, key).join(d.sitemap_url_counts(ep), key, "left").fillna(0, ["n_sitemap_urls", "n_agent_findings", "n_critical_agent", "agent_penalty"])
     return it.agent_experience(joined).drop("run_id")
+
+
+# --- the whole audit ----------------------------------------------------------------------------------------
+_CATC = "cc(rule_id, category, confidence) AS (VALUES " + dims.values_sql([(x["rule_id"], x["category"], x["confidence"]) for x in dims.EMITTED]) + ")"
+_D = "::DOUBLE"
+_SEV = lambda table: "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}{_D}" for k, v in table.items()) + " END"
+SITE_ONLY = "sfa AS (SELECT * FROM sf WHERE rule_id NOT IN ('SEO-PERF-001', 'SEO-PERF-022', 'SEO-SEARCH-001', 'SEO-SEARCH-002'))"
+REFS = f"refs AS (SELECT site_id, 'SEO-SITEMAP-008' AS rule_id, unnest({o.private_refs('map')}) AS ref FROM sj UNION ALL SELECT site_id, 'AR-LLMS-008', unnest({o.private_refs('llms')}) FROM sj UNION ALL SELECT site_id, 'AR-MCP-005', 'delete_order' FROM sj)"
+FACTS = """fct AS (SELECT site_id, rule_id, title, severity, 'f' AS kind, NULL AS value FROM pf UNION ALL SELECT site_id, rule_id, title, severity, 'u', affected_url FROM pf
+ UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM (SELECT site_id, rule_id, k FROM dk WHERE k <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1) JOIN ttl USING (rule_id)
+ UNION ALL SELECT site_id, rule_id, title, severity, 'u', final_url FROM (SELECT *, count(*) OVER (PARTITION BY site_id, rule_id, k) AS n FROM dk WHERE k <> '') JOIN ttl USING (rule_id) WHERE n > 1
+ UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM sfa UNION ALL SELECT site_id, rule_id, title, severity, 'u', site_id FROM sfa UNION ALL SELECT sfa.site_id, sfa.rule_id, title, severity, 't', ref FROM sfa JOIN refs USING (site_id, rule_id)),
+gf AS (SELECT site_id, rule_id, title, category, severity, any_value(confidence) AS confidence, count(*) FILTER (kind = 'f') AS nf, count(DISTINCT value) FILTER (kind = 'u') AS nu, count(DISTINCT value) FILTER (kind = 't') AS nt FROM fct JOIN cc USING (rule_id) GROUP BY 1, 2, 3, 4, 5),
+gp AS (SELECT *, """ + f"({_SEV(dims.BASE_PENALTY)}) * confidence / 100.0{_D} + least(greatest(0, greatest(nf, nu, nt) - 1){_D} * ({_SEV(dims.STEP_PENALTY)}) * confidence / 100.0{_D}, ({_SEV(dims.CAP_PENALTY)}) * confidence / 100.0{_D}) AS penalty FROM gf)"
+_MAP = {**dims.AREAS, "total": dims.PROFILES["core_seo"]}
+_AMAP = "am(area, category) AS (VALUES " + dims.values_sql([(k, c) for k, cs in _MAP.items() for c in cs]) + ")"
+_SC = "CAST(greatest(0, least(100, floor(round(100.0::DOUBLE - coalesce(sum(penalty) FILTER (area = '{a}'), 0), 6) + 0.5))) AS INT)"
+
+
+@query("A_site_audit", o.with_([*SITE_CTES, PF.split(",\n", 1)[1], DUP, _CATC, SITE_ONLY, REFS, FACTS, _AMAP, "wide2 AS (SELECT st.site_id, " + ", ".join(f'{_SC.replace("{a}", a)} AS "{a}"' for a in _MAP) + " FROM stype st LEFT JOIN gp USING (site_id) LEFT JOIN am USING (category) GROUP BY 1)"],
+    "SELECT *, CASE WHEN total >= 90 THEN 'excellent' WHEN total >= 75 THEN 'strong' WHEN total >= 60 THEN 'medium' WHEN total >= 40 THEN 'weak' ELSE 'critical' END AS level FROM wide2"))
+def site_audit_query(spark, sf):
+    from auditlake.plans.audit import site_audit
+
+    return site_audit(spark, sf).drop("run_id")

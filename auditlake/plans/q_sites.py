@@ -16,6 +16,7 @@ from auditlake.plans import inputs
 from auditlake.plans import oracle as o
 from auditlake.plans.q_pages import snapshots
 from auditlake.plans.registry import query
+from auditlake.session import materialise
 
 # URL variants derived from every page: fragments, ports, case, private paths, files and text that is no URL.
 VARIANT_SQL = """page_id, url, CASE page_id % 12 WHEN 0 THEN url || '#part' WHEN 1 THEN replace(url, '.example.', '.EXAMPLE.') WHEN 2 THEN replace(replace(url, '.com/', '.com:443/'), 'http:', 'https:')
@@ -385,7 +386,7 @@ def g7(spark, sf):
 
 @query("G8_uncrawled_links", o.with_([o.RP, o.TAGS, o.LINKS], "SELECT DISTINCT site_id, dst AS url FROM links JOIN (SELECT page_id, site_id FROM rp) USING (page_id) WHERE internal AND dst NOT IN (SELECT url FROM rp)"))
 def g8(spark, sf):
-    s = snapshots(spark, sf)
+    s = materialise(snapshots(spark, sf), "snapshots")
     nodes, e = g.nodes_and_edges(s, p.page_links(s))
     return g.uncrawled_links(e, nodes).select("site_id", "url")
 

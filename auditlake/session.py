@@ -49,3 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table several consumers read (silver snapshots, site roll-ups) and reads it back.
+
+    Parsing happens once, lineage ends at files in the shared folder, and the reader's size is known to the
+    planner, so small roll-ups are broadcast by size and large ones are not."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
