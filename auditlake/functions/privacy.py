@@ -13,17 +13,28 @@ from auditlake.functions.binding import bind
 is_private_url = u.is_private_url
 
 
+def _may_hold(text: Column) -> Column:
+    """Plain substring tests every private form needs; far cheaper than a pattern scan of long prose."""
+    marks = ["/", "=", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox"]
+    out = text.contains(marks[0])
+    for mark in marks[1:]:
+        out = out | text.contains(mark)
+    return out
+
+
 def private_references(text: Column) -> Column:
     """Every private URL of a text, then the first hit of each pattern, distinct, in that order."""
+    none = F.array().cast("array<string>")
     found = F.regexp_extract_all(text, F.lit(pat.URL_IN_TEXT), F.lit(0))
-    private = F.filter(found, lambda x: u.is_private_url(x))
+    private = F.when(text.contains("://"), F.filter(found, u.is_private_url)).otherwise(none)
     # One pass tells whether the single-pattern passes are needed at all; most texts stop here.
     firsts = F.filter(
         F.array(*[F.regexp_extract(text, p, 0) for p in pat.PRIVATE_PATHS + pat.SECRET_SHAPES]), lambda x: x != ""
     )
-    return F.when(text.rlike(pat.PRIVATE_ANY), F.array_distinct(F.concat(private, firsts))).otherwise(
+    hits = F.when(text.rlike(pat.PRIVATE_ANY), F.array_distinct(F.concat(private, firsts))).otherwise(
         F.array_distinct(private)
     )
+    return F.when(_may_hold(text), hits).otherwise(F.when(text.isNotNull(), none))
 
 
 def redact_assignments(text: Column) -> Column:

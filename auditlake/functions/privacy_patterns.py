@@ -28,7 +28,8 @@ SECRET_SHAPES = [
     r"gh[pousr]_[A-Za-z0-9_]{20,}",
     r"xox[baprs]-[A-Za-z0-9-]{20,}",
 ]
-PRIVATE_ANY = "|".join(PRIVATE_PATHS + SECRET_SHAPES)
+# The same areas behind one slash: a single scan instead of one per area.
+PRIVATE_ANY = "|".join(["(?i:/(?:" + "|".join(PRIVATE_AREAS) + ")(?:/|$))", *SECRET_SHAPES])
 SECRET_ANY = "|".join(SECRET_SHAPES)
 URL_IN_TEXT = r"""(?i)https?://[^\s"'<>),]+"""
 # Query keys whose value is never published.

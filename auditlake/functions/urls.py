@@ -15,6 +15,9 @@ from auditlake.functions.privacy_patterns import PRIVATE_ANY
 SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*):[/\\]{2}([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 PATH_KEEP = r"!$%&'()*+,\-./0-9:;=@A-Z\[\]_a-z|~"
 QUERY_KEEP = r"!$%&()*+,\-./0-9:;=?@A-Z\[\\\]\^_`a-z{|}~"
+# Most URLs of a lake are already in normal form; these two tests let them skip the general work.
+PLAIN_URL = rf"^https?://[a-z0-9.-]+/[{PATH_KEEP}]*(?:\?[{QUERY_KEEP}]*)?$"
+PLAIN_ORIGIN = r"^(https?://[a-z0-9.-]+)(?:[/?#]|$)"
 # Fixed list: file extensions never crawled.
 BLOCKED_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "webp", "svg", "pdf", "zip", "mp4", "mp3", "woff", "woff2"]
 # Fixed list: path segments that stay literal in a route pattern.
@@ -33,10 +36,6 @@ STATIC_SEGMENTS = [
 ]
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, SPLIT, group)
-
-
 def _encode(text: Column, keep: str) -> Column:
     """Percent-encode what the standard encodes; text that needs nothing takes the short way."""
     runs = F.regexp_extract_all(text, F.lit(f"[{keep}]+|[^{keep}]+"), F.lit(0))
@@ -90,9 +89,23 @@ def _authority(scheme: Column, raw: Column) -> Column:
     return bind(host, check)
 
 
+_CUT = "\x01"
+
+
 def url_parts(url: Column) -> Column:
-    """struct<scheme,auth,path,query> of an absolute URL; compute it once per page and pass it as the base."""
-    return F.struct(*[_part(url, i).alias(n) for i, n in enumerate(("scheme", "auth", "path", "query"), 1)])
+    """struct<scheme,auth,path,query> of an absolute URL, all empty when it is none.
+
+    One pattern match marks the borders and one split takes the parts; compute it once per page as the base."""
+    marked = F.regexp_replace(url, SPLIT, _CUT.join(["$1", "$2", "$3", "$4"]))
+
+    def take(parts: Column) -> Column:
+        part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+        whole = F.size(parts) == 4
+        return F.struct(
+            *[F.when(whole, part(i)).otherwise("").alias(n) for i, n in enumerate(("scheme", "auth", "path", "query"))]
+        )
+
+    return bind(F.split(marked, _CUT, -1), take)
 
 
 def _absolute(text: Column, base: Column) -> Column:
@@ -127,10 +140,15 @@ def normalize_url(url: Column, base: Column | None = None) -> Column:
     """Absolute http(s) form without fragment and default port; NULL where it is not such a URL.
 
     ``base`` is the struct made by :func:`url_parts`."""
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", ""), "(?s)#.*$", "")
-    absolute = text if base is None else bind(text, lambda t: _absolute(t, base))
-    absolute = F.regexp_replace(absolute, r"^(?i)(https?):[/\\]*", "$1://")
-    return bind(bind(absolute, url_parts), _rebuild)
+
+    def general(u: Column) -> Column:
+        text = F.regexp_replace(u, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+        text = F.regexp_replace(text, "(?s)#.*$", "")
+        absolute = text if base is None else bind(text, lambda t: _absolute(t, base))
+        absolute = F.regexp_replace(absolute, r"^(?i)(https?):[/\\]*", "$1://")
+        return bind(bind(absolute, url_parts), _rebuild)
+
+    return F.when(url.rlike(PLAIN_URL) & ~url.contains("/."), url).otherwise(general(url))
 
 
 def admit_href(href: Column, base: Column) -> Column:
@@ -153,7 +171,8 @@ def origin(url: Column) -> Column:
         auth = F.regexp_replace(_authority(scheme, parts["auth"]), "^.*@", "")
         return F.when(scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), auth))
 
-    return bind(url_parts(url), build)
+    plain = F.regexp_extract(url, PLAIN_ORIGIN, 1)
+    return bind(plain, lambda p: F.when(p != "", p).otherwise(bind(url_parts(url), build)))
 
 
 def same_origin(left: Column, right: Column) -> Column:
@@ -165,8 +184,7 @@ def is_http_url(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    path = _part(url, 3)
-    return F.when(_part(url, 1) != "", F.when(path == "", F.lit("/")).otherwise(path))
+    return bind(url_parts(url), lambda p: F.when(p["scheme"] != "", F.when(p["path"] == "", "/").otherwise(p["path"])))
 
 
 def hostname(url: Column) -> Column:
@@ -176,30 +194,27 @@ def hostname(url: Column) -> Column:
 
 def is_private_url(url: Column) -> Column:
     """Private path or secret in path and query; text that is no URL is tested as a whole."""
-    scheme = _part(url, 1)
-    target = F.when(scheme == "", url).otherwise(
-        F.concat(F.when(_part(url, 3) == "", F.lit("/")).otherwise(_part(url, 3)), _part(url, 4))
+
+    def target(p: Column) -> Column:
+        path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
+        return F.when(p["scheme"] == "", url).otherwise(F.concat(path, p["query"]))
+
+    # A private form somewhere in the text is necessary, so the URL is only taken apart where one is.
+    return F.when(url.rlike(PRIVATE_ANY), bind(url_parts(url), target).rlike(PRIVATE_ANY)).otherwise(
+        F.when(url.isNotNull(), F.lit(False))
     )
-    return target.rlike(PRIVATE_ANY)
 
 
 def is_safe_crawl_url(url: Column, site_origin: Column) -> Column:
-    extension = F.element_at(F.split(F.lower(F.coalesce(url_path(url), F.lit("/"))), r"\."), -1)
-    return (
-        is_http_url(url) & same_origin(url, site_origin) & ~is_private_url(url) & ~extension.isin(BLOCKED_EXTENSIONS)
-    )
+    blocked = F.lower(url_path(url)).rlike(r"\.(?:" + "|".join(BLOCKED_EXTENSIONS) + ")$")
+    has_dot = F.regexp_replace(url, "^[a-z]+://[^/]*", "").contains(".")
+    # Cheapest tests first: most links pass without their path being taken apart.
+    return same_origin(url, site_origin) & ~is_private_url(url) & ~F.when(has_dot, blocked).otherwise(F.lit(False))
 
 
 def canonical_form(url: Column) -> Column:
     """Comparison form: no fragment, no trailing slash unless the path is the root. NULL for bad URLs."""
-
-    def cut(parts: Column) -> Column:
-        path = F.regexp_replace(parts["path"], "(.)/$", "$1")
-        return F.when(
-            parts["scheme"] != "", F.concat(parts["scheme"], F.lit("://"), parts["auth"], path, parts["query"])
-        )
-
-    return bind(bind(normalize_url(url), url_parts), cut)
+    return F.regexp_replace(normalize_url(url), r"^(https?://[^/?#]+/[^?]*)/(\?|$)", "$1$2")
 
 
 def queue_form(url: Column) -> Column:

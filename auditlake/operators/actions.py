@@ -226,16 +226,20 @@ def search_opportunity(item_urls: DataFrame, search_rows: DataFrame, keys: list[
 
     Search rows are summed per normalised page first, so the join meets one row per page and a hot page is
     already combined."""
-    pages = (
+    sums = [
+        F.sum("clicks").alias("clicks"),
+        F.sum("impressions").alias("impressions"),
+        F.sum("weighted").alias("weighted"),
+        F.sum("n_rows").alias("n_rows"),
+    ]
+    # Summed by page text first: the comparison form is then computed once per distinct page.
+    by_page = (
         search_rows.filter(F.col("page").isNotNull() & (F.col("page") != ""))
-        .groupBy("site_id", u.queue_form(F.col("page")).alias("form"))
-        .agg(
-            F.sum("clicks").alias("clicks"),
-            F.sum("impressions").alias("impressions"),
-            F.sum(F.col("position") * F.col("impressions")).alias("weighted"),
-            F.count("*").alias("n_rows"),
-        )
+        .withColumns({"weighted": F.col("position") * F.col("impressions"), "n_rows": F.lit(1)})
+        .groupBy("site_id", "page")
+        .agg(*sums)
     )
+    pages = by_page.groupBy("site_id", u.queue_form(F.col("page")).alias("form")).agg(*sums)
     urls = item_urls.select(*keys, u.queue_form(F.col("url")).alias("form"))
     joined = urls.join(pages, ["site_id", "form"])
     return joined.groupBy(*keys).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import privacy as x
 from auditlake.functions import urls as u
-from auditlake.session import cut_lineage
+from auditlake.session import cut_lineage, materialise
 
 SITE = ["site_id", "run_id"]
 
@@ -31,6 +31,8 @@ def crawl_depth(
     safe = edges.filter(u.is_safe_crawl_url(F.col("dst"), F.col("site_id"))).select(*SITE, "src", "dst")
     if blocked_sites is not None:
         safe = safe.join(blocked_sites.select(*SITE), SITE, "left_anti")
+    # Read once per level, so the checked edges are written once.
+    safe = materialise(safe, "safe-edges")
     levels = [cut_lineage(seeds.select(*SITE, "url").distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, max_depth + 1):
         seen = reduce(DataFrame.unionByName, levels).select(*SITE, "url")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,14 @@ TECH_PATTERNS = [
     (r"/_next/image|\?url=.*image", "image", "next-image", 78),
     (r"server-rendered|__next_data__|window\.__nuxt__", "rendering", "hybrid-rendering", 76),
 ]
+# Substrings one of which every match of the pattern with that number contains.
+TECH_LITERALS = [
+    ["/_next/", "__next_data__", "x-nextjs", "next-router"], ["next.js"], ["astro"], ["nuxt"], ["/_app/immutable", "data-sveltekit"],
+    ["sveltekit", "svelte-kit"], ["gatsby"], ["docusaurus"], ["wp-content", "wp-includes", "wordpress"], ["shopify"],
+    ["webflow", "wf-page"], ["netlify", "x-nf-"], ["vercel"], ["cf-cache-status", "cloudflare"], ["fastly", "x-served-by"],
+    ["googletagmanager", "gtm.js"], ["google-analytics", "gtag("], ["plausible.io"], ["posthog"], ["/assets/", 'type="module"', "vite"],
+    ["/_next/image", "?url="], ["server-rendered", "__next_data__", "window.__nuxt__"],
+]
 SOURCE_WEIGHT = {"repo": 40, "browser": 28, "asset_path": 18, "headers": 12, "endpoint": 8, "inference": 6, "dns": 5, "html": 0}
 STRUCTURAL = ["repo", "asset_path", "headers", "endpoint"]
 # What a dependency reveals.
@@ -126,9 +136,13 @@ def evidence_excerpt(text: Column, pattern: str) -> Column:
 def text_signals(texts: DataFrame) -> DataFrame:
     """Signals of each (site, source, text); the 22 patterns are tried inside the row, hits only are exploded."""
     t = F.col("text")
+
+    def any_of(words: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [t.contains(w) for w in words])
+
     hits = [
         F.when(
-            t.rlike(p),
+            any_of(words) & t.rlike(p),
             F.struct(
                 F.lit(cat).alias("category"),
                 F.lit(name).alias("name"),
@@ -136,7 +150,7 @@ def text_signals(texts: DataFrame) -> DataFrame:
                 evidence_excerpt(t, p).alias("evidence"),
             ),
         )
-        for p, cat, name, conf in TECH_PATTERNS
+        for (p, cat, name, conf), words in zip(TECH_PATTERNS, TECH_LITERALS, strict=True)
     ]
     rows = texts.select(*SITE, "source", "ord", F.lower("text").alias("text"))
     long = rows.select(*SITE, "source", "ord", F.explode(F.array_compact(F.array(*hits))).alias("s")).select(*SITE, "source", "ord", "s.*")

@@ -71,9 +71,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts, dealt out where they come in fewer files than there are cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Pages are costly to parse. Where the scan has fewer files than cores (small data) its rows are dealt out;
-    a lake of many files is read as it is."""
+    """Text is costly to scan. Where the table has fewer files than cores (small data) its rows are dealt out;
+    a lake of many files is read as it is, without any exchange."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 

@@ -51,7 +51,7 @@ def p3(spark, sf):
 
 @query("P4_entity_decode", f"SELECT doc_id, md5({o.decode('t')}) AS decoded_md5 FROM (SELECT doc_id, replace(replace(text, ' the ', ' &amp;lt; '), ' and ', ' &quot;&nbsp;') AS t FROM documents)")
 def p4(spark, sf):
-    docs = inputs.table(spark, sf, "documents").select(
+    docs = inputs.texts(spark, sf).select(
         "doc_id", F.expr("replace(replace(text, ' the ', ' &amp;lt; '), ' and ', ' &quot;&nbsp;')").alias("t")
     )
     return docs.select("doc_id", F.md5(m.decode_entities(F.col("t"))).alias("decoded_md5"))
@@ -177,7 +177,7 @@ def p22(spark, sf):
     url = F.concat(
         F.lit("https://"), "source", F.lit(".example/f/x."), F.element_at(exts, (F.col("doc_id") % 10).cast("int") + 1), F.lit("?v=1")
     )
-    return inputs.table(spark, sf, "documents").select("doc_id", res.resource_type(url, "other").alias("type"))
+    return inputs.texts(spark, sf).select("doc_id", res.resource_type(url, "other").alias("type"))
 
 
 @query("P23_third_party", o.with_([o.RP, RES], "SELECT page_id, url, same_origin, NOT same_origin AS third_party FROM res"))

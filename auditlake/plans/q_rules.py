@@ -249,7 +249,7 @@ MARKED = f"marked AS (SELECT {MARK_SQL} FROM documents)"
 
 
 def marked(spark, sf):
-    return inputs.table(spark, sf, "documents").selectExpr(*inputs._split(MARK_SQL))
+    return inputs.texts(spark, sf).selectExpr(*inputs._split(MARK_SQL))
 
 
 @query("I2_first_page_framework", o.with_([MARKED], f"SELECT site_id, arg_min({FRAMES}, ord) AS framework FROM (SELECT *, lower('server:x' || chr(10) || text) AS t FROM marked) GROUP BY 1"))

@@ -85,12 +85,12 @@ def u8(spark, sf):
         F.when(F.col("doc_id") % 6 == 5, F.col("doc_id").cast("string")).otherwise(F.substring("text", 1, 9)),
     )
     base = u.url_parts(F.lit("https://base.example/d/page.html"))
-    return inputs.table(spark, sf, "documents").select("doc_id", u.admit_href(h, base).alias("admitted"))
+    return inputs.texts(spark, sf).select("doc_id", u.admit_href(h, base).alias("admitted"))
 
 
 @query("U11_text_shape", f"SELECT doc_id, CASE WHEN {o.trim('t')} = '' THEN 'empty' ELSE substr({o.sub(o.sub(o.sub(o.trim('t'), '[A-Z][a-z]+', 'Word'), '[0-9]+', '0'), '[' + u.JS_SPACE + ']+', ' ')}, 1, 80) END AS shape FROM (SELECT doc_id, text AS t FROM documents)")
 def u11(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", u.text_shape(F.col("text")).alias("shape"))
+    return inputs.texts(spark, sf).select("doc_id", u.text_shape(F.col("text")).alias("shape"))
 
 
 @query("U14_site_slug", "SELECT c_custkey, regexp_replace(regexp_replace(lower(translate(c_name || ' Café & Co', 'áàâäéèêëíîïóôöúûüçñ', 'aaaaeeeeiiiooouuucn')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer")
@@ -123,7 +123,7 @@ SEC = f"sec AS (SELECT {SECRET_SQL} FROM documents)"
 
 
 def secrets(spark, sf):
-    return inputs.table(spark, sf, "documents").selectExpr(*inputs._split(SECRET_SQL))
+    return inputs.texts(spark, sf).selectExpr(*inputs._split(SECRET_SQL))
 
 
 @query("X1_private_url", o.with_([VAR], f"SELECT page_id, v, regexp_matches(CASE WHEN regexp_matches(v, '^[a-z]+://') THEN coalesce(nullif(regexp_extract(v, '^[a-z]+://[^/?#]+([^#]*)', 1), ''), '/') ELSE v END, {o.q(pat.PRIVATE_ANY)}) AS is_private FROM vv"))
@@ -182,13 +182,13 @@ APPROVAL_SQL = "doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' The author writes'
 
 @query("X7_approval_text", f"SELECT doc_id, regexp_matches(lower(body), {o.q(pat.APPROVAL_ANY)}) AS needs_approval FROM (SELECT {APPROVAL_SQL} FROM documents)")
 def x7(spark, sf):
-    docs = inputs.table(spark, sf, "documents").selectExpr(*inputs._split(APPROVAL_SQL))
+    docs = inputs.texts(spark, sf).selectExpr(*inputs._split(APPROVAL_SQL))
     return docs.select("doc_id", x.needs_approval(F.col("body")).alias("needs_approval"))
 
 
 @query("X10_review_approval", f"SELECT doc_id, regexp_matches(body, {o.q(pat.REVIEW_APPROVAL)}) AS needs_review FROM (SELECT {APPROVAL_SQL} FROM documents)")
 def x10(spark, sf):
-    docs = inputs.table(spark, sf, "documents").selectExpr(*inputs._split(APPROVAL_SQL))
+    docs = inputs.texts(spark, sf).selectExpr(*inputs._split(APPROVAL_SQL))
     return docs.select("doc_id", x.needs_review_approval(F.col("body")).alias("needs_review"))
 
 
@@ -199,7 +199,7 @@ def x11(spark, sf):
 
 @query("X12_credential_leak", f"SELECT doc_id, regexp_matches(body, {o.q(pat.CREDENTIAL_LEAK)}) AS leaks FROM (SELECT doc_id, text || CASE doc_id % 9 WHEN 0 THEN ' Bearer abc.def' WHEN 1 THEN ' AIzaAAAAAAAAAAAAAAAAAAAAAAAA' ELSE '' END AS body FROM documents)")
 def x12(spark, sf):
-    docs = inputs.table(spark, sf, "documents").selectExpr(
+    docs = inputs.texts(spark, sf).selectExpr(
         "doc_id", "text || CASE doc_id % 9 WHEN 0 THEN ' Bearer abc.def' WHEN 1 THEN ' AIzaAAAAAAAAAAAAAAAAAAAAAAAA' ELSE '' END AS body"
     )
     return docs.select("doc_id", F.to_json(F.struct("body")).rlike(pat.CREDENTIAL_LEAK).alias("leaks"))
@@ -312,7 +312,7 @@ def s3(spark, sf):
 @query("S4_body_excerpt", "SELECT doc_id, length(substr(text, 1, 4000)) AS n, md5(substr(text, 1, 4000)) AS excerpt_md5 FROM documents")
 def s4(spark, sf):
     cut = F.substring("text", 1, 4000)
-    return inputs.table(spark, sf, "documents").select("doc_id", F.length(cut).alias("n"), F.md5(cut).alias("excerpt_md5"))
+    return inputs.texts(spark, sf).select("doc_id", F.length(cut).alias("n"), F.md5(cut).alias("excerpt_md5"))
 
 
 # --- graph -------------------------------------------------------------------------------------------------
