@@ -18,6 +18,7 @@ WS = r"\t\n\f\r "
 COMMENT = r"<!--(?s:.*?)(?:-->|\z)"
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TAG = r"<(/?)[" + WS + r"]*+([A-Za-z0-9:-]++)(" + ATTRS + r")>"
+TAG_NAME = "^</?[" + WS + "]*+([A-Za-z0-9:-]++)"
 TOKEN = COMMENT + "|" + TAG
 ATTR_NAME = r"""[^\x00-\x20"'/=>]++"""
 ATTR_VALUE = r"""(?:"[^"]*+"?|'[^']*+'?|[^""" + WS + r""">"'][^""" + WS + r""">]*+|)"""
@@ -69,14 +70,27 @@ DROP_TAIL = r"(?is)<(?:script|style)[" + WS + r"/][^>]*+\z"
 ANY_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 
 
+LEFT_OPEN = r"(?i)<s(?:cript|tyle)[>/" + WS + "]"
+
+
 def visible_text(html: Column) -> Column:
-    """Text a reader sees: scripts and styles with their content, comments and tags removed, entities decoded."""
-    out = F.regexp_replace(html, DROP_ELEMENTS, " ")
-    out = F.regexp_replace(out, DROP_OPENERS, "")
-    out = F.regexp_replace(out, DROP_TAIL, "")
-    out = F.regexp_replace(out, ANY_COMMENT, " ")
-    out = F.regexp_replace(collapse_space(out), TAG, " ")
-    return js_trim(collapse_space(decode_entities(out)))
+    """Text a reader sees: scripts and styles with their content, comments and tags removed, entities decoded.
+
+    Passes that most pages do not need are behind a plain substring test."""
+
+    def leftovers(t: Column) -> Column:
+        cut = F.regexp_replace(F.regexp_replace(t, DROP_OPENERS, ""), DROP_TAIL, "")
+        return F.when(t.rlike(LEFT_OPEN), cut).otherwise(t)
+
+    def comments(t: Column) -> Column:
+        return F.when(t.contains("<!--"), F.regexp_replace(t, ANY_COMMENT, " ")).otherwise(t)
+
+    def entities(t: Column) -> Column:
+        return F.when(t.contains("&"), decode_entities(t)).otherwise(t)
+
+    out = bind(F.regexp_replace(html, DROP_ELEMENTS, " "), leftovers)
+    out = F.regexp_replace(bind(out, comments), TAG, " ")
+    return js_trim(collapse_space(bind(out, entities)))
 
 
 def _attr_struct(token: Column) -> Column:
@@ -112,10 +126,11 @@ def tag_stream(html: Column, names: list[str] | None = None, attributes: bool =
         raw = F.filter(raw, lambda t: ~t.startswith("<!--"))
 
     def build(token: Column) -> Column:
-        closing = F.regexp_extract(token, TAG, 1) == "/"
-        text = F.when(closing, F.lit("")).otherwise(F.regexp_extract(token, TAG, 3))
+        closing = token.startswith("</")
+        body = F.regexp_replace(token, TAG_NAME, "")
+        text = F.when(closing, F.lit("")).otherwise(F.left(body, F.length(body) - 1))
         fields = [
-            F.lower(F.regexp_extract(token, TAG, 2)).alias("name"),
+            F.lower(F.regexp_extract(token, TAG_NAME, 1)).alias("name"),
             closing.alias("closing"),
             text.alias("attrs_text"),
         ]

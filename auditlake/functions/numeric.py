@@ -34,8 +34,13 @@ def rank_case(value: Column, order: list[str], default: int | None = None) -> Co
 
 
 def lookup(value: Column, table: dict, default=None) -> Column:
-    """Small fixed dictionary as a CASE expression."""
-    out = F.lit(default)
-    for key, val in reversed(list(table.items())):
-        out = F.when(value == key, F.lit(val)).otherwise(out)
-    return out
+    """Small fixed dictionary as a constant map; a missing key gives the default."""
+
+    def literal(v) -> str:
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else repr(v)
+
+    entries = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), value)
+    return found if default is None else F.coalesce(found, F.lit(default))

@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 from auditlake.functions import privacy_patterns as pat
 from auditlake.functions import urls as u
 from auditlake.functions.binding import bind
+from auditlake.functions.text import ascii_edges
 
 is_private_url = u.is_private_url
 
@@ -39,9 +40,7 @@ def private_references(text: Column) -> Column:
 
 def redact_assignments(text: Column) -> Column:
     """key=value secrets and three token families."""
-    out = F.regexp_replace(
-        text, r"""(?i)\b(api[_-]?key|secret|password|token)\s*[:=]\s*["']?[^"'\s&]{8,}""", "$1=[REDACTED]"
-    )
+    out = F.regexp_replace(text, ascii_edges(pat.ASSIGNMENT), "$1=[REDACTED]")
     out = F.regexp_replace(out, r"sk-[A-Za-z0-9_-]{20,}", "sk-[REDACTED]")
     out = F.regexp_replace(out, r"gh[pousr]_[A-Za-z0-9_]{20,}", "gh[REDACTED]")
     return F.regexp_replace(out, r"xox[baprs]-[A-Za-z0-9-]{20,}", "xox[REDACTED]")
@@ -142,7 +141,7 @@ def needs_approval(text: Column) -> Column:
 
 
 def needs_review_approval(text: Column) -> Column:
-    return text.rlike(pat.REVIEW_APPROVAL)
+    return text.rlike(ascii_edges(pat.REVIEW_APPROVAL))
 
 
 def is_secret_like(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Fixed patterns of the privacy scan."""
 
+from auditlake.functions.markup import JS_SPACE
+
 # Path parts that mark a private area.
 PRIVATE_AREAS = [
     "admin",
@@ -31,7 +33,10 @@ SECRET_SHAPES = [
 # The same areas behind one slash: a single scan instead of one per area.
 PRIVATE_ANY = "|".join(["(?i:/(?:" + "|".join(PRIVATE_AREAS) + ")(?:/|$))", *SECRET_SHAPES])
 SECRET_ANY = "|".join(SECRET_SHAPES)
-URL_IN_TEXT = r"""(?i)https?://[^\s"'<>),]+"""
+URL_IN_TEXT = "(?i)https?://[^" + JS_SPACE + r"""\"'<>),]+"""
+ASSIGNMENT = (
+    r"(?i)\b(api[_-]?key|secret|password|token)[" + JS_SPACE + "]*[:=][" + JS_SPACE + r"""]*[\"']?[^\"'&""" + JS_SPACE + "]{8,}"
+)
 # Query keys whose value is never published.
 SENSITIVE_KEYS = [
     "access_token",
@@ -80,9 +85,10 @@ SECRET_REFERENCE = r"(?i:(?:token|api_key|apikey|secret|password)=)|^(?:sk-|gh[p
 # Credentials that must not reach a published artifact.
 CREDENTIAL_LEAK = r"AIza[0-9A-Za-z_-]{20,}|Bearer\s+[0-9A-Za-z._-]+"
 # Local paths cut from exports.
+_REST = "[^" + JS_SPACE + r"""\"')<>,]+"""
 LOCAL_PATHS = [
-    (r"""/Users/[A-Za-z0-9._-]+/[^\s"')<>,]+""", "[redacted-local-path]"),
-    (r"""/home/[A-Za-z0-9._-]+/[^\s"')<>,]+""", "[redacted-local-path]"),
-    (r"""[A-Za-z]:\\Users\\[A-Za-z0-9._-]+\\[^\s"')<>,]+""", "[redacted-local-path]"),
+    ("/Users/[A-Za-z0-9._-]+/" + _REST, "[redacted-local-path]"),
+    ("/home/[A-Za-z0-9._-]+/" + _REST, "[redacted-local-path]"),
+    (r"[A-Za-z]:\\Users\\[A-Za-z0-9._-]+\\" + _REST, "[redacted-local-path]"),
 ]
-EXPORT_URL = r"""https?://[^\s"')<>,]+"""
+EXPORT_URL = "https?://" + _REST

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numeric import round_half_up
+from auditlake.functions.text import ascii_edges
 from auditlake.operators.ranking import nearest_ranks, top_k
 
 VITALS = ["LCP", "INP", "CLS", "TTFB", "FCP"]
@@ -152,7 +153,7 @@ def inspections(raw: DataFrame) -> DataFrame:
 
 def indexed_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     ok = F.col("status") == "ok"
-    indexed = ok & F.coalesce((F.col("verdict") == "PASS") | F.coalesce("coverage_state", F.lit("")).rlike(INDEXED), F.lit(False))
+    indexed = ok & F.coalesce((F.col("verdict") == "PASS") | F.coalesce("coverage_state", F.lit("")).rlike(ascii_edges(INDEXED)), F.lit(False))
     out = rows.groupBy(*keys).agg(F.count_if(indexed).alias("indexed"), F.count_if(ok).alias("n_ok"))
     return out.select(*keys, "indexed", (F.col("n_ok") - F.col("indexed")).alias("not_indexed"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import urls as u
 from auditlake.functions.binding import bind
 from auditlake.functions.numeric import clamp, lookup
+from auditlake.functions.text import ascii_edges
 from auditlake.operators.ranking import top_k
 
 SITE = ["site_id", "run_id"]
@@ -33,7 +34,7 @@ def site_types(pages: DataFrame) -> DataFrame:
     """Site type: per page six flags, OR-ed per site map-side, first true in order. Text never leaves its row."""
     text = page_text(F.col("json_ld_types") if "json_ld_types" in pages.columns else None)
     flagged = pages.select(*SITE, text.alias("t")).select(
-        *SITE, *[F.col("t").rlike(p).alias(f"is_{i}") for i, (_, p) in enumerate(SITE_TYPES)]
+        *SITE, *[F.col("t").rlike(ascii_edges(p)).alias(f"is_{i}") for i, (_, p) in enumerate(SITE_TYPES)]
     )
     any_ = flagged.groupBy(*SITE).agg(*[F.bool_or(f"is_{i}").alias(f"is_{i}") for i in range(len(SITE_TYPES))])
     out = F.lit("content")
@@ -142,12 +143,12 @@ def text_signals(texts: DataFrame) -> DataFrame:
 
     hits = [
         F.when(
-            any_of(words) & t.rlike(p),
+            any_of(words) & t.rlike(ascii_edges(p)),
             F.struct(
                 F.lit(cat).alias("category"),
                 F.lit(name).alias("name"),
                 F.lit(conf).alias("confidence"),
-                evidence_excerpt(t, p).alias("evidence"),
+                evidence_excerpt(t, ascii_edges(p)).alias("evidence"),
             ),
         )
         for (p, cat, name, conf), words in zip(TECH_PATTERNS, TECH_LITERALS, strict=True)
@@ -235,18 +236,33 @@ def route_templates(pages: DataFrame) -> DataFrame:
 INDEX_FILE = r"(^|/)(index|page)\.[cm]?[jt]sx?$|(^|/)\+page\.svelte$|(^|/)index\.astro$"
 
 
+GRAM = 3
+
+
 def template_sources(templates: DataFrame, route_files: DataFrame, k: int = 5) -> DataFrame:
     """Route files whose path contains the first segment of a pattern, best confidence first, else the first files.
 
-    The containment test runs inside the site join; the number of distinct first segments bounds the left side."""
+    Containment is an equality on the segment's first characters: every file is listed under its own short
+    substrings, and only files that share the start of a segment are tested for the whole of it. So patterns and files
+    of one site never meet pairwise."""
     seg = F.regexp_replace(F.regexp_extract("url_pattern", "^/([^/]*)", 1), "^:", "")
     left = templates.select("site_id", "url_pattern", seg.alias("segment")).distinct()
     files = route_files.select("site_id", "path", "confidence", "ord")
     low = F.lower("path")
-    fits = F.when(F.col("url_pattern") == "/", low.rlike(INDEX_FILE)).otherwise(
-        (F.col("segment") != "") & low.contains(F.col("segment"))
+    gram = lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n))
+    )
+    grams = F.array_distinct(F.flatten(F.array(*[gram(n) for n in range(1, GRAM + 1)])))
+    keyed = files.select("*", F.explode(grams).alias("gram"))
+    by_text = (
+        left.filter("url_pattern <> '/' AND segment <> ''")
+        .withColumn("gram", F.substring("segment", 1, GRAM))
+        .join(keyed, ["site_id", "gram"])
+        .filter(low.contains(F.col("segment")))
     )
-    matched = left.join(files, "site_id").filter(fits)
+    cols = ["site_id", "url_pattern", "path", "confidence", "ord"]
+    home = left.filter("url_pattern = '/'").join(files.filter(low.rlike(INDEX_FILE)), "site_id")
+    matched = by_text.select(*cols).unionByName(home.select(*cols))
     best = top_k(matched, ["site_id", "url_pattern"], [F.col("confidence").desc(), F.col("ord")], k)
     bare = left.join(best.select("site_id", "url_pattern").distinct(), ["site_id", "url_pattern"], "left_anti")
     first = top_k(files, ["site_id"], [F.col("ord")], k)
@@ -297,10 +313,10 @@ def file_kind(path: Column, frameworks: Column) -> Column:
     kind = lambda k, conf: F.struct(F.lit(k).alias("kind"), F.lit(conf).alias("confidence"))
     out = F.lit(None)
     for k, conf, pattern, part in reversed(LATE_KINDS):
-        out = F.when(parts[part].rlike(pattern), kind(k, conf)).otherwise(out)
+        out = F.when(parts[part].rlike(ascii_edges(pattern)), kind(k, conf)).otherwise(out)
     out = F.when(route, kind("route", 82)).otherwise(out)
     for k, conf, pattern, part in reversed(FILE_KINDS):
-        out = F.when(parts[part].rlike(pattern), kind(k, conf)).otherwise(out)
+        out = F.when(parts[part].rlike(ascii_edges(pattern)), kind(k, conf)).otherwise(out)
     return out
 
 

@@ -203,8 +203,7 @@ def page_snapshots(page_raw: DataFrame) -> DataFrame:
 def with_json_ld_types(snapshots: DataFrame) -> DataFrame:
     """Adds json_ld_types, the distinct types over the page's valid blocks.
 
-    The recursive walk runs in an Arrow worker, so pages without any block never reach it: the
-    column sent to Python is NULL for them and the worker skips NULLs."""
+    The recursive walk runs in an Arrow worker; pages without any block send NULL, which it skips."""
     valid = F.transform(F.filter("json_ld", lambda b: ~b["parse_error"]), lambda b: b["raw"])
     return snapshots.withColumn(
         "json_ld_types",

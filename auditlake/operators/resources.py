@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import markup as m
 from auditlake.functions import urls as u
 from auditlake.functions.binding import bind
+from auditlake.functions.text import ascii_edges
 
 KEYS = ["site_id", "run_id", "page_id"]
 # This scan is simpler than the tag grammar on purpose: comments and quoted '>' are not special in it.
@@ -119,7 +120,7 @@ def page_resources(page_raw: DataFrame) -> DataFrame:
 
     def parse(part: Column, in_head: bool) -> Column:
         return F.transform(
-            F.regexp_extract_all(part, F.lit(RESOURCE_TAG), F.lit(0)),
+            F.regexp_extract_all(part, F.lit(ascii_edges(RESOURCE_TAG)), F.lit(0)),
             lambda t: F.struct(
                 F.lower(F.regexp_extract(t, RESOURCE_NAME, 1)).alias("name"),
                 _attrs(F.regexp_replace(F.regexp_replace(t, RESOURCE_NAME, ""), r">$", "")).alias("attrs"),

@@ -15,6 +15,7 @@ from auditlake.functions import privacy as x
 from auditlake.functions import urls as u
 from auditlake.functions.json_walk import json_keys, risky_tool_names
 from auditlake.functions.numeric import lookup
+from auditlake.functions.text import ascii_edges
 from auditlake.operators.pages import first_heading_jump, with_json_ld_types
 
 SITE = ["site_id", "run_id"]
@@ -113,7 +114,7 @@ def page_rule_structs() -> list[Column]:
             local
             & ~has_key("openingHours", "openingHoursSpecification")
             & ~c("body_excerpt").rlike(
-                r"(?i)\b(?:open|hours|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"
+                ascii_edges(r"(?i)\b(?:open|hours|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b")
             ),
         ),
         _emit("SEO-ECOM-001", shop & _types_lack("Product")),
@@ -123,7 +124,7 @@ def page_rule_structs() -> list[Column]:
             shop
             & _types_lack("MerchantReturnPolicy")
             & ~has_key("hasMerchantReturnPolicy", "merchantReturnPolicy")
-            & ~c("body_excerpt").rlike(r"(?i)\breturn(?:s| policy)?\b"),
+            & ~c("body_excerpt").rlike(ascii_edges(r"(?i)\breturn(?:s| policy)?\b")),
         ),
     ]
 

@@ -144,7 +144,7 @@ def x3(spark, sf):
 def _redact(c):
     c = f"replace({c}, 'https://x.example/?token=abcdefabcdef1234', 'https://x.example/?redacted_sensitive_query=1')"
     c = f"replace({c}, 'https://u.example/p?step=confirm&session=9&x=1', 'https://u.example/p?step=confirm&x=1&redacted_sensitive_query=1')"
-    c = o.sub(c, r"""(?i)\b(api[_-]?key|secret|password|token)\s*[:=]\s*["']?[^"'\s&]{8,}""", r"\1=[REDACTED]")
+    c = o.sub(c, pat.ASSIGNMENT, r"\1=[REDACTED]")
     c = o.sub(c, r"sk-[A-Za-z0-9_-]{20,}", "sk-[REDACTED]")
     c = o.sub(c, r"gh[pousr]_[A-Za-z0-9_]{20,}", "gh[REDACTED]")
     return o.sub(c, r"xox[baprs]-[A-Za-z0-9-]{20,}", "xox[REDACTED]")
