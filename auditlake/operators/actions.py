@@ -117,26 +117,48 @@ def source_candidates(finding_kinds: DataFrame, repo_files: DataFrame) -> DataFr
     return best.filter(F.col("rank") <= F.col("max_files")).select("site_id", "rule_id", "rank", "path", "kind")
 
 
-def first_by_rule(findings: DataFrame) -> DataFrame:
-    """The first finding of each rule in a run speaks for it; a min over a struct combines map-side."""
-    cols = ["title", "severity", "category", "approval_required", "safe_to_auto_fix", "n_affected"]
-    return (
-        findings.groupBy(*SITE, "rule_id")
-        .agg(F.min(F.struct("ord", *cols)).alias("f"))
-        .select(*SITE, "rule_id", *[F.col(f"f.{c}").alias(c) for c in cols])
+FIRST = ["title", "severity", "category", "approval_required", "safe_to_auto_fix", "n_affected"]
+
+
+def queue_facts(findings: DataFrame) -> DataFrame:
+    """The one pass over the findings that plan and queue need: per group and option the count, the flags, the evidence
+    and the first finding. Everything below works on these few rows; minima over structs combine map-side."""
+    return findings.groupBy(*GROUP, "recommendation", "fix_class").agg(
+        F.count("*").alias("n"),
+        F.sum("evidence_count").alias("evidence"),
+        F.bool_or("safe_to_auto_fix").alias("safe"),
+        F.bool_or("approval_required").alias("approval"),
+        F.min(F.struct("ord", *FIRST)).alias("first"),
+        F.min(F.struct("ord", "effort", "risk")).alias("option"),
     )
 
 
-def unique_options(findings: DataFrame) -> DataFrame:
-    """Remediation options, first of each (rule, advice, fix class, path) kept."""
-    return findings.groupBy(*SITE, "rule_id", "recommendation", "fix_class").agg(
-        F.min("ord").alias("ord"), F.min_by("effort", "ord").alias("effort"), F.min_by("risk", "ord").alias("risk")
+def first_by_rule(facts: DataFrame) -> DataFrame:
+    """The first finding of each rule in a run speaks for it."""
+    firsts = facts.groupBy(*SITE, "rule_id").agg(F.min("first").alias("f"))
+    return firsts.select(*SITE, "rule_id", *[F.col(f"f.{c}").alias(c) for c in FIRST])
+
+
+def unique_options(facts: DataFrame) -> DataFrame:
+    """Remediation options, first of each (rule, advice, fix class) kept."""
+    best = facts.groupBy(*SITE, "rule_id", "recommendation", "fix_class").agg(F.min("option").alias("o"))
+    return best.select(*SITE, "rule_id", "recommendation", "fix_class", "o.ord", "o.effort", "o.risk")
+
+
+def last_groups(facts: DataFrame) -> DataFrame:
+    """Count and evidence of the last group of each rule in the order severity, count, title: it wins the lookup by rule."""
+    groups = facts.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.sum("evidence").alias("evidence"))
+    order = F.struct(
+        rank_case(F.col("severity"), dims.SEVERITIES).alias("k1"), (-F.col("n")).alias("k2"), F.col("title").alias("k3")
+    )
+    return groups.groupBy(*SITE, "rule_id").agg(
+        F.max_by("n", order).alias("instances"), F.max_by("evidence", order).alias("n_evidence")
     )
 
 
-def plan(findings: DataFrame) -> DataFrame:
+def plan(facts: DataFrame) -> DataFrame:
     """Options with the keys of their order and their phase (NULL where no phase applies)."""
-    options = unique_options(findings).join(first_by_rule(findings), [*SITE, "rule_id"])
+    options = unique_options(facts).join(first_by_rule(facts), [*SITE, "rule_id"])
     c = F.col
     open_ = c("fix_class") != "approval_required"
     agent = c("category").isin(AGENT)
@@ -183,19 +205,11 @@ def finding_groups(findings: DataFrame) -> DataFrame:
     return base.join(urls, GROUP, "left").fillna(0, ["n_urls"])
 
 
-def queue(findings: DataFrame) -> DataFrame:
+def queue(facts: DataFrame) -> DataFrame:
     """Queue items: every option with its first finding and the last group of the rule, then the rules left over."""
-    groups = finding_groups(findings)
-    # Groups are ordered by severity, count and id; the last of a rule wins its lookup.
-    keyed = F.struct(
-        rank_case(F.col("severity"), dims.SEVERITIES).alias("k1"), (-F.col("n_findings")).alias("k2"), F.col("title").alias("k3")
-    )
-    last = groups.groupBy(*SITE, "rule_id").agg(
-        F.max_by("n_findings", keyed).alias("instances"), F.max_by("n_evidence", keyed).alias("n_evidence")
-    )
-    firsts = first_by_rule(findings)
     c = F.col
-    has_option = findings.filter(c("fix_class") != "not_applicable")
+    firsts, last = first_by_rule(facts), last_groups(facts)
+    has_option = facts.filter(c("fix_class") != "not_applicable")
     options = unique_options(has_option).join(firsts, [*SITE, "rule_id"]).join(last, [*SITE, "rule_id"])
     from_options = options.select(
         *SITE,

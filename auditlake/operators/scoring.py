@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake import dims
 from auditlake.functions.numeric import clamp, lookup
+from auditlake.session import materialise
 
 SITE = ["site_id", "run_id"]
 GROUP = [*SITE, "rule_id", "title", "category", "severity"]
@@ -16,11 +17,9 @@ SCOREABLE = ["open", "warning"]
 FACT = "array<struct<kind:string,value:string>>"
 
 
-def finding_facts(findings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def finding_facts(findings: DataFrame) -> DataFrame:
     """Scoreable findings as long rows: the finding itself, and one row per URL and template it names."""
     rows = findings.filter(F.col("status").isin(SCOREABLE))
-    if allowed is not None:
-        rows = rows.join(allowed, [*SITE, "rule_id"], "left_semi")
     named = lambda kind, column: F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     facts = F.concat(
         F.array(F.struct(F.lit("f").alias("kind"), F.lit(None).cast("string").alias("value"))),
@@ -44,8 +43,13 @@ def group_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def finding_groups(findings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    return group_facts(finding_facts(findings, allowed))
+def finding_groups(findings: DataFrame) -> DataFrame:
+    return group_facts(finding_facts(findings))
+
+
+def allowed_groups(groups: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Groups of allow-listed rules. The rule is part of the group key, so the few groups are filtered, not the findings."""
+    return groups.join(allowed, [*SITE, "rule_id"], "left_semi")
 
 
 def penalty(severity: Column, confidence: Column, repeats: Column) -> Column:
@@ -93,7 +97,9 @@ def stable_measured(ledger: DataFrame) -> DataFrame:
 
 def primary_total(runs: DataFrame, findings: DataFrame, ledger: DataFrame | None) -> DataFrame:
     """Core score over stable measured rules; without any evaluation every rule counts."""
-    groups = finding_groups(findings, None if ledger is None else stable_measured(ledger))
+    groups = finding_groups(findings)
+    if ledger is not None:
+        groups = allowed_groups(groups, stable_measured(ledger))
     scores = scores_by(runs, with_penalty(groups), {"total": dims.PROFILES["core_seo"]}, "profile")
     return scores.select(*SITE, F.col("score").alias("total"), level(F.col("score")).alias("level"))
 
@@ -124,13 +130,15 @@ def coverage(ledger: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def profiles(runs: DataFrame, findings: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Four profiles; only the core one is restricted to stable measured rules."""
+    """Four profiles; only the core one is restricted to stable measured rules.
+
+    Findings are grouped once; the written groups and ledger serve every profile."""
+    penalties = materialise(with_penalty(finding_groups(findings)), "penalties")
+    ledger = materialise(ledger, "ledger")
     core = {"core_seo": dims.PROFILES["core_seo"]}
     rest = {k: v for k, v in dims.PROFILES.items() if k != "core_seo"}
-    restricted = with_penalty(finding_groups(findings, stable_measured(ledger)))
-    scores = scores_by(runs, restricted, core, "profile").unionByName(
-        scores_by(runs, with_penalty(finding_groups(findings)), rest, "profile")
-    )
+    restricted = allowed_groups(penalties, stable_measured(ledger))
+    scores = scores_by(runs, restricted, core, "profile").unionByName(scores_by(runs, penalties, rest, "profile"))
     member = ledger.select("*", F.explode(_memberships(dims.PROFILES)).alias("profile"))
     return scores.join(coverage(member, [*SITE, "profile"]), [*SITE, "profile"], "left").withColumn(
         "level", level(F.col("score"))

@@ -218,7 +218,7 @@ V3_BOARD = {"dashboard.queue-title": "item_title <> ''", "dashboard.queue-owner"
 
 @query("V3_plan_contract", fi.with_([*qs.QUEUE_CTES, f"ph AS (SELECT site_id, run_id, fix_class, {qs.PHASE} AS phase_id FROM (SELECT *, {qs.AGENT} AS agent FROM opt JOIN fst USING (site_id, run_id, rule_id)))"], check_sql("ph", "site_id, run_id", V3_PLAN) + " UNION ALL " + check_sql("items", "site_id, run_id", V3_BOARD)))
 def v3(spark, sf):
-    return ck.plan_contract(a.plan(fi.findings(spark, sf)), qs.queue_items(spark, sf))
+    return ck.plan_contract(a.plan(qs.queue_facts(spark, sf)), qs.queue_items(spark, sf))
 
 
 V4 = f"""v4 AS (SELECT site_id, 'site.pages-crawled' AS check_id, 0 AS n_bad FROM snap GROUP BY 1 UNION ALL SELECT site_id, 'jsonld.parse', CAST(sum(n_bad) AS BIGINT) FROM snap GROUP BY 1 UNION ALL SELECT site_id, 'canonical.no-private', 0 FROM snap GROUP BY 1

@@ -12,6 +12,7 @@ from auditlake.operators import scoring as s
 from auditlake.plans import findings_input as fi
 from auditlake.plans import inputs
 from auditlake.plans.registry import query
+from auditlake.session import materialise
 
 SCORE = "CAST(greatest(0, least(100, floor(round(100.0::DOUBLE - coalesce({x}, 0), 6) + 0.5))) AS INT)"
 
@@ -190,24 +191,28 @@ PHASE = """CASE WHEN fix_class = 'approval_required' THEN 'user_decision_require
 AGENT = "category IN ('agent_readiness', 'protocol_discovery', 'api_auth_mcp', 'policy')"
 
 
+def queue_facts(spark, sf):
+    return materialise(a.queue_facts(fi.findings(spark, sf)), "queue-facts")
+
+
 @query("J4_option_order", fi.with_([FIRST, OPTS], f"SELECT site_id, run_id, rule_id, row_number() OVER (PARTITION BY site_id, run_id ORDER BY {PLAN_ORDER}) AS plan_rank FROM opt JOIN fst USING (site_id, run_id, rule_id)"))
 def j4(spark, sf):
-    return a.ordered_plan(a.plan(fi.findings(spark, sf))).select("site_id", "run_id", "rule_id", "plan_rank")
+    return a.ordered_plan(a.plan(queue_facts(spark, sf))).select("site_id", "run_id", "rule_id", "plan_rank")
 
 
 @query("J5_unique_options", fi.with_([OPTS], "SELECT * FROM opt"))
 def j5(spark, sf):
-    return a.unique_options(fi.findings(spark, sf)).select("site_id", "run_id", "rule_id", "recommendation", "fix_class", "ord", "effort", "risk")
+    return a.unique_options(queue_facts(spark, sf)).select("site_id", "run_id", "rule_id", "recommendation", "fix_class", "ord", "effort", "risk")
 
 
 @query("J6_phases", fi.with_([FIRST, OPTS], f"SELECT site_id, run_id, rule_id, {PHASE} AS phase_id FROM (SELECT *, {AGENT} AS agent FROM opt JOIN fst USING (site_id, run_id, rule_id))"))
 def j6(spark, sf):
-    return a.plan(fi.findings(spark, sf)).select("site_id", "run_id", "rule_id", "phase_id")
+    return a.plan(queue_facts(spark, sf)).select("site_id", "run_id", "rule_id", "phase_id")
 
 
 @query("J7_fix_class_split", fi.with_([OPTS], "SELECT site_id, run_id, fix_class, count(*) AS n FROM opt GROUP BY 1, 2, 3 UNION ALL SELECT site_id, run_id, 'policy', CASE WHEN run_id = 'r1' THEN 3 ELSE 1 END FROM runs"))
 def j7(spark, sf):
-    opts = a.unique_options(fi.findings(spark, sf)).groupBy("site_id", "run_id", "fix_class").agg(F.count("*").alias("n"))
+    opts = a.unique_options(a.queue_facts(fi.findings(spark, sf))).groupBy("site_id", "run_id", "fix_class").agg(F.count("*").alias("n"))
     new = F.col("run_id") == "r1"
     pol = fi.runs(spark, sf).select(
         "site_id", "run_id", F.when(new, "ask").otherwise("no").alias("ai_input"), F.when(new, "ask").otherwise("yes").alias("ai_train"),
@@ -274,7 +279,8 @@ QUEUE_CTES = [FIRST, OPTS, QG, LASTG, QUEUE]
 def queue_items(spark, sf):
     f = fi.findings(spark, sf)
     without = (F.col("run_id") == "r0") & (F.col("fix_class") == "safe_auto_fix")
-    return a.queue(f.withColumn("fix_class", F.when(without, "not_applicable").otherwise(F.col("fix_class"))))
+    optioned = f.withColumn("fix_class", F.when(without, "not_applicable").otherwise(F.col("fix_class")))
+    return a.queue(materialise(a.queue_facts(optioned), "queue-facts"))
 
 
 @query("J12_queue_rows", fi.with_(QUEUE_CTES, "SELECT * FROM items"))
@@ -329,7 +335,7 @@ QORDER = f"priority_score DESC, {SEVRANK}, CASE expected_impact WHEN 'high' THEN
 
 @query("J15_queue_order", fi.with_(SCORED_CTES, f"SELECT site_id, run_id, item_id, item_title, row_number() OVER (PARTITION BY site_id, run_id ORDER BY {QORDER}) AS queue_rank FROM scored"))
 def j15(spark, sf):
-    return a.ranked_queue(scored_items(spark, sf)).select("site_id", "run_id", "item_id", "item_title", "queue_rank")
+    return a.ranked_queue(materialise(scored_items(spark, sf), "queue")).select("site_id", "run_id", "item_id", "item_title", "queue_rank")
 
 
 @query("J16_highlights", fi.with_([*SCORED_CTES,
@@ -339,7 +345,7 @@ def j15(spark, sf):
     f"""SELECT site_id, run_id, 'next_best_fixes' AS list, list_rank, rule_id, item_id, item_title FROM best WHERE list_rank <= 8 UNION ALL SELECT site_id, run_id, 'top_wins', w, rule_id, item_id, item_title FROM win WHERE w <= 5
  UNION ALL SELECT site_id, run_id, 'top_risks', list_rank, rule_id, item_id, item_title FROM risk2 WHERE list_rank <= 5 UNION ALL SELECT site_id, run_id, 'approvals', row_number() OVER (PARTITION BY site_id, run_id ORDER BY {QORDER}), rule_id, item_id, item_title FROM scored WHERE approval_required"""))
 def j16(spark, sf):
-    return a.highlights(scored_items(spark, sf))
+    return a.highlights(materialise(scored_items(spark, sf), "queue"))
 
 
 QUAD = "CASE WHEN approval_required THEN ['strategic_approvals'] WHEN effort = 'small' AND expected_impact <> 'low' THEN ['quick_wins'] WHEN expected_impact = 'high' AND effort <> 'small' THEN ['major_projects'] ELSE ['fill_ins'] END"
