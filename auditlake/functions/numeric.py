@@ -33,6 +33,13 @@ def rank_case(value: Column, order: list[str], default: int | None = None) -> Co
     return out
 
 
+def name_of(code: Column, order: list[str]) -> Column:
+    """Enum value behind a position from :func:`rank_case`.
+
+    Aggregates carry positions instead of names: a buffer of numbers keeps the aggregation hash-based."""
+    return F.get(F.array(*[F.lit(x) for x in order]), code)
+
+
 def lookup(value: Column, table: dict, default=None) -> Column:
     """Small fixed dictionary as a constant map; a missing key gives the default."""
 

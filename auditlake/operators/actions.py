@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake import dims
 from auditlake.functions import urls as u
-from auditlake.functions.numeric import lookup, rank_case, round_half_up
+from auditlake.functions.numeric import lookup, name_of, rank_case, round_half_up
 from auditlake.functions.text import slugify
 from auditlake.operators.ranking import ranked, top_k
 
@@ -117,32 +117,44 @@ def source_candidates(finding_kinds: DataFrame, repo_files: DataFrame) -> DataFr
     return best.filter(F.col("rank") <= F.col("max_files")).select("site_id", "rule_id", "rank", "path", "kind")
 
 
-FIRST = ["title", "severity", "category", "approval_required", "safe_to_auto_fix", "n_affected"]
+RISKS = ["low", "medium", "high"]
 
 
 def queue_facts(findings: DataFrame) -> DataFrame:
     """The one pass over the findings that plan and queue need: per group and option the count, the flags, the evidence
-    and the first finding. Everything below works on these few rows; minima over structs combine map-side."""
+    and the first finding. Everything below works on these few rows.
+
+    Names inside the buffers are kept as positions, so this stays a hash aggregation with map-side combine."""
+    first = lambda c: F.min_by(c, F.col("ord"))
     return findings.groupBy(*GROUP, "recommendation", "fix_class").agg(
         F.count("*").alias("n"),
         F.sum("evidence_count").alias("evidence"),
-        F.bool_or("safe_to_auto_fix").alias("safe"),
-        F.bool_or("approval_required").alias("approval"),
-        F.min(F.struct("ord", *FIRST)).alias("first"),
-        F.min(F.struct("ord", "effort", "risk")).alias("option"),
+        F.min("ord").alias("ord"),
+        first(F.col("approval_required")).alias("approval_required"),
+        first(F.col("safe_to_auto_fix")).alias("safe_to_auto_fix"),
+        first(F.col("n_affected")).alias("n_affected"),
+        first(rank_case(F.col("effort"), EFFORTS)).alias("k_effort"),
+        first(rank_case(F.col("risk"), RISKS)).alias("k_risk"),
     )
 
 
 def first_by_rule(facts: DataFrame) -> DataFrame:
     """The first finding of each rule in a run speaks for it."""
-    firsts = facts.groupBy(*SITE, "rule_id").agg(F.min("first").alias("f"))
-    return firsts.select(*SITE, "rule_id", *[F.col(f"f.{c}").alias(c) for c in FIRST])
+    cols = ["title", "severity", "category", "approval_required", "safe_to_auto_fix", "n_affected"]
+    firsts = facts.groupBy(*SITE, "rule_id").agg(F.min(F.struct("ord", *cols)).alias("f"))
+    return firsts.select(*SITE, "rule_id", *[F.col(f"f.{c}").alias(c) for c in cols])
 
 
 def unique_options(facts: DataFrame) -> DataFrame:
     """Remediation options, first of each (rule, advice, fix class) kept."""
-    best = facts.groupBy(*SITE, "rule_id", "recommendation", "fix_class").agg(F.min("option").alias("o"))
-    return best.select(*SITE, "rule_id", "recommendation", "fix_class", "o.ord", "o.effort", "o.risk")
+    first = lambda c: F.min_by(c, "ord")
+    best = facts.groupBy(*SITE, "rule_id", "recommendation", "fix_class").agg(
+        F.min("ord").alias("ord"), first("k_effort").alias("k_effort"), first("k_risk").alias("k_risk")
+    )
+    return best.select(
+        *SITE, "rule_id", "recommendation", "fix_class", "ord", name_of(F.col("k_effort"), EFFORTS).alias("effort"),
+        name_of(F.col("k_risk"), RISKS).alias("risk"),
+    )
 
 
 def last_groups(facts: DataFrame) -> DataFrame:

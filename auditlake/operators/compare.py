@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake import dims
 from auditlake.functions import urls as u
+from auditlake.functions.numeric import name_of, rank_case
 from auditlake.operators.ranking import top_k
 
 HIGH = ["critical", "high"]
@@ -37,7 +39,8 @@ def scoped(findings: DataFrame) -> DataFrame:
         .otherwise(F.array(F.lit("unscoped")))
     )
     rows = findings.select("site_id", "rule_id", "severity", "ord", F.explode(scope).alias("scope"))
-    return rows.groupBy("site_id", "rule_id", "scope").agg(F.max_by("severity", "ord").alias("severity"))
+    rank = rank_case(F.col("severity"), dims.SEVERITIES)
+    return rows.groupBy("site_id", "rule_id", "scope").agg(F.max_by(rank, F.col("ord")).alias("k_severity"))
 
 
 def scope_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -47,9 +50,10 @@ def scope_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
     both = sides.groupBy("site_id", "rule_id", "scope").agg(
         F.bool_or("now").alias("now"),
         F.bool_or("before").alias("before"),
-        F.max(F.when(F.col("now"), F.col("severity"))).alias("severity"),
+        F.max(F.when(F.col("now"), F.col("k_severity"))).alias("k_severity"),
     )
-    return both.select("site_id", "rule_id", "scope", "severity", _change().alias("change"))
+    severity = name_of(F.col("k_severity"), dims.SEVERITIES).alias("severity")
+    return both.select("site_id", "rule_id", "scope", severity, _change().alias("change"))
 
 
 def run_comparison(diff: DataFrame, scores: DataFrame) -> DataFrame:

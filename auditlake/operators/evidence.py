@@ -34,7 +34,7 @@ def endpoint_evidence(endpoints: DataFrame, excerpt: int = 500) -> DataFrame:
 
 
 def cross_page_evidence(groups: DataFrame) -> DataFrame:
-    """One evidence row per duplicate group."""
+    """One evidence row per duplicate group, from groups with their representative."""
     return groups.select(
         *SITE,
         F.concat(F.lit("cross-page-"), F.lower("rule_id"), F.lit("-"), F.substring("key_hash", 1, 12)).alias("evidence_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import urls as u
 from auditlake.functions.binding import bind
-from auditlake.functions.numeric import clamp, lookup
+from auditlake.functions.numeric import clamp, lookup, name_of, rank_case
 from auditlake.functions.text import ascii_edges
 from auditlake.operators.ranking import top_k
 
@@ -148,23 +148,31 @@ def text_signals(texts: DataFrame) -> DataFrame:
                 F.lit(cat).alias("category"),
                 F.lit(name).alias("name"),
                 F.lit(conf).alias("confidence"),
+                F.lit(no).alias("no"),
                 evidence_excerpt(t, ascii_edges(p)).alias("evidence"),
             ),
         )
-        for (p, cat, name, conf), words in zip(TECH_PATTERNS, TECH_LITERALS, strict=True)
+        for no, ((p, cat, name, conf), words) in enumerate(zip(TECH_PATTERNS, TECH_LITERALS, strict=True))
     ]
     rows = texts.select(*SITE, "source", "ord", F.lower("text").alias("text"))
-    long = rows.select(*SITE, "source", "ord", F.explode(F.array_compact(F.array(*hits))).alias("s")).select(*SITE, "source", "ord", "s.*")
-    return dedupe_signals(long)
+    long = rows.select(*SITE, "source", "ord", F.explode(F.array_compact(F.array(*hits))).alias("s"))
+    # Texts in their order, patterns in theirs: one number says which signal came first.
+    place = (F.col("ord") * 100 + F.col("s.no")).alias("ord")
+    return dedupe_signals(long.select(*SITE, "source", place, "s.category", "s.name", "s.confidence", "s.evidence"))
+
+
+SOURCES = list(SOURCE_WEIGHT)
 
 
 def dedupe_signals(signals: DataFrame) -> DataFrame:
     """First signal of each (category, name, evidence)."""
-    return (
-        signals.groupBy(*SITE, "category", "name", "evidence")
-        .agg(F.min(F.struct("ord", "source", "confidence")).alias("f"))
-        .select(*SITE, "category", "name", "evidence", "f.source", "f.confidence", "f.ord")
+    first = lambda c: F.min_by(c, F.col("ord"))
+    best = signals.groupBy(*SITE, "category", "name", "evidence").agg(
+        first(rank_case(F.col("source"), SOURCES)).alias("k_source"),
+        first(F.col("confidence")).alias("confidence"),
+        F.min("ord").alias("ord"),
     )
+    return best.withColumn("source", name_of(F.col("k_source"), SOURCES)).drop("k_source")
 
 
 def dependency_signals(dependencies: DataFrame) -> DataFrame:

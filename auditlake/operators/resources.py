@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import markup as m
 from auditlake.functions import urls as u
 from auditlake.functions.binding import bind
+from auditlake.functions.numeric import name_of, rank_case
 from auditlake.functions.text import ascii_edges
 
 KEYS = ["site_id", "run_id", "page_id"]
@@ -24,6 +25,8 @@ TYPE_PATTERNS = [
     ("stylesheet", r"\.css$"),
 ]
 
+TYPES = ["font", "image", "script", "stylesheet", "preload"]
+
 
 def resource_type(url: Column, fallback: str) -> Column:
     def classify(path: Column) -> Column:
@@ -144,7 +147,7 @@ def page_resources(page_raw: DataFrame) -> DataFrame:
     # Aggregation by page and URL: at most a page's own rows meet in one group.
     merged = rows.groupBy(*KEYS, "final_url", "url").agg(
         F.min("ord").alias("ord"),
-        F.min_by("type", "ord").alias("type"),
+        F.min_by(rank_case(F.col("type"), TYPES), F.col("ord")).alias("k_type"),
         F.min_by("in_head", "ord").alias("in_head"),
         F.bool_or("render_blocking").alias("render_blocking"),
         F.bool_or("is_async").alias("is_async"),
@@ -152,15 +155,17 @@ def page_resources(page_raw: DataFrame) -> DataFrame:
         F.bool_or("lazy").alias("lazy"),
     )
     return merged.select(
-        *[c for c in merged.columns if c != "final_url"],
+        *[c for c in merged.columns if c not in ("final_url", "k_type")],
+        name_of(F.col("k_type"), TYPES).alias("type"),
         u.same_origin(F.col("url"), F.col("final_url")).alias("same_origin"),
     ).withColumn("third_party", ~F.col("same_origin"))
 
 
 def site_resources(resources: DataFrame) -> DataFrame:
     """Distinct resources of a site over all its pages; partial aggregation meets the hot CDN files map-side."""
-    return resources.groupBy("site_id", "run_id", "url").agg(
-        F.min_by("type", F.struct("page_id", "ord")).alias("type"),
+    # A page has one row per resource, so the first page alone decides the type.
+    merged = resources.groupBy("site_id", "run_id", "url").agg(
+        F.min_by(rank_case(F.col("type"), TYPES), F.col("page_id")).alias("k_type"),
         F.bool_or("render_blocking").alias("render_blocking"),
         F.bool_or("is_async").alias("is_async"),
         F.bool_or("is_defer").alias("is_defer"),
@@ -168,3 +173,4 @@ def site_resources(resources: DataFrame) -> DataFrame:
         F.bool_or("third_party").alias("third_party"),
         F.count("*").alias("n_pages"),
     )
+    return merged.withColumn("type", name_of(F.col("k_type"), TYPES)).drop("k_type")

@@ -188,18 +188,22 @@ def duplicate_keys(snapshots: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(keys: DataFrame) -> DataFrame:
-    """One row per group of two or more pages: size and first member. Counts are combined before the shuffle."""
+    """One row per group of two or more pages: size and position of the first member.
+
+    Counts are combined before the shuffle; the first page's URL comes from :func:`group_representatives`."""
     return (
         keys.groupBy(*SITE, "rule_id", "key_hash")
-        .agg(
-            F.count("*").alias("n_pages"),
-            F.min(F.struct("ord", "final_url")).alias("first"),
-        )
+        .agg(F.count("*").alias("n_pages"), F.min("ord").alias("first_ord"))
         .filter("n_pages > 1")
-        .select(*SITE, "rule_id", "key_hash", "n_pages", F.col("first.ord").alias("first_ord"), F.col("first.final_url").alias("first_url"))
     )
 
 
+def group_representatives(keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups with the URL of their first member."""
+    heads = keys.select(*SITE, "rule_id", "key_hash", F.col("ord").alias("first_ord"), F.col("final_url").alias("first_url"))
+    return groups.join(heads, [*SITE, "rule_id", "key_hash", "first_ord"])
+
+
 def duplicate_members(keys: DataFrame, groups: DataFrame) -> DataFrame:
     """Member URLs of each group as rows. The groups side is small per key, so a hot key only splits the pages side."""
     return keys.join(groups.select(*SITE, "rule_id", "key_hash"), [*SITE, "rule_id", "key_hash"]).select(

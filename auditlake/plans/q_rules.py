@@ -99,7 +99,8 @@ def whole_table(df):
 
 @query("R1_duplicate_groups", o.with_([*o.PAGE_CTES, DUP], "SELECT rule_id, sha256(k) AS key_hash, count(*) AS n_pages, arg_min(final_url, page_id) AS first_url FROM dk WHERE k IS NOT NULL AND k <> '' GROUP BY 1, 2 HAVING count(*) > 1"))
 def r1(spark, sf):
-    groups = r.duplicate_groups(r.duplicate_keys(whole_table(snapshots(spark, sf))))
+    keys = materialise(r.duplicate_keys(whole_table(snapshots(spark, sf))), "duplicate-keys")
+    groups = r.group_representatives(keys, r.duplicate_groups(keys))
     return groups.select("rule_id", "key_hash", "n_pages", "first_url")
 
 
@@ -262,11 +263,11 @@ def _sig(i, row):
     pattern, cat, name, conf = row
     b = f"length(regexp_extract(t, {o.q('(?s)^(.*?)(?:' + pattern + ')')}, 1))"
     ev = f"regexp_replace(substr(t, greatest(1, {b} - 23), least(24, {b}) + 96), '\\s+', ' ', 'g')"
-    return f"SELECT site_id, ord, source, '{cat}' AS category, '{name}' AS name, {conf} AS confidence, {ev} AS evidence FROM low WHERE regexp_matches(t, {o.q(pattern)})"
+    return f"SELECT site_id, ord, {i} AS no, source, '{cat}' AS category, '{name}' AS name, {conf} AS confidence, {ev} AS evidence FROM low WHERE regexp_matches(t, {o.q(pattern)})"
 
 
 SIG = "low AS (SELECT site_id, ord, source, lower(text) AS t FROM marked),\nsig0 AS (" + " UNION ALL ".join(_sig(i, row) for i, row in enumerate(it.TECH_PATTERNS)) + """),
-sig AS (SELECT site_id, category, name, evidence, arg_min(source, k) AS source, arg_min(confidence, k) AS confidence FROM (SELECT *, ord * 1000 + length(source) * 10 + confidence / 100.0 AS k FROM sig0) GROUP BY 1, 2, 3, 4)"""
+sig AS (SELECT site_id, category, name, evidence, arg_min(source, k) AS source, arg_min(confidence, k) AS confidence FROM (SELECT *, ord * 100 + no AS k FROM sig0) GROUP BY 1, 2, 3, 4)"""
 
 
 @query("I3_tech_signals", o.with_([MARKED, SIG], "SELECT site_id, category, name, evidence, source, confidence FROM sig"))

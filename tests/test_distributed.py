@@ -71,6 +71,7 @@ def test_hot_duplicate_group_keeps_every_member(spark, make_pages):
     rows = [{"url": f"https://a.com/{i}", "html": html.format("same title" if i % 3 else f"own {i}")} for i in range(150)]
     keys = rules.duplicate_keys(pages.page_snapshots(make_pages(rows)))
     groups = rules.duplicate_groups(keys)
+    groups = rules.group_representatives(keys, groups)
     assert [(g.rule_id, g.n_pages, g.first_url) for g in groups.collect()] == [("SEO-ONPAGE-002", 100, "https://a.com/1")]
     assert rules.duplicate_members(keys, groups).count() == 100
 
