@@ -130,9 +130,12 @@ def sitemap_errors(body: Column) -> Column:
 
 
 def sitemap_url_counts(endpoints: DataFrame) -> DataFrame:
-    """Distinct sitemap locations per site, plus a row of zero for sites whose map is empty."""
+    """Sitemap locations per site and how many of them are private; a site whose map is empty has a row of zeros."""
     maps = endpoints.filter(F.col("path").isin("/sitemap.xml", "/sitemap_index.xml") & F.col("ok"))
-    return maps.groupBy(*SITE).agg(F.sum(F.size(sitemap_locs(F.col("body")))).alias("n_sitemap_urls"))
+    return maps.select(*SITE, sitemap_locs(F.col("body")).alias("locs")).groupBy(*SITE).agg(
+        F.sum(F.size("locs")).alias("n_sitemap_urls"),
+        F.sum(F.size(F.filter("locs", u.is_private_url))).alias("n_private_sitemap_urls"),
+    )
 
 
 def expand_index(index_entries: DataFrame, documents: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from auditlake import dims
 from auditlake.functions import privacy as x
 from auditlake.functions import urls as u
+from auditlake.functions.markup import js_trim
 from auditlake.functions.json_walk import json_keys, risky_tool_names
 from auditlake.functions.numeric import lookup
 from auditlake.functions.text import ascii_edges
@@ -100,7 +101,7 @@ def page_rule_structs() -> list[Column]:
         _emit("SEO-SCHEMA-006", (internal > 2) & _types_lack("BreadcrumbList")),
         _emit("SEO-JS-001", (c("word_count") < 30) & (internal == 0)),
         _emit("SEO-LINK-003", (c("word_count") >= 30) & (internal == 0)),
-        _emit("SEO-MEDIA-001", F.exists("images", lambda i: F.coalesce(F.trim(i["alt"]), F.lit("")) == "")),
+        _emit("SEO-MEDIA-001", F.exists("images", lambda i: F.coalesce(js_trim(i["alt"]), F.lit("")) == "")),
         _emit("SEO-MEDIA-005", F.exists("images", lambda i: ~i["has_width"] | ~i["has_height"])),
         _emit("SEO-A11Y-010", ~c("has_skip_link") & (F.size("headings") > 2)),
         _emit(
@@ -167,10 +168,10 @@ def page_rule_counts(prepared: DataFrame) -> DataFrame:
 
 
 DUPLICATE_KEYS = {
-    "SEO-ONPAGE-002": lambda: F.lower(F.trim("title")),
-    "SEO-ONPAGE-006": lambda: F.lower(F.trim("meta_description")),
+    "SEO-ONPAGE-002": lambda: F.lower(js_trim(F.col("title"))),
+    "SEO-ONPAGE-006": lambda: F.lower(js_trim(F.col("meta_description"))),
     "SEO-CONTENT-002": lambda: F.when(
-        F.col("word_count") >= 80, F.lower(F.trim(F.substring("body_excerpt", 1, 600)))
+        F.col("word_count") >= 80, F.lower(js_trim(F.substring("body_excerpt", 1, 600)))
     ),
 }
 
@@ -288,7 +289,11 @@ def site_rule_structs(search_integrations: bool) -> list[Column]:
         _emit("SEO-CRAWL-003", ok("/robots.txt") & robots.rlike(r"(?im)disallow:\s*/\s*$")),
         _emit("SEO-SITEMAP-001", ~sitemap_path_ok),
         _emit("SEO-SITEMAP-002", sitemap_path_ok & (c("n_sitemap_urls") == 0)),
-        _emit("SEO-SITEMAP-008", sitemap_path_ok & (F.size("sitemap_private") > 0), refs=c("sitemap_private")),
+        _emit(
+            "SEO-SITEMAP-008",
+            sitemap_path_ok & ((F.size("sitemap_private") > 0) | (c("n_private_sitemap_urls") > 0)),
+            refs=c("sitemap_private"),
+        ),
         _emit("SEO-CRAWL-004", ok("/robots.txt") & ~robots.rlike(r"(?im)^\s*sitemap:")),
         _emit("AR-ROBOTS-004", ok("/robots.txt") & ~robots.rlike(AI_SIGNAL)),
         _emit("AR-ROBOTS-006", ok("/robots.txt") & ~robots.rlike(PRIVATE_DISALLOW)),
@@ -362,7 +367,8 @@ def site_rule_findings(
         if failed_metrics is not None
         else wide.withColumn("failed_metrics", none)
     )
-    sitemap = F.concat_ws("\n", *[F.coalesce(F.col(probe(p))["body"], F.lit("")) for p in ("/sitemap.xml",)])
+    answered = [F.when(F.col(probe(p))["ok"], F.col(probe(p))["body"]) for p in ("/sitemap.xml", "/sitemap_index.xml")]
+    sitemap = F.coalesce(*answered, F.lit(""))
     mcp_body = F.col(probe("/.well-known/mcp.json"))
     judged = wide.select(
         "*",
@@ -374,7 +380,7 @@ def site_rule_findings(
             ),
             none,
         ).alias("risky_tools"),
-    ).fillna(0, ["n_sitemap_urls", "n_pages", "n_hubs", "n_hreflang", "n_no_hreflang", "n_missing_from_sitemap"])
+    ).fillna(0, ["n_sitemap_urls", "n_private_sitemap_urls", "n_pages", "n_hubs", "n_hreflang", "n_no_hreflang", "n_missing_from_sitemap"])
     rows = judged.select(*SITE, F.posexplode(F.flatten(F.array(*site_rule_structs(search_integrations)))).alias("emit_ord", "f"))
     return rows.select(*SITE, "emit_ord", "f.rule_id", "f.title", "f.severity", "f.refs")
 

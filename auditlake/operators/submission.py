@@ -9,7 +9,7 @@ from auditlake.functions import urls as u
 from auditlake.operators.ranking import ranked
 
 
-def submission_batches(urls: DataFrame, *, batch_size: int = 10_000, buckets: int = 64) -> DataFrame:
+def submission_batches(urls: DataFrame, *, batch_size: int = 10_000, buckets: int = 4096) -> DataFrame:
     """Distinct URLs on their approved host, numbered into batches; a giant host is numbered bucket by bucket."""
     rows = (
         urls.select("approved_host", u.normalize_url(F.col("url")).alias("url"))

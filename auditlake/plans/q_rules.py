@@ -179,8 +179,7 @@ SITE_RULES = {
     "AR-AUTH-001": "site_type IN ('api', 'app') AND NOT auth_ok",
     "AR-AUTH-002": "site_type IN ('api', 'app') AND NOT as_ok",
     "AR-AUTH-003": "site_type IN ('api', 'app') AND NOT pr_ok",
-    "SEO-PERF-001": "slow",
-    "SEO-PERF-022": "slow",
+    **{rule: "slow" for rule in ("SEO-PERF-001", "SEO-PERF-020", "SEO-PERF-021", "SEO-PERF-022", "SEO-PERF-023", "SEO-PERF-024")},
     "SEO-SEARCH-001": "true",
     "SEO-SEARCH-002": "true",
 }
@@ -197,7 +196,8 @@ def site_findings_of(snap, ep):
     maps = sitemap_urls(ep)
     missing = r.missing_from_sitemap(snap, maps).groupBy("site_id", "run_id").agg(F.count("*").alias("n_missing_from_sitemap"))
     sites = snap.select("site_id", "run_id").distinct()
-    slow = F.when(F.length("site_id") % 2 == 0, F.array(F.lit("lcp-ms"), F.lit("render-blocking-requests"))).otherwise(F.array().cast("array<string>"))
+    metrics = ["lcp-ms", "document-fetch-ms", "total-js-kb", "third-party-js-kb", "render-blocking-requests", "total-requests"]
+    slow = F.when(F.length("site_id") % 2 == 0, F.array(*[F.lit(x) for x in metrics])).otherwise(F.array().cast("array<string>"))
     failed = sites.select("site_id", "run_id", slow.alias("failed_metrics"))
     return r.site_rule_findings(
         sites, ep, d.sitemap_url_counts(ep), r.page_rollup(snap), it.site_types(snap), missing, failed, search_integrations=True
@@ -393,7 +393,7 @@ def i13(spark, sf):
 _CATC = "cc(rule_id, category, confidence) AS (VALUES " + dims.values_sql([(x["rule_id"], x["category"], x["confidence"]) for x in dims.EMITTED]) + ")"
 _D = "::DOUBLE"
 _SEV = lambda table: "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}{_D}" for k, v in table.items()) + " END"
-SITE_ONLY = "sfa AS (SELECT * FROM sf WHERE rule_id NOT IN ('SEO-PERF-001', 'SEO-PERF-022', 'SEO-SEARCH-001', 'SEO-SEARCH-002'))"
+SITE_ONLY = "sfa AS (SELECT * FROM sf WHERE NOT regexp_matches(rule_id, '^SEO-(PERF|SEARCH)-'))"
 REFS = f"refs AS (SELECT site_id, 'SEO-SITEMAP-008' AS rule_id, unnest({o.private_refs('map')}) AS ref FROM sj UNION ALL SELECT site_id, 'AR-LLMS-008', unnest({o.private_refs('llms')}) FROM sj UNION ALL SELECT site_id, 'AR-MCP-005', 'delete_order' FROM sj)"
 FACTS = """fct AS (SELECT site_id, rule_id, title, severity, 'f' AS kind, NULL AS value FROM pf UNION ALL SELECT site_id, rule_id, title, severity, 'u', affected_url FROM pf
  UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM (SELECT site_id, rule_id, k FROM dk WHERE k <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1) JOIN ttl USING (rule_id)
