@@ -188,12 +188,6 @@ def catalogue(spark: SparkSession) -> DataFrame:
     ))
 
 
-def bridge(spark: SparkSession, mapping: dict[str, list[str]], key: str) -> DataFrame:
-    """Many-to-many area or profile to category table."""
-    rows = [(k, c) for k, cats in mapping.items() for c in cats]
-    return spark.createDataFrame(rows, f"{key} string, category string")
-
-
 def values_sql(rows: list[tuple]) -> str:
     """VALUES list of a small dimension, for SQL text."""
 

@@ -17,14 +17,6 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def nearest_rank(value: Column | str, p: float) -> Column:
-    """Nearest-rank percentile: the ceil(n*p)-th of the sorted values, NULL when there is none."""
-    name = value if isinstance(value, str) else None
-    if name is not None:
-        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {name})")
-    raise TypeError("nearest_rank takes a column name")
-
-
 def rank_case(value: Column, order: list[str], default: int | None = None) -> Column:
     """Position of an enum value in its ordered list, as a CASE so that it stays in generated code."""
     out = F.lit(len(order) if default is None else default)

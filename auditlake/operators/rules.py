@@ -162,7 +162,7 @@ def page_rule_findings(prepared: DataFrame) -> DataFrame:
 
 
 def page_rule_counts(prepared: DataFrame) -> DataFrame:
-    """Findings per site and page rule without materialising them: wide conditional sums, then one unpivot."""
+    """Findings per site and page rule; counted map-side before the shuffle."""
     long = page_rule_findings(prepared)
     return long.groupBy(*SITE, "rule_id").agg(F.count("*").alias("n_findings"))
 

@@ -130,7 +130,6 @@ def _split(text: str) -> list[str]:
 
 
 # Endpoint probes: every site's first page decides which of the 22 paths answer and with what body.
-LINK_LIST = "regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)"
 ENDPOINT_CASES = {
     "/": ("page_id % 3 = 0", "CASE WHEN page_id % 6 = 0 THEN 'text/markdown' ELSE 'text/html' END", "'# Home'"),
     "/robots.txt": (
@@ -194,7 +193,7 @@ def endpoint_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Per page one robots and one sitemap body, so that line work has as many documents as there are pages.
 DOC_SQL = f"""
   'site-' || CAST(page_id AS STRING) AS site_id, 'r0' AS run_id, page_id,
-  replace({ENDPOINT_CASES["/robots.txt"][2]}, 'site_id', 'x') AS robots_body,
+  {ENDPOINT_CASES["/robots.txt"][2]} AS robots_body,
   {ENDPOINT_CASES["/sitemap.xml"][2]} AS sitemap_body,
   {ENDPOINT_CASES["/llms.txt"][2]} AS llms_body, {ENDPOINT_CASES["/.well-known/mcp.json"][2]} AS mcp_body
 """
