@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import forest, language, minhash
+from auditlake.llm import forest, language, minhash, pieces, secrets
 from auditlake.llm.registry import query, table
 
 
@@ -21,3 +21,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_secret_scan", secrets.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
