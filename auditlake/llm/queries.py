@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import forest, language, minhash, pieces, secrets, tokens
+from auditlake.llm import forest, language, minhash, pieces, quality, secrets, tokens
 from auditlake.llm.registry import query, table
 
 
@@ -36,3 +36,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_rules", quality.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
