@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import forest, language, minhash, pieces, quality, secrets, tokens
+from auditlake.llm import forest, language, minhash, mixing, pieces, quality, secrets, tokens
 from auditlake.llm.registry import query, table
 
 
@@ -41,3 +41,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules", quality.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op4_source_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
