@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import forest, language, minhash, mixing, pieces, quality, secrets, tokens
+from auditlake.llm import forest, language, minhash, mixing, pagetext, pieces, quality, secrets, tokens
 from auditlake.llm.registry import query, table
 
 
@@ -46,3 +46,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_source_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
