@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import forest, language, minhash, mixing, pagetext, pieces, quality, secrets, tokens
+from auditlake.llm import forest, language, licenses, minhash, mixing, pagetext, pieces, quality, secrets, tokens
 from auditlake.llm.registry import query, table
 
 
@@ -51,3 +51,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(table(spark, sf_dir, "documents"))
