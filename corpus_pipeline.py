@@ -1,26 +1,55 @@
 """From raw documents to a deduplicated, screened, mixed and encoded corpus.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; between stages the rows are
-written as Parquet and read again."""
+written as Parquet and read again, so a lost executor costs a stage at most. All stages but the last return the columns
+of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import minhash
+from auditlake.llm import language, minhash, mixing, pieces, secrets
+from auditlake.llm.registry import query
 from auditlake.session import materialise
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those whose language stays unclear, go."""
+    return language.known_language(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return minhash.one_of_each(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
-#: SQL can't express the stages.
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; the documents stay."""
+    return secrets.redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it: not at all, once, or up to three times."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document of the mix."""
+    return pieces.encode_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("encode", encode),
+]
+#: A trained model, hashed bands and balanced draws can't be said in SQL.
 ORACLE_SQL = None
 
 
+@query("pipeline")
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
