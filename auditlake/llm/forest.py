@@ -21,57 +21,96 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 THRESHOLD = 0.95
 TREES = 6
-#: Share of a node's vectors on each side of a split that go to both children.
-SPILL = 0.04
+#: Share of a node's vectors on each side of a split that go to both children, at most.
+SPILL = 0.05
 #: Expected vectors in a leaf before spill.
 LEAF = 1024
 #: Vectors on which the splits are fitted, and the fewest in a node that still gets splits of its own.
 FIT_ROWS, FIT_LEAST = 20_000, 32
+#: Directions that a node chooses from; a node stays whole where even the best would part near ones of this share.
+TRIES, COHESIVE = 12, 0.5
 
 
 class Tree:
-    """Splits of one tree: a direction per level, and per fitted node a threshold with a margin.
+    """Splits of one tree. A fitted node has a direction and a zone of its own; rows inside the zone go to both sides.
 
-    Levels below a fitted leaf use thresholds from that leaf's vectors, so the tree gets as deep as the table needs
-    while its size depends on the fitted sample only."""
+    Of some random directions a node takes that whose emptiest place parts fewest near vectors, so that a hot cluster
+    isn't cut through; a node that is one tight cluster stays a leaf, however large. Levels below a fitted leaf share random directions, with zones from that leaf's vectors: the tree
+    gets as deep as the table needs while its size depends on the fitted sample only."""
 
     def __init__(self, sample: np.ndarray, depth: int, spill: float, rng: np.random.Generator):
-        directions = rng.normal(size=(depth, sample.shape[1]))
-        self.directions = directions / np.linalg.norm(directions, axis=1, keepdims=True)
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.child: list[tuple[int, int] | None] = []
-        self._grow(sample @ self.directions.T, 0, depth, spill)
-
-    def _grow(self, proj: np.ndarray, level: int, depth: int, spill: float) -> int:
-        me = len(self.low)
-        cuts = np.quantile(proj, [0.5 - spill, 0.5 + spill], axis=0) if len(proj) and depth else np.zeros((2, depth))
-        self.low.append(cuts[0])
-        self.high.append(cuts[1])
-        self.child.append(None)
-        if level < depth and len(proj) >= 2 * FIT_LEAST:
-            mid = np.median(proj[:, level])
-            left = proj[:, level] < mid
-            if left.any() and not left.all():
-                self.child[me] = (self._grow(proj[left], level + 1, depth, spill), self._grow(proj[~left], level + 1, depth, spill))
+        n_dims = sample.shape[1]
+        self.depth = depth
+        self.shared = _directions(rng, depth, n_dims)
+        # Vectors at the threshold differ by this much along a random direction, as a standard deviation.
+        self.reach = math.sqrt((2 - 2 * THRESHOLD) / max(n_dims, 1))
+        self.direction: list[np.ndarray] = []
+        self.zone: list[np.ndarray] = []
+        self.child: list[tuple[int, int]] = []
+        self._grow(sample, 0, spill, rng)
+        self.direction = np.stack(self.direction)
+        self.zone = np.stack(self.zone)
+        self.child = np.array(self.child)
+
+    def _grow(self, sample: np.ndarray, level: int, spill: float, rng: np.random.Generator) -> int:
+        me = len(self.child)
+        fitted = level < self.depth and len(sample) >= 2 * FIT_LEAST
+        self.child.append((me, me))
+        if not fitted:
+            proj = sample @ self.shared.T
+            zone = np.quantile(proj, [0.5 - spill, 0.5 + spill], axis=0) if len(sample) and self.depth else np.zeros((2, self.depth))
+            if len(sample):
+                zone[:, (np.abs(proj - np.median(proj, axis=0)) <= self.reach).mean(axis=0) > COHESIVE] = np.inf
+            self.direction.append(np.zeros(sample.shape[1]))
+            self.zone.append(zone)
+            return me
+        tries = _directions(rng, TRIES, sample.shape[1])
+        proj = np.sort(sample @ tries.T, axis=0)
+        n = len(sample)
+        places = np.unique(np.linspace(0.25 * n, 0.75 * n, 33).astype(int))
+        best = None
+        for k in range(TRIES):
+            cut = (proj[places - 1, k] + proj[places, k]) / 2
+            near = np.searchsorted(proj[:, k], cut + self.reach) - np.searchsorted(proj[:, k], cut - self.reach)
+            i = int(near.argmin())
+            if best is None or near[i] < best[0]:
+                best = (near[i], k, cut[i])
+        near, k, cut = best
+        if near > COHESIVE * n:
+            self.direction.append(np.zeros(sample.shape[1]))
+            self.zone.append(np.full((2, self.depth), np.inf))
+            return me
+        # The zone is as wide as near vectors may differ, but holds no more than its share of the rows.
+        p = sample @ tries[k]
+        far = np.sort(np.abs(p - cut))
+        half = min(self.reach, float(far[min(n - 1, int(2 * spill * n))]))
+        self.direction.append(tries[k])
+        self.zone.append(np.tile([[cut - half], [cut + half]], (1, self.depth)))
+        left = p < cut
+        if left.any() and not left.all():
+            self.child[me] = (self._grow(sample[left], level + 1, spill, rng), self._grow(sample[~left], level + 1, spill, rng))
         return me
 
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and leaf codes; a row near a split is in both of its sides."""
-        depth = len(self.directions)
-        proj = vectors @ self.directions.T
+        """Row numbers and leaf codes; a row inside a zone is on both sides."""
         row = np.arange(len(vectors))
         node, code = np.zeros(len(row), dtype=np.int64), np.ones(len(row), dtype=np.int64)
-        low, high = np.stack(self.low), np.stack(self.high)
-        child = np.array([c or (i, i) for i, c in enumerate(self.child)])
-        for level in range(depth):
-            p = proj[row, level]
-            left, right = p <= high[node, level], p >= low[node, level]
+        common = vectors @ self.shared.T
+        for level in range(self.depth):
+            own = self.child[node, 0] != node
+            p = np.where(own, np.einsum("ij,ij->i", vectors[row], self.direction[node]), common[row, level])
+            low, high = self.zone[node, 0, level], self.zone[node, 1, level]
+            left, right = p <= high, p >= low
             right |= ~left
-            row, node, code = (np.concatenate([row[left], row[right]]), np.concatenate([child[node[left], 0], child[node[right], 1]]), np.concatenate([code[left] * 2, code[right] * 2 + 1]))
+            row, node, code = (np.concatenate([row[left], row[right]]), np.concatenate([self.child[node[left], 0], self.child[node[right], 1]]), np.concatenate([code[left] * 2, code[right] * 2 + 1]))
         return row, code
 
 
+def _directions(rng: np.random.Generator, n: int, n_dims: int) -> np.ndarray:
+    d = rng.normal(size=(n, n_dims))
+    return d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length one, in double precision; scaled first so that squares neither overflow nor vanish."""
     v = vectors.astype(np.float64)
