@@ -44,14 +44,17 @@ class Net:
             "c": np.zeros((n_langs, 1), f),
         }
 
-    def states(self, x: np.ndarray, direction: int, keep: list | None = None) -> np.ndarray:
-        """States (time, unit, row) of one direction over bytes x (time, row); the backward one reads from the end."""
+    def states(self, x: np.ndarray, real: np.ndarray, direction: int, keep: list | None = None) -> np.ndarray:
+        """States (time, unit, row) of one direction over bytes x (time, row); the backward one reads from the end.
+
+        Where ``real`` is false there is no byte: the state there is empty, so rows don't feel their padding."""
         k = self.units
         wx, u, b = (self.w[name][direction] for name in "xub")
         time, rows = x.shape
         out = np.empty((time, k, rows), np.float32)
         h = np.zeros((k, rows), np.float32)
         g, a = np.empty((3 * k, rows), np.float32), np.empty((3 * k, rows), np.float32)
+        whole = real.all(axis=1)
         for t in range(time) if direction == 0 else range(time - 1, -1, -1):
             np.take(wx, x[t], axis=1, out=g, mode="clip")
             np.matmul(u, h, out=a)
@@ -71,6 +74,8 @@ class Net:
             np.subtract(h, n, out=new)
             new *= z
             new += n
+            if not whole[t]:
+                new *= real[t]
             h = new
         return out
 
@@ -88,7 +93,7 @@ class Net:
         """Loss and gradients by backpropagation through time. x (time, row) bytes, real (time, row) marks no padding."""
         k, w = self.units, self.w
         kept: list[list] = [[], []]
-        h = [self.states(x, d, kept[d]) for d in (0, 1)]
+        h = [self.states(x, real, d, kept[d]) for d in (0, 1)]
         p = self.probabilities(*h)
         rows = x.shape[1]
         at = (slice(None), lang, np.arange(rows))
@@ -104,7 +109,7 @@ class Net:
             dh = np.zeros((k, rows), np.float32)
             gates, bytes_at = [], []
             for t, prev, z, r, s, n in reversed(kept[d]):
-                dh = dh + from_out[t]
+                dh = (dh + from_out[t]) * real[t]
                 da = dh * (1 - z) * (1 - n * n)
                 dz = dh * (prev - n) * z * (1 - z)
                 dr = da * s * r * (1 - r)
@@ -172,7 +177,7 @@ def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
         at = start[part][None, :] + np.arange(longest)[:, None]
         real = np.arange(longest)[:, None] < width[part][None, :]
         x = np.where(real, flat[np.minimum(at, len(flat) - 1)], 0)
-        p = net.probabilities(net.states(x, 0), net.states(x, 1))
+        p = net.probabilities(net.states(x, real, 0), net.states(x, real, 1))
         p *= real[:, None, :]
         np.add.at(total, doc[part], p.sum(axis=0).T)
     return total / np.maximum(size, 1)[:, None]

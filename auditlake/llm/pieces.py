@@ -87,9 +87,8 @@ class Trie:
                 at = at.setdefault(code[c], {})
             at[0] = i
         width = len(letters) + 1
-        size = 1024
-        while size < 4 * (sum(map(len, words)) + width):
-            size *= 2
+        # Room at the start; the arrays grow where that isn't enough.
+        size = 4096 + 4 * (sum(map(len, words)) + width)
         self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         self.check[0] = 0
         used = np.zeros(size, bool)
@@ -106,16 +105,24 @@ class Trie:
             # The first of the next free slots where all children fit, else the end of what is used.
             slots = free_from + np.flatnonzero(~used[free_from : free_from + 2048])
             bases = slots - codes[0]
-            bases = bases[bases > 0]
+            bases = bases[(bases > 0) & (bases + codes[-1] < len(used))]
             fits = ~used[bases[:, None] + codes].any(axis=1)
             base = int(bases[fits.argmax()]) if fits.any() else max(1, top - int(codes[0]))
+            if base + width > len(used):
+                more = len(used)
+                used = np.concatenate([used, np.zeros(more, bool)])
+                self.base, self.value = np.concatenate([self.base, np.zeros(more, np.int32)]), np.concatenate([self.value, np.full(more, -1, np.int32)])
+                self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
             self.base[state] = base
             used[base + codes] = True
             top = max(top, base + int(codes[-1]) + 1)
             self.check[base + codes] = state
             todo.extend((base + c, at[c]) for c in at)
         last = top + width
-        self.base, self.check, self.value = self.base[:last], self.check[:last], self.value[:last]
+        room = max(0, last - len(self.base))
+        self.base = np.pad(self.base[:last], (0, room))
+        self.check = np.pad(self.check[:last], (0, room), constant_values=-1)
+        self.value = np.pad(self.value[:last], (0, room), constant_values=-1)
 
         self.of_point = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
         self.of_point[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
