@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import dims
@@ -104,25 +102,44 @@ def regression_policy(
 
 
 NEVER = "$a"
+MOST_PATTERNS = 100_000
+
+
+def checked_patterns(suppressions: DataFrame) -> DataFrame:
+    """Suppressions whose url_pattern can be run: one that the JVM's own compiler refuses matches nothing instead of
+    failing the job. A list of suppressions is written by people, so its distinct patterns are checked on the driver;
+    beyond MOST_PATTERNS it is an error."""
+    spark = suppressions.sparkSession
+    found = [r[0] for r in suppressions.select("url_pattern").where("url_pattern <> ''").distinct().limit(MOST_PATTERNS + 1).collect()]
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} suppression patterns")
+    bad = [p for p in found if not _compiles(spark, p)]
+    pattern = F.nullif("url_pattern", F.lit(""))
+    return suppressions.withColumn("url_pattern", F.when(pattern.isin(bad), F.lit(NEVER)).otherwise(pattern) if bad else pattern)
 
 
-def checked_pattern(pattern: str | None) -> str | None:
-    """A suppression pattern that cannot be read must match nothing instead of failing a job."""
-    if not pattern:
-        return None
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
     try:
-        re.compile(pattern)
-    except re.error:
-        return NEVER
-    return pattern
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
+def _until(expires_at: str = "expires_at") -> Column:
+    """End of a suppression; a date that can't be read is no end."""
+    return F.try_to_timestamp(expires_at)
 
 
 def suppression_matches(suppressions: DataFrame, findings: DataFrame, today: Column) -> DataFrame:
     """Distinct matched URLs per suppression still in force.
 
     Equality on site and rule first; the pattern is a residual. Findings are made distinct by URL before the
-    join, and findings without URL cannot match. Patterns come checked from :func:`checked_pattern`."""
-    active = suppressions.filter(F.col("expires_at").isNull() | (F.to_timestamp("expires_at") >= today))
+    join, and findings without URL cannot match. Patterns come checked from :func:`checked_patterns`."""
+    active = suppressions.filter(_until().isNull() | (_until() >= today))
     urls = findings.select("site_id", "rule_id", F.explode("affected_urls").alias("url")).distinct()
     fits = F.col("url_pattern").isNull() | F.expr("url rlike url_pattern")
     return active.join(urls, ["site_id", "rule_id"]).filter(fits).select("site_id", "suppression_id", "rule_id", "url")
@@ -131,7 +148,7 @@ def suppression_matches(suppressions: DataFrame, findings: DataFrame, today: Col
 def suppression_report(suppressions: DataFrame, matches: DataFrame, today: Column) -> DataFrame:
     """State of every suppression: expired, matched or unmatched, with its URL count."""
     hits = matches.groupBy("site_id", "suppression_id").agg(F.count("*").alias("n_urls"))
-    expired = F.col("expires_at").isNotNull() & (F.to_timestamp("expires_at") < today)
+    expired = F.coalesce(_until() < today, F.lit(False))
     state = F.when(expired, "expired").when(F.col("n_urls") > 0, "matched").otherwise("unmatched")
     return (
         suppressions.join(hits, ["site_id", "suppression_id"], "left")

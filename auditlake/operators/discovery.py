@@ -16,7 +16,6 @@ SITE = ["site_id", "run_id"]
 AI_COMMENT = "(?i)ai-|ai_|content-signal|ai input|ai train"
 AI_LINE = "(?i)content-signal|ai-input|ai-train|gptbot|google-extended|ccbot"
 PRIVATE_VALUE = "(?i)admin|account|login|logout|checkout|cart|payment|private|preview|api/internal"
-MAX_CHILDREN = 20
 
 
 def probes(sites: DataFrame, endpoint_raw: DataFrame, excerpt_limit: int | None = None) -> DataFrame:
@@ -129,27 +128,70 @@ def sitemap_errors(body: Column) -> Column:
     )
 
 
-def sitemap_url_counts(endpoints: DataFrame) -> DataFrame:
-    """Sitemap locations per site and how many of them are private; a site whose map is empty has a row of zeros."""
-    maps = endpoints.filter(F.col("path").isin("/sitemap.xml", "/sitemap_index.xml") & F.col("ok"))
-    return maps.select(*SITE, sitemap_locs(F.col("body")).alias("locs")).groupBy(*SITE).agg(
-        F.sum(F.size("locs")).alias("n_sitemap_urls"),
-        F.sum(F.size(F.filter("locs", u.is_private_url))).alias("n_private_sitemap_urls"),
-    )
-
-
-def expand_index(index_entries: DataFrame, documents: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:
-    """One level of a sitemap index: the first children on the site's own origin, joined to their documents."""
+MAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml"]
+INDEX_ROOT = r"(?i)<sitemapindex(?:>|[/\t\n\r ][^>]*>)"
+
+
+def _entries(docs: DataFrame, *keep: str) -> DataFrame:
+    """Entries of sitemap bodies and whether they are those of an index; bodies stay in their rows."""
+    return docs.select(
+        *SITE, *keep, F.coalesce(F.col("body").rlike(INDEX_ROOT), F.lit(False)).alias("is_index"), F.posexplode(sitemap_locs(F.col("body"))).alias("ord", "loc")
+    )
+
+
+def probed_entries(endpoints: DataFrame) -> DataFrame:
+    """Entries of the first probed sitemap of each site that answered."""
+    which = F.when(F.col("path") == MAP_PATHS[0], 0).otherwise(1)
+    maps = endpoints.filter(F.col("path").isin(MAP_PATHS) & F.col("ok")).withColumn("which", which)
+    first = maps.groupBy(*SITE).agg(F.min("which").alias("which"))
+    return _entries(maps, "which").join(first, [*SITE, "which"]).drop("which")
+
+
+def sitemap_universe(endpoints: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Distinct page URLs (site_id, run_id, loc) on the site's own origin that its sitemaps list.
+
+    Sitemaps are the probed ones and those that robots.txt names, an index is expanded one level. ``documents``
+    (site_id, run_id, url, body) holds the fetched children and named sitemaps; without it only what was probed counts,
+    and the entries of an index are no pages."""
+    entries = probed_entries(endpoints)
+    if documents is not None:
+        robots = robots_info(endpoints.filter((F.col("path") == "/robots.txt") & F.col("ok")))
+        named = robots.select(*SITE, F.explode("sitemap_urls").alias("url")).distinct()
+        probed = endpoints.filter(F.col("path").isin(MAP_PATHS) & F.col("ok")).select(*SITE, "url")
+        named = named.join(probed, [*SITE, "url"], "left_anti")
+        entries = entries.unionByName(_entries(documents.join(named, [*SITE, "url"], "left_semi")))
+        children = expand_index(entries.filter("is_index").withColumn("site_origin", F.col("site_id")), documents).select(*SITE, "loc")
+        pages = entries.filter("NOT is_index").select(*SITE, "loc").unionByName(children)
+    else:
+        pages = entries.filter("NOT is_index").select(*SITE, "loc")
+    return pages.filter(u.same_origin(F.col("loc"), F.col("site_id"))).distinct()
+
+
+def sitemap_url_counts(endpoints: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Sitemap URLs per site and how many of them are private; a site whose map is empty has a row of zeros. Where the
+    children of an index aren't known, its entries keep the map from counting as empty."""
+    answered = endpoints.filter(F.col("path").isin(MAP_PATHS) & F.col("ok")).select(*SITE)
+    urls = sitemap_universe(endpoints, documents)
+    if documents is None:
+        urls = urls.unionByName(probed_entries(endpoints).filter("is_index").select(*SITE, "loc").distinct())
+    answered = answered.unionByName(urls.select(*SITE)).distinct()
+    counts = urls.groupBy(*SITE).agg(F.count("*").alias("n_sitemap_urls"), F.count_if(u.is_private_url(F.col("loc"))).alias("n_private_sitemap_urls"))
+    return answered.join(counts, SITE, "left").fillna(0, ["n_sitemap_urls", "n_private_sitemap_urls"])
+
+
+def expand_index(index_entries: DataFrame, documents: DataFrame, max_children: int | None = None) -> DataFrame:
+    """One level of a sitemap index: the children on the site's own origin, joined to their documents.
+
+    All children are read; ``max_children`` keeps those among the first so many entries of an index, before the origin
+    test, by position."""
+    if max_children is not None:
+        w = W.partitionBy(*SITE).orderBy("ord", "loc")
+        index_entries = index_entries.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_children).drop("rn")
     own = index_entries.filter(u.same_origin(F.col("loc"), F.col("site_origin")))
-    first_seen = own.groupBy(*SITE, "loc").agg(F.min("ord").alias("ord"))
-    # The cap is the operator's own limit of children read per site, an exact top-k by position.
-    w = W.partitionBy(*SITE).orderBy("ord", "loc")
-    children = first_seen.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_children)
+    children = own.select(*SITE, "loc").distinct()
     docs = documents.select(*SITE, F.col("url").alias("loc"), "body")
     joined = children.join(docs, [*SITE, "loc"])
-    return joined.select(
-        *SITE, F.col("loc").alias("child"), F.explode(sitemap_locs(F.col("body"))).alias("loc")
-    )
+    return joined.select(*SITE, F.col("loc").alias("child"), F.explode(sitemap_locs(F.col("body"))).alias("loc"))
 
 
 def sitemap_candidates(robots: DataFrame, endpoints: DataFrame) -> DataFrame:

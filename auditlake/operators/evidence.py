@@ -13,8 +13,8 @@ def id_part(text: Column) -> Column:
 
 
 def page_evidence(findings: DataFrame) -> DataFrame:
-    """One evidence row per page finding; the id names the page (48 characters) and the selector."""
-    key = F.concat(F.substring(id_part(F.col("affected_url")), 1, 48), F.lit("-"), F.lower("rule_id"))
+    """One evidence row per page finding; the id names the page (48 characters and a hash of the whole URL) and the rule."""
+    key = F.concat_ws("-", F.substring(id_part(F.col("affected_url")), 1, 48), F.substring(F.md5("affected_url"), 1, 16), F.lower("rule_id"))
     return findings.select(
         *SITE, "page_id", "rule_id", key.alias("evidence_id"), F.lit("html_selector").alias("type"),
         F.col("affected_url").alias("url"),

@@ -9,23 +9,26 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import privacy as x
 from auditlake.functions import urls as u
+from auditlake.operators.ranking import ranked
 from auditlake.session import cut_lineage, materialise
 
 SITE = ["site_id", "run_id"]
+#: Characters after the site that spread its URLs over ranking buckets.
+PATH_START = 6
 
 
 def crawl_depth(
     edges: DataFrame,
     seeds: DataFrame,
     *,
-    max_depth: int = 3,
+    max_depth: int | None = None,
     max_pages: int | None = None,
     blocked_sites: DataFrame | None = None,
 ) -> DataFrame:
     """Breadth-first depth of every reachable URL, site by site, all sites in the same sweep.
 
     ``edges``: site_id, run_id, src, dst. ``seeds``: site_id, run_id, url. One level is one join of the frontier with
-    the edges and one anti join with what was seen, at most ``max_depth`` times. Each level is written to the shared
+    the edges and one anti join with what was seen, until a level is empty or, if given, ``max_depth`` levels. Each level is written to the shared
     checkpoint folder, so lineage stays one level long and a lost executor costs one level at most.
     A site whose robots file blocks everything keeps its seeds only."""
     safe = edges.filter(u.is_safe_crawl_url(F.col("dst"), F.col("site_id"))).select(*SITE, "src", "dst")
@@ -34,7 +37,9 @@ def crawl_depth(
     # Read once per level, so the checked edges are written once.
     safe = materialise(safe, "safe-edges")
     levels = [cut_lineage(seeds.select(*SITE, "url").distinct().withColumn("depth", F.lit(0)))]
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         seen = reduce(DataFrame.unionByName, levels).select(*SITE, "url")
         step = (
             levels[-1]
@@ -52,18 +57,18 @@ def crawl_depth(
     out = reduce(DataFrame.unionByName, levels)
     if max_pages is None:
         return out
-    # The page limit of a crawl run: exact, by depth then URL. Positions come from counts per depth and a
-    # rank inside one (site, depth), never from one window over a whole site.
+    # The page limit of a crawl run: exact, by depth then URL.
     return first_pages(out, max_pages)
 
 
 def first_pages(nodes: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` nodes of each site in (depth, url) order. Spark keeps only ``limit`` rows per task and site
-    before the exchange (window group limit), so a giant site never lands in one task."""
-    from pyspark.sql import Window as W
+    """The first ``limit`` nodes of each site in (depth, url) order.
 
-    w = W.partitionBy(*SITE).orderBy("depth", "url")
-    return nodes.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit).drop("rn")
+    Nodes are ranked inside (site, depth, start of the path), whose sizes are counted first, so no task sorts a whole
+    site whatever the limit is."""
+    start = F.substr("url", F.lit(1), F.length("site_id") + PATH_START)
+    bucket = F.struct("depth", start)
+    return ranked(nodes, SITE, bucket, [F.col("depth"), F.col("url")], "rn").filter(F.col("rn") <= limit).drop("rn")
 
 
 def nodes_and_edges(snapshots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

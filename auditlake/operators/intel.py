@@ -26,7 +26,7 @@ SITE_TYPES = [
 
 
 def page_text(types: Column | None = None) -> Column:
-    parts = ["final_url", "body_excerpt"] + ([F.array_join(types, " ")] if types is not None else [])
+    parts = ["final_url", "body_text"] + ([F.array_join(types, " ")] if types is not None else [])
     return F.lower(F.concat_ws("\n", *parts))
 
 

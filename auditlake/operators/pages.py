@@ -17,7 +17,8 @@ from auditlake.functions.json_walk import json_types
 
 KEYS = ["site_id", "run_id", "page_id"]
 SNAPSHOT_TAGS = ["a", "meta", "link", "html", "img", "form"]
-JS_LENGTH_LIMIT = 1200
+#: Characters of a page's text kept for display.
+EXCERPT = 1200
 
 
 def html_pages(page_raw: DataFrame) -> DataFrame:
@@ -154,8 +155,11 @@ def first_heading_jump(headings: Column) -> Column:
     return m.first(jumps)
 
 
-def page_snapshots(page_raw: DataFrame) -> DataFrame:
-    """One row per HTML page with every extracted feature; a single narrow stage over the scan."""
+def page_snapshots(page_raw: DataFrame, judged_chars: int | None = None) -> DataFrame:
+    """One row per HTML page with every extracted feature; a single narrow stage over the scan.
+
+    ``body_excerpt`` is for display. Rules and duplicates judge ``body_text``, the whole text unless ``judged_chars``
+    cuts it."""
     html, tags, base, text = F.col("html"), F.col("_tags"), F.col("_base"), F.col("_text")
     staged = html_pages(page_raw).select(
         *[c for c in page_raw.columns],
@@ -196,7 +200,8 @@ def page_snapshots(page_raw: DataFrame) -> DataFrame:
         side(True).alias("internal_links"),
         side(False).alias("external_links"),
         m.word_count(text).alias("word_count"),
-        F.substring(text, 1, JS_LENGTH_LIMIT).alias("body_excerpt"),
+        F.substring(text, 1, EXCERPT).alias("body_excerpt"),
+        (F.substring(text, 1, judged_chars) if judged_chars else text).alias("body_text"),
     )
 
 

@@ -128,11 +128,13 @@ def metric_deltas(baseline: DataFrame, current: DataFrame, keys: list[str]) -> D
     return c.join(b, [*keys, "metric_id"]).withColumn("delta", F.col("after") - F.col("before"))
 
 
-def label_runs(fetch_log: DataFrame, keys: list[str], max_runs: int = 5) -> DataFrame:
-    """Run number of each fetch of a URL and its profile: crawl, cold, warm. Later fetches than the limit are
-    outside the repeat measurement by definition."""
+def label_runs(fetch_log: DataFrame, keys: list[str], max_runs: int | None = None) -> DataFrame:
+    """Run number of each fetch of a URL and its profile: crawl, cold, warm. All fetches are
+    labelled; ``max_runs`` leaves out later ones."""
     w = W.partitionBy(*keys, "url").orderBy("started_at", "event_id")
-    placed = fetch_log.withColumn("run", F.row_number().over(w)).filter(F.col("run") <= max_runs)
+    placed = fetch_log.withColumn("run", F.row_number().over(w))
+    if max_runs is not None:
+        placed = placed.filter(F.col("run") <= max_runs)
     return placed.withColumn(
         "profile", F.when(F.col("run") == 1, "crawl").when(F.col("run") == 2, "cold").otherwise("warm")
     )

@@ -16,7 +16,6 @@ KEYS = ["site_id", "run_id", "page_id"]
 RESOURCE_TAG = r"(?i)<\s*(?:script|link|img|source)\b[^>]*>"
 RESOURCE_NAME = r"(?i)^<\s*(script|link|img|source)"
 RESOURCE_ATTR = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
-MAX_SRCSET = 3
 # Resource type by file extension.
 TYPE_PATTERNS = [
     ("font", r"\.(woff2?|ttf|otf|eot)$"),
@@ -94,13 +93,9 @@ def _candidates(tag: Column, base: Column, in_head: Column) -> Column:
     )
     image = one(_resolve(get("src"), base), F.lit("image"), no, no, no, lazy)
     srcset = F.transform(
-        F.slice(
-            F.filter(
-                F.transform(F.split(get("srcset"), ","), lambda p: F.element_at(F.split(m.js_trim(p), r"\s+"), 1)),
-                lambda p: p != "",
-            ),
-            1,
-            MAX_SRCSET,
+        F.filter(
+            F.transform(F.split(get("srcset"), ","), lambda p: F.element_at(F.split(m.js_trim(p), r"\s+"), 1)),
+            lambda p: p != "",
         ),
         lambda p: one(_resolve(p, base), F.lit("image"), no, no, no, lazy),
     )

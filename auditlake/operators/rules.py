@@ -43,9 +43,9 @@ def _types_lack(name: str) -> Column:
 
 
 def _lacks_nap() -> Column:
-    text = F.lower("body_excerpt")
+    text = F.lower("body_text")
     address = text.rlike(r"street|st\.|road|avenue|suite|address")
-    digits = F.length(F.regexp_replace("body_excerpt", "[^0-9]", ""))
+    digits = F.length(F.regexp_replace("body_text", "[^0-9]", ""))
     return ~address | (digits < 7)
 
 
@@ -74,7 +74,7 @@ def page_rule_structs() -> list[Column]:
             "SEO-PERF-011",
             (F.coalesce(F.try_element_at("headers", F.lit("content-encoding")), F.lit("")) == "")
             & c("content_type").contains("text/html")
-            & (F.length("body_excerpt") > 500),
+            & (F.length("body_text") > 500),
         ),
         _emit("SEO-INDEX-001", c("robots_meta").rlike("(?i)noindex")),
         _emit("SEO-INDEX-003", c("canonical").isNull()),
@@ -114,7 +114,7 @@ def page_rule_structs() -> list[Column]:
             "SEO-LOCAL-004",
             local
             & ~has_key("openingHours", "openingHoursSpecification")
-            & ~c("body_excerpt").rlike(
+            & ~c("body_text").rlike(
                 ascii_edges(r"(?i)\b(?:open|hours|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b")
             ),
         ),
@@ -125,7 +125,7 @@ def page_rule_structs() -> list[Column]:
             shop
             & _types_lack("MerchantReturnPolicy")
             & ~has_key("hasMerchantReturnPolicy", "merchantReturnPolicy")
-            & ~c("body_excerpt").rlike(ascii_edges(r"(?i)\breturn(?:s| policy)?\b")),
+            & ~c("body_text").rlike(ascii_edges(r"(?i)\breturn(?:s| policy)?\b")),
         ),
     ]
 
@@ -171,7 +171,7 @@ DUPLICATE_KEYS = {
     "SEO-ONPAGE-002": lambda: F.lower(js_trim(F.col("title"))),
     "SEO-ONPAGE-006": lambda: F.lower(js_trim(F.col("meta_description"))),
     "SEO-CONTENT-002": lambda: F.when(
-        F.col("word_count") >= 80, F.lower(js_trim(F.substring("body_excerpt", 1, 600)))
+        F.col("word_count") >= 80, F.lower(js_trim(F.col("body_text")))
     ),
 }
 
@@ -254,13 +254,34 @@ def missing_hreflang(snapshots: DataFrame) -> DataFrame:
     )
 
 
+JSON_DOCUMENTS = ["/.well-known/agent-skills/index.json", "/.well-known/mcp.json", "/.well-known/api-catalog"]
+
+
+def judged_endpoints(endpoints: DataFrame) -> DataFrame:
+    """What site rules ask of each probe, judged in the probe's own row: bodies never leave it."""
+    c = F.col
+    body = F.coalesce("body", F.lit(""))
+    at = lambda *paths: c("path").isin(*paths)
+    asks = lambda path, pattern: F.when(at(path), body.rlike(pattern))
+    mcp = F.when(at(JSON_DOCUMENTS[1]) & c("ok") & F.trim("body").startswith("{"), c("body"))
+    return endpoints.select(
+        *SITE, "path", F.coalesce("ok", F.lit(False)).alias("ok"), "status", "content_type", "url",
+        asks("/robots.txt", r"(?im)disallow:\s*/\s*$").alias("blocks_all"),
+        asks("/robots.txt", r"(?im)^\s*sitemap:").alias("names_map"),
+        asks("/robots.txt", AI_SIGNAL).alias("signals_ai"),
+        asks("/robots.txt", PRIVATE_DISALLOW).alias("hides_private"),
+        F.when(at(*JSON_DOCUMENTS), F.try_parse_json(body).isNull()).alias("bad_json"),
+        F.when(at("/sitemap.xml", "/sitemap_index.xml", "/llms.txt"), x.private_references(body)).alias("private_refs"),
+        risky_tool_names(mcp).alias("risky_tools"),
+    )
+
+
 def endpoint_wide(endpoints: DataFrame) -> DataFrame:
-    """One row per site with a struct per probed path. A site has at most one row per path, 23 in all."""
+    """One row per site with a struct of judgements per probed path. A site has at most one row per path, 23 in all."""
     paths = [dims.MARKDOWN_PROBE, *dims.ENDPOINT_PATHS]
-    probe = F.struct("ok", "status", "content_type", "body", "url")
-    return endpoints.groupBy(*SITE).agg(
-        *[F.max(F.when(F.col("path") == p, probe)).alias(f"p_{i}") for i, p in enumerate(paths)]
-    )
+    judged = judged_endpoints(endpoints)
+    found = F.struct(*[n for n in judged.columns if n not in (*SITE, "path")])
+    return judged.groupBy(*SITE).agg(*[F.max(F.when(F.col("path") == p, found)).alias(f"p_{i}") for i, p in enumerate(paths)])
 
 
 def probe(path: str) -> str:
@@ -277,16 +298,15 @@ AI_SIGNAL = "(?i)content-signal|ai-input|ai-train|gptbot|google-extended|ccbot"
 def site_rule_structs(search_integrations: bool) -> list[Column]:
     c = F.col
     ok = lambda path: F.coalesce(c(probe(path))["ok"], F.lit(False))
-    body = lambda path: F.coalesce(c(probe(path))["body"], F.lit(""))
     kind = lambda path: c(probe(path))["content_type"]
-    robots, llms = body("/robots.txt"), body("/llms.txt")
+    robots = c(probe("/robots.txt"))
     sitemap_path_ok = ok("/sitemap.xml") | ok("/sitemap_index.xml")
     api_like = c("site_type").isin("api", "app")
-    bad_json = lambda path: F.try_parse_json(body(path)).isNull()
-    mcp = "/.well-known/mcp.json"
+    bad_json = lambda path: c(probe(path))["bad_json"]
+    mcp = JSON_DOCUMENTS[1]
     out = [
         _emit("SEO-CRAWL-001", ~ok("/robots.txt")),
-        _emit("SEO-CRAWL-003", ok("/robots.txt") & robots.rlike(r"(?im)disallow:\s*/\s*$")),
+        _emit("SEO-CRAWL-003", ok("/robots.txt") & robots["blocks_all"]),
         _emit("SEO-SITEMAP-001", ~sitemap_path_ok),
         _emit("SEO-SITEMAP-002", sitemap_path_ok & (c("n_sitemap_urls") == 0)),
         _emit(
@@ -294,9 +314,9 @@ def site_rule_structs(search_integrations: bool) -> list[Column]:
             sitemap_path_ok & ((F.size("sitemap_private") > 0) | (c("n_private_sitemap_urls") > 0)),
             refs=c("sitemap_private"),
         ),
-        _emit("SEO-CRAWL-004", ok("/robots.txt") & ~robots.rlike(r"(?im)^\s*sitemap:")),
-        _emit("AR-ROBOTS-004", ok("/robots.txt") & ~robots.rlike(AI_SIGNAL)),
-        _emit("AR-ROBOTS-006", ok("/robots.txt") & ~robots.rlike(PRIVATE_DISALLOW)),
+        _emit("SEO-CRAWL-004", ok("/robots.txt") & ~robots["names_map"]),
+        _emit("AR-ROBOTS-004", ok("/robots.txt") & ~robots["signals_ai"]),
+        _emit("AR-ROBOTS-006", ok("/robots.txt") & ~robots["hides_private"]),
         _emit("SEO-INTL-001", (c("n_hreflang") > 0) & (c("n_no_hreflang") > 0)),
         _emit("SEO-SITEMAP-011", (c("n_sitemap_urls") > 0) & (c("n_missing_from_sitemap") > 0)),
         _emit("SEO-LINK-009", (c("n_pages") >= 4) & (c("n_hubs") == 0)),
@@ -367,19 +387,12 @@ def site_rule_findings(
         if failed_metrics is not None
         else wide.withColumn("failed_metrics", none)
     )
-    answered = [F.when(F.col(probe(p))["ok"], F.col(probe(p))["body"]) for p in ("/sitemap.xml", "/sitemap_index.xml")]
-    sitemap = F.coalesce(*answered, F.lit(""))
-    mcp_body = F.col(probe("/.well-known/mcp.json"))
+    answered = [F.when(F.col(probe(p))["ok"], F.col(probe(p))["private_refs"]) for p in ("/sitemap.xml", "/sitemap_index.xml")]
     judged = wide.select(
         "*",
-        x.private_references(sitemap).alias("sitemap_private"),
-        x.private_references(F.coalesce(F.col(probe("/llms.txt"))["body"], F.lit(""))).alias("llms_private"),
-        F.coalesce(
-            risky_tool_names(
-                F.when(mcp_body["ok"] & F.trim(mcp_body["body"]).startswith("{"), mcp_body["body"])
-            ),
-            none,
-        ).alias("risky_tools"),
+        F.coalesce(*answered, none).alias("sitemap_private"),
+        F.coalesce(F.col(probe("/llms.txt"))["private_refs"], none).alias("llms_private"),
+        F.coalesce(F.col(probe(JSON_DOCUMENTS[1]))["risky_tools"], none).alias("risky_tools"),
     ).fillna(0, ["n_sitemap_urls", "n_private_sitemap_urls", "n_pages", "n_hubs", "n_hreflang", "n_no_hreflang", "n_missing_from_sitemap"])
     rows = judged.select(*SITE, F.posexplode(F.flatten(F.array(*site_rule_structs(search_integrations)))).alias("emit_ord", "f"))
     return rows.select(*SITE, "emit_ord", "f.rule_id", "f.title", "f.severity", "f.refs")

@@ -21,12 +21,24 @@ def _as_findings(rows: DataFrame, urls, templates) -> DataFrame:
     )
 
 
-def audit_facts(page_raw: DataFrame, endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
+def audit_facts(
+    page_raw: DataFrame,
+    endpoints: DataFrame,
+    sitemap_documents: DataFrame | None = None,
+    failed_metrics: DataFrame | None = None,
+    *,
+    search_integrations: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """(runs, facts): long scoring facts of page, group and site rules.
 
-    HTML is parsed once: the snapshot table is written and every rule reads the written columns it needs."""
+    HTML is parsed once: the snapshot table is written and every rule reads the written columns it needs. Runs are those
+    of any input, so a site that answered probes without an HTML page is scored too. ``sitemap_documents`` holds
+    fetched child sitemaps (site_id, run_id, url, body), ``failed_metrics`` the metrics over budget of each run
+    (site_id, run_id, failed_metrics)."""
     snap = materialise(pages.with_json_ld_types(pages.page_snapshots(page_raw)), "snapshots")
-    types = materialise(intel.site_types(snap), "site-types")
+    typed = intel.site_types(snap)
+    runs = snap.select(*SITE).unionByName(endpoints.select(*SITE)).distinct()
+    types = materialise(runs.join(typed, SITE, "left").fillna("content", ["site_type"]), "site-types")
     none = F.array().cast("array<string>")
 
     page = rules.page_rule_findings(rules.prepare_pages(snap, types))
@@ -42,22 +54,38 @@ def audit_facts(page_raw: DataFrame, endpoints: DataFrame) -> tuple[DataFrame, D
         .select(*of_group, F.lit("u").alias("kind"), F.col("affected_url").alias("value"))
     )
 
-    maps = discovery.sitemap_entries(endpoints.filter("ok AND path IN ('/sitemap.xml', '/sitemap_index.xml')"))
-    missing = rules.missing_from_sitemap(snap, maps).groupBy(*SITE).agg(F.count("*").alias("n_missing_from_sitemap"))
-    site = rules.site_rule_findings(
-        types, endpoints, discovery.sitemap_url_counts(endpoints), rules.page_rollup(snap), types, missing
+    universe = discovery.sitemap_universe(endpoints, sitemap_documents)
+    missing = materialise(rules.missing_from_sitemap(snap, universe).select(*SITE, "affected_url"), "missing-from-sitemap")
+    n_missing = missing.groupBy(*SITE).agg(F.count("*").alias("n_missing_from_sitemap"))
+    site = materialise(
+        rules.site_rule_findings(
+            types, endpoints, discovery.sitemap_url_counts(endpoints, sitemap_documents), rules.page_rollup(snap), types, n_missing,
+            failed_metrics, search_integrations=search_integrations,
+        ),
+        "site-findings",
+    )
+    # A rule about pages names each of them, one row per page; the others name their site.
+    of_pages = missing.withColumn("rule_id", F.lit("SEO-SITEMAP-011")).unionByName(
+        rules.missing_hreflang(snap).select(*SITE, "affected_url").withColumn("rule_id", F.lit("SEO-INTL-001"))
     )
-    site_facts = scoring.finding_facts(_as_findings(site, F.array("site_id"), F.coalesce("refs", none)))
-    return types.select(*SITE), page_facts.unionByName(group_facts).unionByName(site_facts)
+    own = F.when(F.col("rule_id").isin("SEO-SITEMAP-011", "SEO-INTL-001"), none).otherwise(F.array("site_id"))
+    site_facts = scoring.finding_facts(_as_findings(site, own, F.coalesce("refs", none)))
+    named_pages = (
+        rules.with_catalogue(site).select(*of_group).join(of_pages, [*SITE, "rule_id"])
+        .select(*of_group, F.lit("u").alias("kind"), F.col("affected_url").alias("value"))
+    )
+    return runs, page_facts.unionByName(group_facts).unionByName(site_facts).unionByName(named_pages)
 
 
-def audit_scores(page_raw: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Area scores, total and composite of every site and run."""
-    runs, facts = audit_facts(page_raw, endpoints)
+def audit_scores(page_raw: DataFrame, endpoints: DataFrame, sitemap_documents: DataFrame | None = None, failed_metrics: DataFrame | None = None, **options) -> DataFrame:
+    """Area scores and total of every site and run. The total counts stable rules only, as the ledger's primary score."""
+    runs, facts = audit_facts(page_raw, endpoints, sitemap_documents, failed_metrics, **options)
     penalties = materialise(scoring.with_penalty(scoring.group_facts(facts)), "penalties")
-    mapping = {**dims.AREAS, "total": dims.PROFILES["core_seo"]}
-    long = scoring.scores_by(runs, penalties, mapping, "area")
-    wide = long.groupBy(*SITE).agg(*[F.max(F.when(F.col("area") == a, F.col("score"))).alias(a) for a in mapping])
+    stable = penalties.filter(rules.maturity(F.col("rule_id")) == "stable")
+    long = scoring.scores_by(runs, penalties, dims.AREAS, "area").unionByName(
+        scoring.scores_by(runs, stable, {"total": dims.PROFILES["core_seo"]}, "area")
+    )
+    wide = long.groupBy(*SITE).agg(*[F.max(F.when(F.col("area") == a, F.col("score"))).alias(a) for a in (*dims.AREAS, "total")])
     return wide.withColumn("level", scoring.level(F.col("total")))
 
 

@@ -21,7 +21,7 @@ _FIELDS = ["rule_id", "title", "category", "severity", "recommendation", "fix"]
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in _FIELDS]) for r in dims.EMITTED])
-    lines = inputs.spread(inputs.table(spark, sf_dir, "lineitem")).selectExpr(*inputs._split(LINE_SQL))
+    lines = inputs.dealt(inputs.table(spark, sf_dir, "lineitem")).selectExpr(*inputs._split(LINE_SQL))
     c = F.col
     rows = lines.withColumn("r", F.element_at(rules, c("rule_no") + 1))
     one = lambda x: F.array_compact(F.array(x))

@@ -72,20 +72,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document texts, dealt out where they come in fewer files than there are cores."""
-    return spread(table(spark, sf_dir, "documents"))
+    """Document texts."""
+    return dealt(table(spark, sf_dir, "documents"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Text is costly to scan. Where the table has fewer files than cores (small data) its rows are dealt out;
-    a lake of many files is read as it is, without any exchange."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+#: Setting of the caller: deal the rows of text tables out to so many partitions. Off unless set: a lake of many files is
+#: read as it lies. A table in one small file, as in benches, is read by one task otherwise.
+INPUT_PARTITIONS = "spark.auditlake.inputPartitions"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Text is costly to scan; the caller may have its rows dealt out."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def page_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze pages with response facts."""
-    bound = spread(table(spark, sf_dir, "pages")).selectExpr(*_split(PAGE_RAW_SQL))
+    bound = dealt(table(spark, sf_dir, "pages")).selectExpr(*_split(PAGE_RAW_SQL))
     headers = F.map_filter(
         F.create_map(
             F.lit("content-type"), F.col("content_type"), F.lit("cache-control"), F.col("cache_control"),

@@ -114,7 +114,7 @@ hre AS (SELECT DISTINCT page_id, lower({at("tag", "hreflang")}) AS language, {re
 txt AS (SELECT page_id, {visible("html")} AS text, nullif({visible("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, '') AS title FROM rp),
 snap AS (SELECT rp.site_id, rp.run_id, rp.page_id, rp.url, rp.final_url, rp.status, rp.content_type, rp.cache_control, rp.content_encoding, rp.n_hops, rp.depth, rp.ord,
   txt.title, d.v AS meta_description, r.v AS robots_meta, w.v AS viewport, c.v AS canonical, l.v AS lang,
-  substr(txt.text, 1, 1200) AS body_excerpt, len(list_filter(regexp_split_to_array(txt.text, {q(SP + "+")}), lambda s: s <> '')) AS word_count,
+  substr(txt.text, 1, 1200) AS body_excerpt, txt.text AS body_text, len(list_filter(regexp_split_to_array(txt.text, {q(SP + "+")}), lambda s: s <> '')) AS word_count,
   coalesce(h.n_heads, 0) AS n_heads, coalesce(h.n_h1, 0) AS n_h1, coalesce(k.n_int, 0) AS n_int, coalesce(k.n_ext, 0) AS n_ext,
   coalesce(i.n_img, 0) AS n_img, coalesce(i.n_noalt, 0) AS n_noalt, coalesce(i.n_nodim, 0) AS n_nodim,
   coalesce(j.n_ld, 0) AS n_ld, coalesce(j.n_bad, 0) AS n_bad, coalesce(t.types, []) AS types,

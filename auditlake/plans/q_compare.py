@@ -80,21 +80,22 @@ def b3(spark, sf):
     return cmp.regression_policy(rows).select("site_id", "regression_gate", F.array_join("failed_reasons", "|").alias("failed_reasons"))
 
 
-_PATTERNS = ["/p/1", "/p/[0-9]$", None, "(broken"]
-SUP_SQL = "'https://s' || CAST(p_partkey % 100 AS STRING) || '.example' AS site_id, 'sup-' || CAST(p_partkey AS STRING) AS suppression_id, CAST(p_partkey % 72 AS INT) AS rule_no, p_partkey % 4 AS pattern_no, CASE p_size % 3 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '2030-01-01' END AS expires_at, 'known' AS reason"
+_PATTERNS = ["/p/1", "/p/[0-9]$", None, "(?P<n>broken)"]
+SUP_SQL = "'https://s' || CAST(p_partkey % 100 AS STRING) || '.example' AS site_id, 'sup-' || CAST(p_partkey AS STRING) AS suppression_id, CAST(p_partkey % 72 AS INT) AS rule_no, p_partkey % 4 AS pattern_no, CASE p_size % 3 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '2030-01-01' ELSE CASE WHEN p_partkey % 5 = 0 THEN 'soon' END END AS expires_at, 'known' AS reason"
 SUP = f"""sup AS (SELECT site_id, suppression_id, rule_id, expires_at, pattern_no FROM (SELECT {SUP_SQL} FROM part) JOIN rules USING (rule_no)),
 fu AS (SELECT DISTINCT site_id, rule_id, page_url AS url FROM fnd WHERE page_url IS NOT NULL),
-sm AS (SELECT site_id, suppression_id, rule_id, url FROM sup JOIN fu USING (site_id, rule_id) WHERE coalesce(expires_at, '9') >= '2025-01-01' AND CASE pattern_no WHEN 0 THEN regexp_matches(url, '/p/1') WHEN 1 THEN regexp_matches(url, '/p/[0-9]$') WHEN 2 THEN true ELSE false END)"""
+sm AS (SELECT site_id, suppression_id, rule_id, url FROM sup JOIN fu USING (site_id, rule_id) WHERE coalesce(nullif(expires_at, 'soon'), '9') >= '2025-01-01' AND CASE pattern_no WHEN 0 THEN regexp_matches(url, '/p/1') WHEN 1 THEN regexp_matches(url, '/p/[0-9]$') WHEN 2 THEN true ELSE false END)"""
 
 
 def suppressions(spark, sf):
     rows = inputs.table(spark, sf, "part").selectExpr(*inputs._split(SUP_SQL))
     ids = F.array(*[F.lit(r["rule_id"]) for r in dims.EMITTED])
-    patterns = F.array(*[F.lit(cmp.checked_pattern(x)) for x in _PATTERNS])
-    return rows.select(
+    patterns = F.array(*[F.lit(x) for x in _PATTERNS])
+    listed = rows.select(
         "site_id", "suppression_id", F.element_at(ids, F.col("rule_no") + 1).alias("rule_id"),
         F.element_at(patterns, F.col("pattern_no").cast("int") + 1).alias("url_pattern"), "expires_at", "reason",
     )
+    return cmp.checked_patterns(listed)
 
 
 TODAY = "2025-01-01 00:00:00"
@@ -105,7 +106,7 @@ def b4(spark, sf):
     return cmp.suppression_matches(suppressions(spark, sf), fi.findings(spark, sf), F.lit(TODAY).cast("timestamp"))
 
 
-@query("B4_suppression_report", fi.with_([SUP], "SELECT site_id, suppression_id, rule_id, CASE WHEN expires_at < '2025-01-01' THEN 'expired' WHEN n > 0 THEN 'matched' ELSE 'unmatched' END AS state, coalesce(n, 0) AS n_urls FROM sup LEFT JOIN (SELECT site_id, suppression_id, count(*) AS n FROM sm GROUP BY 1, 2) USING (site_id, suppression_id)"))
+@query("B4_suppression_report", fi.with_([SUP], "SELECT site_id, suppression_id, rule_id, CASE WHEN nullif(expires_at, 'soon') < '2025-01-01' THEN 'expired' WHEN n > 0 THEN 'matched' ELSE 'unmatched' END AS state, coalesce(n, 0) AS n_urls FROM sup LEFT JOIN (SELECT site_id, suppression_id, count(*) AS n FROM sm GROUP BY 1, 2) USING (site_id, suppression_id)"))
 def b4b(spark, sf):
     now, sup = F.lit(TODAY).cast("timestamp"), suppressions(spark, sf)
     return cmp.suppression_report(sup, cmp.suppression_matches(sup, fi.findings(spark, sf), now), now)
@@ -274,7 +275,7 @@ IDS_SQL = "replace(html, '<article>', '<article id=\"main\"><a href=\"#none\">x<
 
 @query("V8_html_ids", f"SELECT page_id, len(ids) - len(list_distinct(ids)) AS n_duplicate_ids, len(list_filter(list_distinct(tg), lambda t: NOT list_contains(ids, t))) AS n_dangling FROM (SELECT page_id, regexp_extract_all(html2, {o.q(ck.ID_ATTR)}, 1) AS ids, regexp_extract_all(html2, {o.q(ck.TARGET_ATTR)}, 1) AS tg FROM (SELECT page_id, {IDS_SQL} FROM pages))")
 def v8(spark, sf):
-    rows = inputs.spread(inputs.table(spark, sf, "pages")).selectExpr("page_id", IDS_SQL)
+    rows = inputs.dealt(inputs.table(spark, sf, "pages")).selectExpr("page_id", IDS_SQL)
     out = ck.html_id_checks(rows, ["page_id"], "html2")
     return out.select("page_id", F.col("n_duplicate_ids").cast("long").alias("n_duplicate_ids"), F.col("n_dangling").cast("long").alias("n_dangling"))
 

@@ -330,7 +330,7 @@ def i14(spark, sf):
     return rendered(spark, sf).select("event_id", F.array_join("frameworks", ",").alias("frameworks"), F.array_join("bundlers", ",").alias("bundlers"))
 
 
-@query("F23_run_labels", o.with_([FETCH], "SELECT event_id, run, CASE run WHEN 1 THEN 'crawl' WHEN 2 THEN 'cold' ELSE 'warm' END AS profile FROM (SELECT event_id, row_number() OVER (PARTITION BY site_id, url ORDER BY started_at, event_id) AS run FROM fetched) WHERE run <= 5"))
+@query("F23_run_labels", o.with_([FETCH], "SELECT event_id, run, CASE run WHEN 1 THEN 'crawl' WHEN 2 THEN 'cold' ELSE 'warm' END AS profile FROM (SELECT event_id, row_number() OVER (PARTITION BY site_id, url ORDER BY started_at, event_id) AS run FROM fetched)"))
 def f23(spark, sf):
     return pf.label_runs(fetch_log(spark, sf), KEY).select("event_id", F.col("run").cast("long").alias("run"), "profile")
 

@@ -157,7 +157,7 @@ rc AS (
  SELECT page_id, page_url, pos, 0 AS sub, in_head, {o.resolve(o.at("tag", "src"), "page_url")} AS url, 'script' AS type, NOT regexp_matches(tag, '(?i)\\s(async|defer)[\\s>]') AS render_blocking, regexp_matches(tag, '(?i)\\sasync[\\s>]') AS is_async, regexp_matches(tag, '(?i)\\sdefer[\\s>]') AS is_defer, false AS lazy FROM rt WHERE name = 'script'
  UNION ALL SELECT page_id, page_url, pos, 0, in_head, {o.resolve(o.at("tag", "href"), "page_url")}, CASE {o.at("tag", "rel")} WHEN 'stylesheet' THEN 'stylesheet' WHEN 'preload' THEN 'font' ELSE 'image' END, {o.at("tag", "rel")} = 'stylesheet', false, false, false FROM rt WHERE name = 'link' AND {o.at("tag", "rel")} IN ('stylesheet', 'preload', 'icon')
  UNION ALL SELECT page_id, page_url, pos, 0, in_head, {o.resolve(o.at("tag", "src"), "page_url")}, 'image', false, false, false, contains(tag, 'loading="lazy"') FROM rt WHERE name IN ('img', 'source')
- UNION ALL SELECT page_id, page_url, pos, i, in_head, {o.resolve("trim(s)", "page_url")}, 'image', false, false, false, false FROM (SELECT page_id, page_url, pos, in_head, unnest(range(1, 4)) AS i, split_part(trim(split_part({o.at("tag", "srcset")}, ',', CAST(unnest(range(1, 4)) AS INT))), ' ', 1) AS s FROM rt WHERE name = 'source')),
+ UNION ALL SELECT page_id, page_url, pos, i, in_head, {o.resolve("trim(s)", "page_url")}, 'image', false, false, false, false FROM (SELECT page_id, page_url, pos, in_head, unnest(range(1, 5)) AS i, split_part(trim(split_part({o.at("tag", "srcset")}, ',', CAST(unnest(range(1, 5)) AS INT))), ' ', 1) AS s FROM rt WHERE name = 'source')),
 res AS (SELECT page_id, url, arg_min(type, pos * 10 + sub) AS type, arg_min(in_head, pos * 10 + sub) AS in_head, bool_or(render_blocking) AS render_blocking, bool_or(is_async) AS is_async, bool_or(is_defer) AS is_defer, bool_or(lazy) AS lazy,
  bool_or(regexp_extract(url, '^https?://[^/]+') = regexp_extract(page_url, '^https?://[^/]+')) AS same_origin FROM rc WHERE url IS NOT NULL GROUP BY page_id, url)"""
 

@@ -18,17 +18,17 @@ from auditlake.plans.registry import query
 from auditlake.session import materialise
 
 KINDS = " ".join(f"WHEN bool_or(regexp_matches(t, {o.q(pattern)})) THEN '{name}'" for name, pattern in it.SITE_TYPES)
-STYPE = f"stype AS (SELECT site_id, CASE {KINDS} ELSE 'content' END AS site_type FROM (SELECT site_id, lower(final_url || chr(10) || body_excerpt || chr(10) || array_to_string(types, ' ')) AS t FROM snap) GROUP BY site_id)"
+STYPE = f"stype AS (SELECT site_id, CASE {KINDS} ELSE 'content' END AS site_type FROM (SELECT site_id, lower(final_url || chr(10) || body_text || chr(10) || array_to_string(types, ' ')) AS t FROM snap) GROUP BY site_id)"
 HAS = lambda t: f"list_contains(types, '{t}')"
-C600 = "lower(trim(substr(body_excerpt, 1, 600)))"
+BODY_KEY = "lower(trim(body_text))"
 LDKEY = "EXISTS (SELECT 1 FROM ld WHERE ld.page_id = s.page_id AND NOT bad AND contains(raw, '\"openingHours\"'))"
-_ADDRESS = "regexp_matches(lower(body_excerpt), 'street|st\\.|road|avenue|suite|address')"
-_DIGITS = "length(regexp_replace(body_excerpt, '[^0-9]', '', 'g')) >= 7"
+_ADDRESS = "regexp_matches(lower(body_text), 'street|st\\.|road|avenue|suite|address')"
+_DIGITS = "length(regexp_replace(body_text, '[^0-9]', '', 'g')) >= 7"
 PAGE_RULES = {
     "SEO-TECH-002": "n_hops > 2",
     "SEO-TECH-001": "status < 200 OR status >= 400",
     "SEO-PERF-010": "cache_control = ''",
-    "SEO-PERF-011": "content_encoding = '' AND length(body_excerpt) > 500",
+    "SEO-PERF-011": "content_encoding = '' AND length(body_text) > 500",
     "SEO-INDEX-001": "coalesce(regexp_matches(robots_meta, '(?i)noindex'), false)",
     "SEO-INDEX-003": "canonical IS NULL",
     "SEO-INDEX-004": f"canonical IS NOT NULL AND {o.canon('canonical')} <> {o.canon('final_url')}",
@@ -56,10 +56,10 @@ PAGE_RULES = {
     "SEO-INTL-005": "n_hre > 0 AND NOT xdef",
     "SEO-LOCAL-001": f"site_type = 'local-business' AND NOT ({_ADDRESS} AND {_DIGITS})",
     "SEO-LOCAL-003": f"site_type = 'local-business' AND NOT {HAS('LocalBusiness')}",
-    "SEO-LOCAL-004": f"site_type = 'local-business' AND NOT {LDKEY} AND NOT regexp_matches(body_excerpt, '(?i)\\b(?:open|hours|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\b')",
+    "SEO-LOCAL-004": f"site_type = 'local-business' AND NOT {LDKEY} AND NOT regexp_matches(body_text, '(?i)\\b(?:open|hours|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\b')",
     "SEO-ECOM-001": f"site_type = 'commerce' AND NOT {HAS('Product')}",
     "SEO-ECOM-002": f"site_type = 'commerce' AND NOT {HAS('Offer')}",
-    "SEO-ECOM-013": "site_type = 'commerce' AND NOT regexp_matches(body_excerpt, '(?i)\\breturn(?:s| policy)?\\b')",
+    "SEO-ECOM-013": "site_type = 'commerce' AND NOT regexp_matches(body_text, '(?i)\\breturn(?:s| policy)?\\b')",
 }
 _LIST = ", ".join(f"CASE WHEN {cond} THEN '{rule}' END" for rule, cond in PAGE_RULES.items())
 _TITLES = "ttl(rule_id, title, severity) AS (VALUES " + dims.values_sql([(x["rule_id"], x["title"], x["severity"]) for x in dims.EMITTED]) + ")"
@@ -89,7 +89,7 @@ def page_rule_counts(spark, sf):
 
 
 DUP = f"""dk AS (SELECT site_id, page_id, final_url, 'SEO-ONPAGE-002' AS rule_id, lower(trim(title)) AS k FROM snap UNION ALL SELECT site_id, page_id, final_url, 'SEO-ONPAGE-006', lower(trim(meta_description)) FROM snap
- UNION ALL SELECT site_id, page_id, final_url, 'SEO-CONTENT-002', {C600} FROM snap WHERE word_count >= 80)"""
+ UNION ALL SELECT site_id, page_id, final_url, 'SEO-CONTENT-002', {BODY_KEY} FROM snap WHERE word_count >= 80)"""
 
 
 def whole_table(df):
@@ -123,8 +123,7 @@ MISS = f"miss AS (SELECT s.site_id, s.page_id, s.final_url AS affected_url FROM
 
 
 def sitemap_urls(ep):
-    maps = ep.filter("ok AND path IN ('/sitemap.xml', '/sitemap_index.xml')")
-    return d.sitemap_entries(maps)
+    return d.sitemap_universe(ep)
 
 
 @query("R_SEO_SITEMAP_011", o.with_([*o.PAGE_CTES, o.ENDPOINTS, SMAP, MISS], "SELECT * FROM miss"))
@@ -218,7 +217,7 @@ def catalogue_findings(spark, sf):
     return out.select("page_id", "rule_id", "category", "confidence", "fix_class", "effort")
 
 
-@query("R2_evidence_rows", o.with_([*o.PAGE_CTES, STYPE, PF], "SELECT page_id, rule_id, substr(regexp_replace(affected_url, '[^A-Za-z0-9]+', '-', 'g'), 1, 48) || '-' || lower(rule_id) AS evidence_id FROM pf"))
+@query("R2_evidence_rows", o.with_([*o.PAGE_CTES, STYPE, PF], "SELECT page_id, rule_id, substr(regexp_replace(affected_url, '[^A-Za-z0-9]+', '-', 'g'), 1, 48) || '-' || substr(md5(affected_url), 1, 16) || '-' || lower(rule_id) AS evidence_id FROM pf"))
 def r2(spark, sf):
     from auditlake.operators.evidence import page_evidence
 
@@ -398,12 +397,14 @@ REFS = f"refs AS (SELECT site_id, 'SEO-SITEMAP-008' AS rule_id, unnest({o.privat
 FACTS = """fct AS (SELECT site_id, rule_id, title, severity, 'f' AS kind, NULL AS value FROM pf UNION ALL SELECT site_id, rule_id, title, severity, 'u', affected_url FROM pf
  UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM (SELECT site_id, rule_id, k FROM dk WHERE k <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1) JOIN ttl USING (rule_id)
  UNION ALL SELECT site_id, rule_id, title, severity, 'u', final_url FROM (SELECT *, count(*) OVER (PARTITION BY site_id, rule_id, k) AS n FROM dk WHERE k <> '') JOIN ttl USING (rule_id) WHERE n > 1
- UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM sfa UNION ALL SELECT site_id, rule_id, title, severity, 'u', site_id FROM sfa UNION ALL SELECT sfa.site_id, sfa.rule_id, title, severity, 't', ref FROM sfa JOIN refs USING (site_id, rule_id)),
+ UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM sfa UNION ALL SELECT site_id, rule_id, title, severity, 'u', site_id FROM sfa WHERE rule_id NOT IN ('SEO-SITEMAP-011', 'SEO-INTL-001')
+ UNION ALL SELECT site_id, rule_id, title, severity, 'u', affected_url FROM sfa JOIN miss USING (site_id) WHERE rule_id = 'SEO-SITEMAP-011'
+ UNION ALL SELECT sfa.site_id, rule_id, sfa.title, severity, 'u', final_url FROM sfa JOIN snap USING (site_id) WHERE rule_id = 'SEO-INTL-001' AND n_hre = 0 UNION ALL SELECT sfa.site_id, sfa.rule_id, title, severity, 't', ref FROM sfa JOIN refs USING (site_id, rule_id)),
 gf AS (SELECT site_id, rule_id, title, category, severity, any_value(confidence) AS confidence, count(*) FILTER (kind = 'f') AS nf, count(DISTINCT value) FILTER (kind = 'u') AS nu, count(DISTINCT value) FILTER (kind = 't') AS nt FROM fct JOIN cc USING (rule_id) GROUP BY 1, 2, 3, 4, 5),
 gp AS (SELECT *, """ + f"({_SEV(dims.BASE_PENALTY)}) * confidence / 100.0{_D} + least(greatest(0, greatest(nf, nu, nt) - 1){_D} * ({_SEV(dims.STEP_PENALTY)}) * confidence / 100.0{_D}, ({_SEV(dims.CAP_PENALTY)}) * confidence / 100.0{_D}) AS penalty FROM gf)"
 _MAP = {**dims.AREAS, "total": dims.PROFILES["core_seo"]}
 _AMAP = "am(area, category) AS (VALUES " + dims.values_sql([(k, c) for k, cs in _MAP.items() for c in cs]) + ")"
-_SC = "CAST(greatest(0, least(100, floor(round(100.0::DOUBLE - coalesce(sum(penalty) FILTER (area = '{a}'), 0), 6) + 0.5))) AS INT)"
+_SC = "CAST(greatest(0, least(100, floor(round(100.0::DOUBLE - coalesce(sum(penalty) FILTER (area = '{a}' AND ('{a}' <> 'total' OR NOT regexp_matches(rule_id, '^(AR-|SEO-SEARCH-)'))), 0), 6) + 0.5))) AS INT)"
 
 
 @query("A_site_audit", o.with_([*SITE_CTES, PF.split(",\n", 1)[1], DUP, _CATC, SITE_ONLY, REFS, FACTS, _AMAP, "wide2 AS (SELECT st.site_id, " + ", ".join(f'{_SC.replace("{a}", a)} AS "{a}"' for a in _MAP) + " FROM stype st LEFT JOIN gp USING (site_id) LEFT JOIN am USING (category) GROUP BY 1)"],

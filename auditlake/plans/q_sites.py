@@ -77,12 +77,12 @@ def u5(spark, sf):
 
 
 @query("U8_href_admission", f"""SELECT doc_id, CASE WHEN regexp_matches(lower(regexp_replace(h, '[\\x00-\\x20\\x7f]', '', 'g')), '^(javascript|data|vbscript|mailto|tel):') THEN NULL ELSE 'https://base.example/d/' || CAST(doc_id AS VARCHAR) END AS admitted
-FROM (SELECT doc_id, ['java' || chr(10) || ' script:x', ' MAILTO:a', 'tel:1', 'vb' || chr(9) || 'script:', 'data:,x', ''][CAST(doc_id % 6 AS INT) + 1] || CASE WHEN doc_id % 6 = 5 THEN CAST(doc_id AS VARCHAR) ELSE substr(text, 1, 9) END AS h FROM documents)""")
+FROM (SELECT doc_id, ['java' || chr(10) || ' script:x', ' MAILTO:a', 'tel:1', 'vb' || chr(9) || 'script:', 'data:,x', ''][CAST(doc_id % 6 AS INT) + 1] || CASE WHEN doc_id % 6 = 5 THEN CAST(doc_id AS VARCHAR) ELSE text END AS h FROM documents)""")
 def u8(spark, sf):
     heads = F.array(*[F.lit(s) for s in ("java\n script:x", " MAILTO:a", "tel:1", "vb\tscript:", "data:,x", "")])
     h = F.concat(
         F.element_at(heads, (F.col("doc_id") % 6).cast("int") + 1),
-        F.when(F.col("doc_id") % 6 == 5, F.col("doc_id").cast("string")).otherwise(F.substring("text", 1, 9)),
+        F.when(F.col("doc_id") % 6 == 5, F.col("doc_id").cast("string")).otherwise(F.col("text")),
     )
     base = u.url_parts(F.lit("https://base.example/d/page.html"))
     return inputs.texts(spark, sf).select("doc_id", u.admit_href(h, base).alias("admitted"))
@@ -155,13 +155,13 @@ def x4(spark, sf):
     return secrets(spark, sf).select("doc_id", F.md5(x.redact_text(F.col("body"))).alias("redacted_md5"))
 
 
-@query("X5_redact_record", o.with_([SEC], f"SELECT doc_id, {_redact('substr(body, -120)')} AS a, {_redact('substr(body, -60)')} AS b, doc_id * 2 AS n FROM sec"))
+@query("X5_redact_record", o.with_([SEC], f"SELECT doc_id, {_redact('body')} AS a, {_redact('body')} AS b, doc_id * 2 AS n FROM sec"))
 def x5(spark, sf):
     nested = secrets(spark, sf).select(
         "doc_id",
         F.struct(
-            F.substring("body", -120, 120).alias("a"),
-            F.array(F.create_map(F.lit("k"), F.substring("body", -60, 60))).alias("list"),
+            F.col("body").alias("a"),
+            F.array(F.create_map(F.lit("k"), F.col("body"))).alias("list"),
             (F.col("doc_id") * 2).alias("n"),
         ).alias("rec"),
     )
@@ -264,7 +264,7 @@ def d6(spark, sf):
 
 
 # Index documents: every site lists its own pages as child sitemaps; each page's link list is the child's body.
-@query("D7_sitemap_index", o.with_([o.RP], """SELECT site_id, child, loc FROM (SELECT site_id, url AS child, unnest(list_transform(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), lambda h: 'https://x.example' || h)) AS loc FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY page_id, url) AS rn FROM rp) WHERE rn <= 5)"""))
+@query("D7_sitemap_index", o.with_([o.RP], """SELECT site_id, child, loc FROM (SELECT site_id, url AS child, unnest(list_transform(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), lambda h: 'https://x.example' || h)) AS loc FROM (SELECT DISTINCT site_id, url, html FROM rp))"""))
 def d7(spark, sf):
     raw = inputs.page_raw(spark, sf)
     index = raw.select("site_id", "run_id", "ord", F.col("url").alias("loc"), F.col("site_id").alias("site_origin"))
@@ -272,7 +272,7 @@ def d7(spark, sf):
         F.transform(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1)), lambda h: F.concat(F.lit("<loc>https://x.example"), h, F.lit("</loc>"))), ""
     )
     docs = raw.select("site_id", "run_id", "url", body.alias("body"))
-    return d.expand_index(index, docs, max_children=5).select("site_id", "child", "loc")
+    return d.expand_index(index, docs).select("site_id", "child", "loc")
 
 
 @query("D8_sitemap_candidates", o.with_([o.ENDPOINTS], """SELECT DISTINCT site_id, s AS sitemap_url FROM (SELECT site_id, unnest(regexp_extract_all(body, '(?m)^Sitemap: (.*)$', 1)) AS s FROM ep WHERE path = '/robots.txt' UNION ALL SELECT site_id, url FROM ep WHERE path IN ('/sitemap.xml', '/sitemap_index.xml') AND ok)"""))
@@ -301,12 +301,12 @@ def d12(spark, sf):
     return inputs.endpoint_raw(spark, sf).select("site_id", "path", F.col("content_type").rlike("(?i)markdown|text/plain").alias("usable"))
 
 
-@query("S3_probe_grid", o.with_([o.ENDPOINTS], "SELECT site_id, path, ok, substr(body, 1, 40) AS body FROM ep WHERE path <> '/'"))
+@query("S3_probe_grid", o.with_([o.ENDPOINTS], "SELECT site_id, path, ok, body FROM ep WHERE path <> '/'"))
 def s3(spark, sf):
     ep = inputs.endpoint_raw(spark, sf)
     sites = ep.select("site_id", "run_id").distinct()
     answered = ep.filter("ok OR content_type <> 'text/plain' OR path <> '/'")
-    return d.probes(sites, answered, excerpt_limit=40).select("site_id", "path", "ok", "body")
+    return d.probes(sites, answered).select("site_id", "path", "ok", "body")
 
 
 @query("S4_body_excerpt", "SELECT doc_id, length(substr(text, 1, 4000)) AS n, md5(substr(text, 1, 4000)) AS excerpt_md5 FROM documents")
@@ -331,15 +331,13 @@ SAFE = "safe AS (SELECT * FROM edges WHERE NOT contains(dst, '/admin/'))"
 SEEDS = "seeds AS (SELECT DISTINCT site_id, site_id || '/p/1' AS url FROM edges)"
 
 
-@query("G1_crawl_depth", o.with_([EDGES, SAFE, SEEDS,
-    "l1 AS (SELECT DISTINCT s.site_id, s.dst AS url FROM safe s JOIN seeds f ON s.site_id = f.site_id AND s.src = f.url WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.url = s.dst))",
-    "l2 AS (SELECT DISTINCT s.site_id, s.dst AS url FROM safe s JOIN l1 f ON s.site_id = f.site_id AND s.src = f.url WHERE s.dst NOT IN (SELECT url FROM seeds UNION ALL SELECT url FROM l1))",
-    "l3 AS (SELECT DISTINCT s.site_id, s.dst AS url FROM safe s JOIN l2 f ON s.site_id = f.site_id AND s.src = f.url WHERE s.dst NOT IN (SELECT url FROM seeds UNION ALL SELECT url FROM l1 UNION ALL SELECT url FROM l2))"],
-    "SELECT site_id, url, 0 AS depth FROM seeds UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3"))
+@query("G1_crawl_depth", "WITH RECURSIVE " + ",\n".join([EDGES, SAFE, SEEDS,
+    "walk AS (SELECT site_id, url, 0 AS depth FROM seeds UNION SELECT s.site_id, s.dst, w.depth + 1 FROM walk w JOIN safe s ON s.site_id = w.site_id AND s.src = w.url WHERE w.depth < 60)"])
+    + "\nSELECT site_id, url, min(depth) AS depth FROM walk GROUP BY 1, 2")
 def g1(spark, sf):
     e = edges(spark, sf)
     seeds = e.select("site_id", "run_id").distinct().withColumn("url", F.concat("site_id", F.lit("/p/1")))
-    return g.crawl_depth(e, seeds, max_depth=3).select("site_id", "url", "depth")
+    return g.crawl_depth(e, seeds).select("site_id", "url", "depth")
 
 
 @query("G2_nodes_and_edges", o.with_([o.RP, o.TAGS, o.LINKS], "SELECT url AS src, dst, rp.depth, rp.status FROM links JOIN (SELECT page_id, depth, status FROM rp) rp USING (page_id) WHERE internal"))

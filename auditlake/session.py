@@ -24,7 +24,9 @@ def build_session(app_name: str = "auditlake", master: str | None = None) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only where none is set (tests) a fresh temporary one is made."""
+    """The cluster's shared checkpoint folder. On a local master, where driver and executors are one machine, a fresh
+    temporary folder stands in for a missing setting; on a cluster its absence is an error, since executors would write
+    to disks that nobody else reads."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(conf)
         return conf
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         made = tempfile.mkdtemp(prefix="auditlake-ckpt-")
         spark.sparkContext.setCheckpointDir(made)
         return made

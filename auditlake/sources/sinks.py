@@ -16,7 +16,7 @@ def quoted_csv(df: DataFrame, path: str) -> None:
 
 
 def gold(df: DataFrame, path: str, *, files_per_run: int | None = None) -> None:
-    """Gold table partitioned by run; rows of a site lie together because files are range-clustered by site.
+    """Gold table partitioned by run; writing a run replaces that run and leaves the others. Rows of a site lie together because files are range-clustered by site.
 
     A site may be a third of the table, so it is clustered by (run, site, a hash of the whole row's order key)
     and may span many files."""
@@ -25,7 +25,7 @@ def gold(df: DataFrame, path: str, *, files_per_run: int | None = None) -> None:
     ) else F.lit(0)
     cols = ["run_id", "site_id", spread]
     placed = df.repartitionByRange(files_per_run, *cols) if files_per_run else df.repartitionByRange(*cols)
-    placed.write.mode("overwrite").partitionBy("run_id").parquet(path)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def upsert_runs(index: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -95,9 +95,9 @@ def test_robots_and_sitemap_reading(spark):
 
 
 def test_bad_suppression_pattern_matches_nothing(spark):
-    assert compare.checked_pattern("(x") == "$a" and compare.checked_pattern("") is None
-    sup = spark.createDataFrame([("s", "a", "R", "$a", None, "why"), ("s", "b", "R", "/p", "2999-01-01", "why"), ("s", "c", "R", None, "2000-01-01", "why")], "site_id string, suppression_id string, rule_id string, url_pattern string, expires_at string, reason string")
+    sup = spark.createDataFrame([("s", "a", "R", "(?P<n>p)", None, "why"), ("s", "b", "R", "/p", "soon", "why"), ("s", "c", "R", "", "2000-01-01", "why")], "site_id string, suppression_id string, rule_id string, url_pattern string, expires_at string, reason string")
     fnd = spark.createDataFrame([("s", "R", ["https://a/p", "https://a/p", "https://a/q"]), ("s", "R", [])], "site_id string, rule_id string, affected_urls array<string>")
+    sup = compare.checked_patterns(sup)
     now = F.lit("2025-01-01").cast("timestamp")
     hits = compare.suppression_matches(sup, fnd, now)
     assert [(r.suppression_id, r.url) for r in hits.collect()] == [("b", "https://a/p")]
@@ -135,3 +135,45 @@ def test_files_round_trip(spark, tmp_path):
 def test_previous_run(spark):
     df = spark.createDataFrame([("s", "r1", "2024-01-01"), ("s", "r2", "2024-02-01"), ("s", "r3", "2024-03-01"), ("t", "r1", "2024-01-01")], "site_id string, run_id string, completed_at string")
     assert [(r.site_id, r.run_id) for r in readers.previous_run(df).collect()] == [("s", "r2")]
+
+
+def test_a_run_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "gold")
+    for run, sites in (("r0", ["a", "b"]), ("r1", ["a"]), ("r1", ["c", "d", "e"])):
+        sinks.gold(spark.createDataFrame([(run, s, i) for i, s in enumerate(sites)], "run_id string, site_id string, ord long"), path)
+    got = sorted((r.run_id, r.site_id) for r in readers.gold(spark, path).collect())
+    assert got == [("r0", "a"), ("r0", "b"), ("r1", "c"), ("r1", "d"), ("r1", "e")]
+
+
+def test_first_pages_of_a_large_site(spark):
+    rows = [("https://a.com", "r", f"https://a.com/p{i % 7}/{i:05d}", i % 3) for i in range(9000)] + [("https://b.com", "r", "https://b.com/", 0)]
+    got = graph.first_pages(spark.createDataFrame(rows, "site_id string, run_id string, url string, depth int"), 5000)
+    want = sorted((r for r in rows if r[0] == "https://a.com"), key=lambda r: (r[3], r[2]))[:5000] + rows[-1:]
+    assert sorted((r.site_id, r.run_id, r.url, r.depth) for r in got.collect()) == sorted(want)
+
+
+def test_nothing_is_cut_by_default(spark, make_pages):
+    from auditlake.operators import pages, resources
+
+    head, tail = "same words " * 300, ["one end", "other end"]
+    snap = pages.page_snapshots(make_pages([{"url": f"https://a.com/{i}", "html": f"<title>{i}</title><p>{head}{t}</p>"} for i, t in enumerate(tail)]))
+    assert rules.duplicate_groups(rules.duplicate_keys(snap)).count() == 0
+    html = "<img srcset='" + ", ".join(f"/i{i}.png {i}w" for i in range(9)) + "'>"
+    assert resources.page_resources(make_pages([{"url": "https://a.com/", "html": html}])).count() == 9
+    site = "site_id string, run_id string, "
+    index = spark.createDataFrame([("https://a.com", "r", i, f"https://a.com/m{i}.xml", "https://a.com") for i in range(50)], site + "ord int, loc string, site_origin string")
+    docs = spark.createDataFrame([("https://a.com", "r", f"https://a.com/m{i}.xml", f"<urlset><url><loc>https://a.com/{i}</loc></url></urlset>") for i in range(50)], site + "url string, body string")
+    assert discovery.expand_index(index, docs).count() == 50 and discovery.expand_index(index, docs, max_children=20).count() == 20
+    chain = spark.createDataFrame([("https://a.com", "r", f"https://a.com/{i}", f"https://a.com/{i + 1}") for i in range(12)], site + "src string, dst string")
+    seeds = spark.createDataFrame([("https://a.com", "r", "https://a.com/0")], site + "url string")
+    assert graph.crawl_depth(chain, seeds).count() == 13
+
+
+def test_bodies_stay_in_their_rows(spark):
+    from auditlake.operators import rules as r
+
+    big = "<urlset>" + "<url><loc>https://a.com/x</loc></url>" * 500_000 + "</urlset>"
+    ep = spark.createDataFrame([("https://a.com", "r", "/sitemap.xml", "https://a.com/sitemap.xml", True, 200, "application/xml", big)], "site_id string, run_id string, path string, url string, ok boolean, status int, content_type string, body string")
+    wide = r.endpoint_wide(ep)
+    assert wide.select(F.col(r.probe("/sitemap.xml"))["ok"]).first()[0] and "body" not in str(wide.schema)
+    assert discovery.sitemap_url_counts(ep).first().n_sitemap_urls == 1
