@@ -18,12 +18,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Units per direction; bytes in a window of prediction; windows computed together.
 UNITS, WINDOW, TOGETHER = 16, 128, 1024
 #: The bounded training sample: documents per language, windows per document, characters per window.
-DOCS_PER_LANG, WINDOWS_PER_DOC, TRAIN_CHARS = 400, 4, 64
-STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 11
+DOCS_PER_LANG, WINDOWS_PER_DOC, TRAIN_CHARS = 1200, 4, 64
+STEPS, BATCH, RATE, SEED = 600, 256, 0.02, 11
 #: Labels that a model can tell apart at most.
 MOST_LANGS = 500
-#: A document is rejected without a letter or below this mean probability.
-LEAST_SCORE = 0.4
+#: A document is rejected without a letter, or if its mean probability is below this many times that of a blind guess.
+LEAST_LIFT = 1.1
 UNKNOWN = "und"
 
 
@@ -135,9 +135,9 @@ def padded(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return x.T.copy(), np.arange(width)[:, None] < size[None, :]
 
 
-def train(texts: list[bytes], langs: list[str], steps: int = STEPS, units: int = UNITS) -> tuple[Net, list[str]]:
+def train(texts: list[bytes], langs: list[str], steps: int | None = None, units: int = UNITS) -> tuple[Net, list[str]]:
     """A network and its languages from short labelled texts, with Adam over random batches that draw languages evenly."""
-    names = sorted(set(langs))
+    names, steps = sorted(set(langs)), steps or STEPS
     net = Net(len(names), units)
     rng = np.random.default_rng(SEED)
     of = [np.array([i for i, x in enumerate(langs) if x == name]) for name in names]
@@ -255,7 +255,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected: a language is found with a mean probability of LEAST_SCORE or more."""
+    """The rows of ``docs`` that aren't rejected: a language is found, and with more than a guess's probability."""
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    found = with_language(docs, learn(docs), pred, score)
-    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    model = learn(docs)
+    least = LEAST_LIFT / len(model[1]) if len(model[1]) > 1 else 0.0
+    return with_language(docs, model, pred, score).where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

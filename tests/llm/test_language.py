@@ -42,7 +42,8 @@ def test_every_position_counts_and_windows_cover_long_texts():
         assert np.allclose(total / len(t), got, atol=1e-5)
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_accuracy(spark, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 250)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.identify(docs).toPandas()
     truth = docs.select("doc_id", "lang").toPandas()
@@ -55,7 +56,8 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() >= 0.99 * len(truth)
 
 
-def test_odd_rows(spark, odd):
+def test_odd_rows(spark, odd, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 40)
     docs = odd("lang_pred string")
     got = {}
     for r in language.identify(docs).collect():

@@ -7,12 +7,17 @@ import pytest
 
 import corpus_pipeline
 from auditlake.llm import queries  # noqa: F401
-from auditlake.llm import secrets
+from auditlake.llm import language, secrets
 from auditlake.llm.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def short_training(monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 120)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()
