@@ -111,14 +111,31 @@ def jaccard_join(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     A row with null doc_id stays a row; class_id is null only if no row of the class has an id, and such rows count as
     kept. Repeated rows are copies of each other, and both are kept. Texts are told apart by a 64-bit hash. Columns
     beside doc_id and text aren't read."""
-    return _joined(docs, recall).drop("node")
+    sig, facts = _classes(docs, recall)
+    empty = F.col("n_grams") == 0
+    return (
+        sig.select("doc_id", "node", "n_grams")
+        .join(facts, "node", "left")
+        .select(
+            "doc_id",
+            F.when(empty, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+            F.when(empty, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+            F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+            F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        )
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    )
 
 
 def one_of_each(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class of ``jaccard_join`` stays: that with the smallest
     doc_id, once. Documents without a word stay, repeated rows once. All columns are kept."""
     node, key = fresh(docs, "node"), fresh(docs, "key")
-    kept = _joined(docs, recall).where("kept").select(F.col("node").alias(node), F.coalesce("doc_id", "node").alias(key)).distinct()
+    sig, facts = _classes(docs, recall)
+    # Told by the classes alone, so that copies of a text never meet in one task.
+    firsts = facts.where(F.col("copy_of").eqNullSafe(F.col("class_id"))).select("node", F.coalesce("copy_of", "node").alias("key"))
+    wordless = sig.where("n_grams = 0").select("node", F.coalesce("doc_id", "node").alias("key"))
+    kept = firsts.union(wordless.distinct()).toDF(node, key)
     keyed = docs.withColumn(node, _node()).withColumn(key, F.coalesce("doc_id", node))
     return keyed.join(kept, [key, node], "left_semi").dropDuplicates([key, node]).select(*docs.columns)
 
@@ -127,7 +144,8 @@ def _node():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _joined(docs: DataFrame, recall: float) -> DataFrame:
+def _classes(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_grams, bands of every row; node, copy_of, n_copies, n_links, class_id of every text with words)."""
     bands, rows = bands_and_rows(recall=recall)
     sig = materialise(banded(docs, bands, rows), "llm-bands")
     classes = (
@@ -157,18 +175,4 @@ def _joined(docs: DataFrame, recall: float) -> DataFrame:
     )
     least = per_class.groupBy("root").agg(F.min("copy_of").alias("class_id"))
     n_links = F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1
-    facts = per_class.join(least, "root").select("node", "copy_of", "n_copies", n_links.alias("n_links"), "class_id")
-    empty = F.col("n_grams") == 0
-    return (
-        sig.select("doc_id", "node", "n_grams")
-        .join(facts, "node", "left")
-        .select(
-            "doc_id",
-            F.when(empty, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
-            F.when(empty, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-            F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-            F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-            "node",
-        )
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
-    )
+    return sig, per_class.join(least, "root").select("node", "copy_of", "n_copies", n_links.alias("n_links"), "class_id")
