@@ -22,88 +22,119 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 THRESHOLD = 0.95
 TREES = 6
 #: Share of a node's vectors on each side of a split that go to both children, at most.
-SPILL = 0.05
+SPILL = 0.03
 #: Expected vectors in a leaf before spill.
 LEAF = 1024
 #: Vectors on which the splits are fitted, and the fewest in a node that still gets splits of its own.
 FIT_ROWS, FIT_LEAST = 20_000, 32
-#: Directions that a node chooses from; a node stays whole where even the best would part near ones of this share.
-TRIES, COHESIVE = 12, 0.5
+#: Directions that a node chooses from, and quantiles between which it looks for a cut: near the middle, and further
+#: out where even the best cut there comes near to more than this share of its vectors.
+TRIES, MIDDLE, WIDE, CROWDED = 12, (0.4, 0.6), (0.1, 0.9), 0.35
+#: A node stays whole where every cut comes near to more than this share.
+COHESIVE = 0.5
 
 
 class Tree:
     """Splits of one tree. A fitted node has a direction and a zone of its own; rows inside the zone go to both sides.
 
-    Of some random directions a node takes that whose emptiest place parts fewest near vectors, so that a hot cluster
-    isn't cut through; a node that is one tight cluster stays a leaf, however large. Levels below a fitted leaf share random directions, with zones from that leaf's vectors: the tree
-    gets as deep as the table needs while its size depends on the fitted sample only."""
+    Of some random directions a node takes that whose emptiest place near the middle parts fewest near vectors, and one
+    further out if the middle is crowded, so that a hot cluster isn't cut through; a node that is one tight cluster
+    stays a leaf, however large. Nodes are split until the share of the table they stand for is small. Where the sample
+    is too small for that, a fitted leaf is split further along random directions that all leaves share, with zones from
+    its own vectors: the tree gets as deep as the table needs while its size depends on the sample only."""
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, rng: np.random.Generator):
+    def __init__(self, sample: np.ndarray, n_vectors: int, leaf: int, spill: float, rng: np.random.Generator):
         n_dims = sample.shape[1]
-        self.depth = depth
-        self.shared = _directions(rng, depth, n_dims)
+        self.spill, self.leaf, self.rng = spill, leaf, rng
+        self.scale = n_vectors / max(len(sample), 1)
         # Vectors at the threshold differ by this much along a random direction, as a standard deviation.
         self.reach = math.sqrt((2 - 2 * THRESHOLD) / max(n_dims, 1))
+        deepest = self._levels(min(len(sample), 2 * FIT_LEAST)) if len(sample) else 0
+        self.shared = _directions(rng, deepest, n_dims)
         self.direction: list[np.ndarray] = []
-        self.zone: list[np.ndarray] = []
+        #: By node: ends of its zone; of a leaf, its levels along shared directions, and the ends for each.
+        self.zone: list[tuple[float, float]] = []
+        self.extra: list[int] = []
+        self.leaf_zone: list[np.ndarray] = []
         self.child: list[tuple[int, int]] = []
-        self._grow(sample, 0, spill, rng)
-        self.direction = np.stack(self.direction)
-        self.zone = np.stack(self.zone)
-        self.child = np.array(self.child)
-
-    def _grow(self, sample: np.ndarray, level: int, spill: float, rng: np.random.Generator) -> int:
-        me = len(self.child)
-        fitted = level < self.depth and len(sample) >= 2 * FIT_LEAST
+        self._grow(sample)
+        self.direction, self.zone, self.child = np.stack(self.direction), np.array(self.zone), np.array(self.child)
+        self.extra, self.leaf_zone = np.array(self.extra), np.stack(self.leaf_zone)
+
+    def _levels(self, n: int) -> int:
+        """Halvings that n sampled vectors' share of the table still needs."""
+        return max(0, min(40, math.ceil(math.log2(max(n, 1) * self.scale / self.leaf))))
+
+    def _grow(self, sample: np.ndarray) -> int:
+        me, n = len(self.child), len(sample)
         self.child.append((me, me))
-        if not fitted:
-            proj = sample @ self.shared.T
-            zone = np.quantile(proj, [0.5 - spill, 0.5 + spill], axis=0) if len(sample) and self.depth else np.zeros((2, self.depth))
-            if len(sample):
-                zone[:, (np.abs(proj - np.median(proj, axis=0)) <= self.reach).mean(axis=0) > COHESIVE] = np.inf
-            self.direction.append(np.zeros(sample.shape[1]))
-            self.zone.append(zone)
+        self.direction.append(np.zeros(sample.shape[1]))
+        self.zone.append((np.inf, np.inf))
+        self.extra.append(0)
+        self.leaf_zone.append(np.zeros((2, len(self.shared))))
+        if n * self.scale <= self.leaf:
             return me
-        tries = _directions(rng, TRIES, sample.shape[1])
-        proj = np.sort(sample @ tries.T, axis=0)
-        n = len(sample)
-        places = np.unique(np.linspace(0.25 * n, 0.75 * n, 33).astype(int))
-        best = None
-        for k in range(TRIES):
-            cut = (proj[places - 1, k] + proj[places, k]) / 2
-            near = np.searchsorted(proj[:, k], cut + self.reach) - np.searchsorted(proj[:, k], cut - self.reach)
-            i = int(near.argmin())
-            if best is None or near[i] < best[0]:
-                best = (near[i], k, cut[i])
-        near, k, cut = best
-        if near > COHESIVE * n:
-            self.direction.append(np.zeros(sample.shape[1]))
-            self.zone.append(np.full((2, self.depth), np.inf))
+        if n < 2 * FIT_LEAST:
+            self._end(me, sample)
+            return me
+        share, direction, cut = self._best(sample, MIDDLE)
+        if share > CROWDED:
+            share, direction, cut = self._best(sample, WIDE)
+        if share > COHESIVE:
             return me
         # The zone is as wide as near vectors may differ, but holds no more than its share of the rows.
-        p = sample @ tries[k]
-        far = np.sort(np.abs(p - cut))
-        half = min(self.reach, float(far[min(n - 1, int(2 * spill * n))]))
-        self.direction.append(tries[k])
-        self.zone.append(np.tile([[cut - half], [cut + half]], (1, self.depth)))
+        p = sample @ direction
+        half = min(self.reach, float(np.sort(np.abs(p - cut))[min(n - 1, int(2 * self.spill * n))]))
         left = p < cut
         if left.any() and not left.all():
-            self.child[me] = (self._grow(sample[left], level + 1, spill, rng), self._grow(sample[~left], level + 1, spill, rng))
+            self.direction[me], self.zone[me] = direction, (cut - half, cut + half)
+            self.child[me] = (self._grow(sample[left]), self._grow(sample[~left]))
         return me
 
+    def _end(self, me: int, sample: np.ndarray) -> None:
+        """A fitted leaf that stands for too many vectors yet."""
+        self.extra[me] = min(self._levels(len(sample)), len(self.shared))
+        proj = sample @ self.shared.T
+        zone = np.quantile(proj, [0.5 - self.spill, 0.5 + self.spill], axis=0)
+        zone[:, (np.abs(proj - np.median(proj, axis=0)) <= self.reach).mean(axis=0) > COHESIVE] = np.inf
+        self.leaf_zone[me] = zone
+
+    def _best(self, sample: np.ndarray, where: tuple[float, float]) -> tuple[float, np.ndarray, float]:
+        """Share of vectors that a cut comes near to, direction and place of the best cut between two quantiles."""
+        tries = _directions(self.rng, TRIES, sample.shape[1])
+        proj, n = np.sort(sample @ tries.T, axis=0), len(sample)
+        places = np.unique(np.linspace(where[0] * n, where[1] * n, 33).astype(int)).clip(1, n - 1)
+        best = (np.inf, tries[0], 0.0)
+        for k in range(TRIES):
+            cut = (proj[places - 1, k] + proj[places, k]) / 2
+            near = np.searchsorted(proj[:, k], cut + self.reach) - np.searchsorted(proj[:, k], cut - self.reach)
+            i = int(near.argmin())
+            best = min(best, (near[i] / n, tries[k], float(cut[i])), key=lambda x: x[0])
+        return best
+
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and leaf codes; a row inside a zone is on both sides."""
-        row = np.arange(len(vectors))
-        node, code = np.zeros(len(row), dtype=np.int64), np.ones(len(row), dtype=np.int64)
         common = vectors @ self.shared.T
-        for level in range(self.depth):
-            own = self.child[node, 0] != node
-            p = np.where(own, np.einsum("ij,ij->i", vectors[row], self.direction[node]), common[row, level])
-            low, high = self.zone[node, 0, level], self.zone[node, 1, level]
+        row = np.arange(len(vectors))
+        node, inside, code = (np.zeros(len(row), dtype=np.int64) for _ in range(3))
+        code += 1
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(row):
+            fitted = self.child[node, 0] != node
+            ended = ~fitted & (inside >= self.extra[node])
+            done.append((row[ended], code[ended]))
+            row, node, inside, code, fitted = (x[~ended] for x in (row, node, inside, code, fitted))
+            at = np.minimum(inside, max(len(self.shared) - 1, 0))
+            own = np.einsum("ij,ij->i", vectors[row], self.direction[node])
+            p = np.where(fitted, own, common[row, at]) if len(self.shared) else own
+            low = np.where(fitted, self.zone[node, 0], self.leaf_zone[node, 0, at]) if len(self.shared) else self.zone[node, 0]
+            high = np.where(fitted, self.zone[node, 1], self.leaf_zone[node, 1, at]) if len(self.shared) else self.zone[node, 1]
             left, right = p <= high, p >= low
             right |= ~left
-            row, node, code = (np.concatenate([row[left], row[right]]), np.concatenate([self.child[node[left], 0], self.child[node[right], 1]]), np.concatenate([code[left] * 2, code[right] * 2 + 1]))
-        return row, code
+            inside = inside + ~fitted
+            sides = [(row[s], self.child[node[s], k], inside[s], code[s] * 2 + k) for k, s in enumerate((left, right))]
+            row, node, inside, code = (np.concatenate(x) for x in zip(*sides, strict=True))
+        return np.concatenate([r for r, _ in done]), np.concatenate([c for _, c in done])
 
 
 def _directions(rng: np.random.Generator, n: int, n_dims: int) -> np.ndarray:
@@ -138,8 +169,7 @@ def leaf_codes(trees: list[Tree], vectors: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def fit_forest(sample: np.ndarray, n_vectors: int, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF) -> list[Tree]:
-    depth = max(0, min(40, math.ceil(math.log2(max(n_vectors, 1) / leaf))))
-    return [Tree(sample, depth, spill, np.random.default_rng(1000 + i)) for i in range(trees if depth else 1)]
+    return [Tree(sample, n_vectors, leaf, spill, np.random.default_rng(1000 + i)) for i in range(trees if n_vectors > leaf else 1)]
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, spill: float = SPILL, leaf: int = LEAF) -> DataFrame:

@@ -58,7 +58,7 @@ def test_odd_vectors(spark):
 
 def test_leaves_keep_every_row_in_every_tree():
     v = forest.unit(vectors(2000, 16))
-    trees = forest.fit_forest(v[:500], 200_000, trees=3, leaf=100)
+    trees = forest.fit_forest(v[::4], 200_000, trees=3, leaf=100)
     codes, offsets = forest.leaf_codes(trees, v)
     assert (np.diff(offsets) >= 3).all() and {c >> 48 for c in codes.tolist()} == {0, 1, 2}
-    assert trees[0].depth == 11
+    assert trees[0].extra.max() >= 3 and len(trees[0].child) < 200
