@@ -163,11 +163,6 @@ def null_if_blank(text: Column) -> Column:
     return F.nullif(js_trim(text), F.lit(""))
 
 
-def distinct_in_order(items: Column) -> Column:
-    """array_distinct keeps the first of each value."""
-    return F.array_distinct(items)
-
-
 def rel_has(rel: Column, token: str) -> Column:
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(rel, F.lit(""))), "[" + WS + "]", " "), F.lit(" "))
     return padded.contains(f" {token} ")
@@ -195,7 +190,8 @@ def headings(html: Column) -> Column:
     """array<struct<level,text>>: closed h1..h6 with text, document order.
 
     The page is cut at every heading opener. The content normally ends inside its own piece; only
-    where it does not, the following pieces are joined back until the closing tag is found."""
+    where it does not, and a closing tag of its level still follows, the following pieces are joined back up to it.
+    So a page of many headings that are never closed costs no more than one reading."""
     opener = (
         "<[" + WS + "]*+h[1-6]" + r"""(?:(?:[^A-Za-z0-9:>"'-]|"[^"]*+"|'[^']*+')""" + ATTRS + ")?>"
     )
@@ -218,7 +214,7 @@ def headings(html: Column) -> Column:
         return by_level(level, upto)
 
     def cut_page(parts: Column) -> Column:
-        marks, pieces = parts["marks"], parts["pieces"]
+        marks, pieces, ends = parts["marks"], parts["pieces"], parts["ends"]
 
         def build(mark: Column, i: Column) -> Column:
             later = F.concat(
@@ -235,7 +231,10 @@ def headings(html: Column) -> Column:
             level = F.regexp_extract(mark, "(?i)^<[" + WS + "]*h([1-6])", 1)
             inner = bind(
                 level,
-                lambda lv: F.coalesce(content(lv, F.element_at(pieces, i + 2)), F.when(lv != "", content(lv, later))),
+                lambda lv: F.coalesce(
+                    content(lv, F.element_at(pieces, i + 2)),
+                    F.when((lv != "") & (F.element_at(ends, F.greatest(F.coalesce(lv.try_cast("int"), F.lit(1)), F.lit(1))) > i + 2), content(lv, later)),
+                ),
             )
             return F.struct(level.try_cast("int").alias("level"), inner.alias("inner"))
 
@@ -245,10 +244,25 @@ def headings(html: Column) -> Column:
         )
         return F.filter(texts, lambda h: h["text"] != "")
 
+    def with_ends(parts: Column) -> Column:
+        """The last piece, with the mark before it, in which each level has a closing tag; 0 for none."""
+        closed = F.transform(
+            parts["pieces"],
+            lambda p, i: F.regexp_extract_all(
+                F.concat(F.when(i > 0, F.element_at(parts["marks"], F.greatest(i, F.lit(1)))).otherwise(F.lit("")), p), F.lit(f"(?i)</h([1-6])(?:[{WS}>]|\\z)"), F.lit(1)
+            ),
+        )
+
+        def last_of(seen: Column, level: str) -> Column:
+            return F.coalesce(F.array_max(F.transform(seen, lambda c, i: F.when(F.array_contains(c, level), i + 1))), F.lit(0))
+
+        last = lambda seen: F.array(*[last_of(seen, str(n)) for n in range(1, 7)])
+        return bind(closed, lambda seen: F.struct(parts["marks"].alias("marks"), parts["pieces"].alias("pieces"), last(seen).alias("ends")))
+
     parts = F.struct(
         F.regexp_extract_all(html, F.lit(cut), F.lit(0)).alias("marks"), F.split(html, cut, -1).alias("pieces")
     )
-    return bind(parts, cut_page)
+    return bind(bind(parts, with_ends), cut_page)
 
 
 def json_ld_blocks(html: Column) -> Column:

@@ -112,6 +112,8 @@ def source_candidates(finding_kinds: DataFrame, repo_files: DataFrame) -> DataFr
     texts = ["llms|mcp|api|auth|well-known|public", "seo|metadata|head|layout|document"]
     kinds = F.array_compact(F.array(F.col("kind"), *[F.when(path.rlike(t), F.lit(f"match:{t}")) for t in texts]))
     files = repo_files.select("site_id", "path", "ord", F.explode(kinds).alias("kind"))
+    # No more than the first 8 files of a kind can be among the first 8 of a rule.
+    files = top_k(files, ["site_id", "kind"], [F.col("ord"), F.col("path")], 8).drop("rank")
     joined = routes.join(files, ["site_id", "kind"])
     best = top_k(joined, ["site_id", "rule_id"], [F.col("prio"), F.col("ord"), F.col("path")], 8)
     return best.filter(F.col("rank") <= F.col("max_files")).select("site_id", "rule_id", "rank", "path", "kind")

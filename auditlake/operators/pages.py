@@ -36,26 +36,13 @@ def page_tags(page_raw: DataFrame) -> DataFrame:
 
 
 def page_attributes(page_raw: DataFrame) -> DataFrame:
-    """Attributes as rows; of duplicates on one tag the last wins."""
+    """Attributes as rows; of duplicates on one tag the last wins: after sorting by name and place it stands before
+    another name."""
     tags = page_raw.select(*KEYS, F.posexplode(m.tag_stream(F.col("html"))).alias("ord", "t")).filter(~F.col("t.closing"))
-    rows = tags.select(
-        *KEYS,
-        "ord",
-        F.col("t.name").alias("tag"),
-        F.explode(
-            F.transform(
-                F.col("t.attrs"),
-                lambda a, i: F.struct(
-                    a["name"].alias("name"),
-                    a["value"].alias("value"),
-                    F.exists(
-                        F.slice(F.col("t.attrs"), i + 2, F.size("t.attrs")), lambda b: b["name"] == a["name"]
-                    ).alias("overridden"),
-                ),
-            )
-        ).alias("a"),
-    )
-    return rows.filter(~F.col("a.overridden")).select(*KEYS, "ord", "tag", "a.name", "a.value")
+    placed = F.array_sort(F.transform("t.attrs", lambda a, i: F.struct(a["name"].alias("name"), i.alias("place"), a["value"].alias("value"))))
+    ordered = tags.select(*KEYS, "ord", F.col("t.name").alias("tag"), placed.alias("attrs"))
+    last = F.filter("attrs", lambda a, i: ~F.try_element_at(F.col("attrs"), i + 2)["name"].eqNullSafe(a["name"]))
+    return ordered.select(*KEYS, "ord", "tag", F.explode(last).alias("a")).select(*KEYS, "ord", "tag", "a.name", "a.value")
 
 
 def meta_content(tags: Column, name: str) -> Column:

@@ -132,30 +132,41 @@ def page_resources(page_raw: DataFrame) -> DataFrame:
         u.url_parts(F.col("final_url")).alias("_base"),
         F.concat(parse(head, True), parse(body, False)).alias("_tags"),
     )
-    rows = staged.select(
-        *KEYS,
-        "final_url",
-        F.posexplode(
-            F.flatten(F.transform("_tags", lambda t: _candidates(t, F.col("_base"), t["in_head"])))
-        ).alias("ord", "r"),
-    ).select(*KEYS, "final_url", "ord", "r.*")
-    # Aggregation by page and URL: at most a page's own rows meet in one group.
-    merged = rows.groupBy(*KEYS, "final_url", "url").agg(
-        F.min("ord").alias("ord"),
-        F.min_by(rank_case(F.col("type"), TYPES), F.col("ord")).alias("k_type"),
-        F.min_by("in_head", "ord").alias("in_head"),
-        F.bool_or("render_blocking").alias("render_blocking"),
-        F.bool_or("is_async").alias("is_async"),
-        F.bool_or("is_defer").alias("is_defer"),
-        F.bool_or("lazy").alias("lazy"),
-    )
-    return merged.select(
-        *[c for c in merged.columns if c not in ("final_url", "k_type")],
-        name_of(F.col("k_type"), TYPES).alias("type"),
+    found = F.flatten(F.transform("_tags", lambda t: _candidates(t, F.col("_base"), t["in_head"])))
+    rows = staged.select(*KEYS, "final_url", F.explode(bind(found, _merged)).alias("r")).select(*KEYS, "final_url", "r.*")
+    return rows.select(
+        *[c for c in rows.columns if c not in ("final_url", "type")],
+        "type",
         u.same_origin(F.col("url"), F.col("final_url")).alias("same_origin"),
     ).withColumn("third_party", ~F.col("same_origin"))
 
 
+def _merged(found: Column) -> Column:
+    """Sightings of a page by URL, inside its row: sorted by URL and place, equal URLs are neighbours."""
+    placed = F.array_sort(F.transform(found, lambda c, i: F.struct(c["url"].alias("url"), i.alias("ord"), c.alias("c"))))
+
+    def merge(rows: Column) -> Column:
+        n = F.size(rows)
+        at = lambda i: F.element_at(rows, i)["url"]
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (at(i) != at(F.greatest(i - 1, F.lit(1))))))
+
+        def groups(first: Column) -> Column:
+            after = F.concat(F.slice(first, 2, F.greatest(F.size(first), F.lit(1))), F.array(n + 1))
+            return F.zip_with(first, after, lambda i, j: F.slice(rows, i, j - i))
+
+        def one(g: Column) -> Column:
+            head = F.element_at(g, 1)
+            any_of = lambda flag: F.exists(g, lambda x: x["c"][flag]).alias(flag)
+            return F.struct(
+                head["url"].alias("url"), head["ord"].alias("ord"), head["c"]["type"].alias("type"), head["c"]["in_head"].alias("in_head"),
+                any_of("render_blocking"), any_of("is_async"), any_of("is_defer"), any_of("lazy"),
+            )
+
+        return F.transform(bind(starts, groups), one)
+
+    return F.when(F.size(found) > 0, bind(placed, merge))
+
+
 def site_resources(resources: DataFrame) -> DataFrame:
     """Distinct resources of a site over all its pages; partial aggregation meets the hot CDN files map-side."""
     # A page has one row per resource, so the first page alone decides the type.

@@ -177,3 +177,18 @@ def test_bodies_stay_in_their_rows(spark):
     wide = r.endpoint_wide(ep)
     assert wide.select(F.col(r.probe("/sitemap.xml"))["ok"]).first()[0] and "body" not in str(wide.schema)
     assert discovery.sitemap_url_counts(ep).first().n_sitemap_urls == 1
+
+
+def test_open_headings_and_many_attributes_are_read_once(spark, make_pages):
+    import time
+
+    from auditlake.operators import pages
+
+    began = time.time()
+    html = "<h2>x" * 50_000 + "<h3>end</h3><h2>y"
+    snap = pages.page_snapshots(make_pages([{"url": "https://a.com/", "html": html}]))
+    assert [(h.level, h.text) for h in snap.select(F.explode("headings").alias("h")).select("h.*").collect()] == [(3, "end")]
+    tag = "<p " + " ".join(f"a{i % 15_000}={i}" for i in range(30_000)) + ">"
+    rows = pages.page_attributes(make_pages([{"url": "https://a.com/", "html": tag}]))
+    assert {int(r.value) for r in rows.collect()} == set(range(15_000, 30_000))
+    assert time.time() - began < 90

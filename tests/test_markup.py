@@ -100,7 +100,7 @@ def test_resources_merge_flags(make_pages):
     a = rows["https://ex.com/a.js"]
     assert a.render_blocking and a.is_async and a.in_head and not a.third_party
     assert rows["https://ex.com/f.woff2"].type == "font"
-    assert "https://ex.com/3.png" in rows and "https://ex.com/4.png" not in rows
+    assert "https://ex.com/3.png" in rows and "https://ex.com/4.png" in rows
 
 
 def test_snapshot_is_one_narrow_stage(make_pages):
