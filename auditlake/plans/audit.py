@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake import dims
 from auditlake.operators import discovery, intel, pages, rules, scoring
 from auditlake.session import materialise
+from auditlake.sources import sinks
 
 SITE = ["site_id", "run_id"]
 
@@ -77,10 +78,15 @@ def audit_facts(
     return runs, page_facts.unionByName(group_facts).unionByName(site_facts).unionByName(named_pages)
 
 
-def audit_scores(page_raw: DataFrame, endpoints: DataFrame, sitemap_documents: DataFrame | None = None, failed_metrics: DataFrame | None = None, **options) -> DataFrame:
-    """Area scores and total of every site and run. The total counts stable rules only, as the ledger's primary score."""
+def audit_groups(page_raw: DataFrame, endpoints: DataFrame, sitemap_documents: DataFrame | None = None, failed_metrics: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(runs, groups): findings per rule, title and severity of each run, with counts and penalty. Written once; scores,
+    plan and comparison read it instead of the findings."""
     runs, facts = audit_facts(page_raw, endpoints, sitemap_documents, failed_metrics, **options)
-    penalties = materialise(scoring.with_penalty(scoring.group_facts(facts)), "penalties")
+    return runs, materialise(scoring.with_penalty(scoring.group_facts(facts)), "penalties")
+
+
+def scores_of(runs: DataFrame, penalties: DataFrame) -> DataFrame:
+    """Area scores and total of every run. The total counts stable rules only, as the ledger's primary score."""
     stable = penalties.filter(rules.maturity(F.col("rule_id")) == "stable")
     long = scoring.scores_by(runs, penalties, dims.AREAS, "area").unionByName(
         scoring.scores_by(runs, stable, {"total": dims.PROFILES["core_seo"]}, "area")
@@ -89,6 +95,18 @@ def audit_scores(page_raw: DataFrame, endpoints: DataFrame, sitemap_documents: D
     return wide.withColumn("level", scoring.level(F.col("total")))
 
 
+def audit_scores(page_raw: DataFrame, endpoints: DataFrame, sitemap_documents: DataFrame | None = None, failed_metrics: DataFrame | None = None, **options) -> DataFrame:
+    return scores_of(*audit_groups(page_raw, endpoints, sitemap_documents, failed_metrics, **options))
+
+
+def write_audit(root: str, page_raw: DataFrame, endpoints: DataFrame, sitemap_documents: DataFrame | None = None, failed_metrics: DataFrame | None = None, **options) -> None:
+    """Gold tables of the given runs below ``root``: finding_groups and scores, partitioned by run. Runs that are written
+    again are replaced, others stay."""
+    runs, groups = audit_groups(page_raw, endpoints, sitemap_documents, failed_metrics, **options)
+    sinks.gold(groups, f"{root}/finding_groups")
+    sinks.gold(scores_of(runs, groups), f"{root}/scores")
+
+
 def site_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship query on the driver's tables."""
     from auditlake.plans import inputs

@@ -217,6 +217,22 @@ def catalogue_findings(spark, sf):
     return out.select("page_id", "rule_id", "category", "confidence", "fix_class", "effort")
 
 
+@query("R2_endpoint_evidence", o.with_([o.ENDPOINTS], "SELECT site_id, 'endpoint' || regexp_replace(path, '[^A-Za-z0-9]+', '-', 'g') AS evidence_id, url, status, substr(body, 1, 500) AS excerpt FROM ep"))
+def r2_endpoints(spark, sf):
+    from auditlake.operators.evidence import endpoint_evidence
+
+    return endpoint_evidence(inputs.endpoint_raw(spark, sf)).select("site_id", "evidence_id", "url", "status", "excerpt")
+
+
+@query("R2_cross_page_evidence", o.with_([*o.PAGE_CTES, DUP], "SELECT site_id, 'cross-page-' || lower(rule_id) || '-' || substr(sha256(k), 1, 12) AS evidence_id, arg_min(final_url, page_id) AS url, CAST(count(*) AS VARCHAR) AS value FROM dk WHERE k IS NOT NULL AND k <> '' GROUP BY site_id, rule_id, k HAVING count(*) > 1"))
+def r2_cross_page(spark, sf):
+    from auditlake.operators.evidence import cross_page_evidence
+
+    keys = materialise(r.duplicate_keys(snapshots(spark, sf)), "duplicate-keys")
+    groups = r.group_representatives(keys, r.duplicate_groups(keys))
+    return cross_page_evidence(groups).select("site_id", "evidence_id", "url", "value")
+
+
 @query("R2_evidence_rows", o.with_([*o.PAGE_CTES, STYPE, PF], "SELECT page_id, rule_id, substr(regexp_replace(affected_url, '[^A-Za-z0-9]+', '-', 'g'), 1, 48) || '-' || substr(md5(affected_url), 1, 16) || '-' || lower(rule_id) AS evidence_id FROM pf"))
 def r2(spark, sf):
     from auditlake.operators.evidence import page_evidence

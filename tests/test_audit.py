@@ -55,3 +55,17 @@ def test_experimental_rules_leave_the_total_alone(spark, lake):
     assert a.total == b.total and a.level == b.level
     assert any(a[c] > b[c] for c in a.__fields__ if c not in ("site_id", "run_id", "total", "level"))
     assert before["https://probed.test"].total is not None
+
+
+def test_gold_tables_keep_runs_apart(spark, lake, tmp_path):
+    from pyspark.sql import functions as F
+
+    from auditlake.plans.audit import write_audit
+
+    ep = spark.createDataFrame(lake[1], EP)
+    for run in ("r0", "r1"):
+        at = lambda df: df.withColumn("run_id", F.lit(run))
+        write_audit(str(tmp_path), at(lake[0]), at(ep))
+    scores = spark.read.parquet(f"{tmp_path}/scores")
+    assert scores.select("run_id").distinct().count() == 2 and scores.count() == 8
+    assert spark.read.parquet(f"{tmp_path}/finding_groups").where("run_id = 'r0'").count() > 0
