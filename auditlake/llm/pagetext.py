@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Width of the Gaussian over lines, and its reach in widths.
 SIGMA, REACH = 1.5, 3
-#: Share of the content lines' text that the content element has to hold.
+#: Share of the content lines' text that an element has to hold so that long lines of links in it are no menus.
 COVERED = 0.85
 #: Outside an article, lines that are links in more than this share of their text are menus.
 LINKS = 0.6
@@ -57,15 +57,16 @@ class Lines(HTMLParser):
         #: By element id: tag and the id of the container around it.
         self.elements: list[tuple[str, int]] = [("#page", -1)]
         self.text: list[str] = []
-        self.tags = self.linked = self.out = self.links = self.inside = 0
+        self.tags = self.linked = self.out = self.links = self.titles = self.inside = self.regions = 0
         self.container = [0]
-        #: text, tags, characters in links, container id, whether in an article or main element.
-        self.found: list[tuple[str, int, int, int, bool]] = []
+        #: text, tags, characters in links (of titles none), container id, number of the outermost article or main element
+        #: around it or -1.
+        self.found: list[tuple[str, int, int, int, int]] = []
 
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            self.found.append((line, self.tags, self.linked, self.container[-1], self.inside > 0))
+            self.found.append((line, self.tags, 0 if self.titles else self.linked, self.container[-1], self.regions if self.inside else -1))
         self.text, self.tags, self.linked = [], 0, 0
 
     def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -95,6 +96,7 @@ class Lines(HTMLParser):
             tag, element, left_out = self.stack.pop()
             self.out -= left_out
             self.links -= tag == "a"
+            self.titles -= tag == "h1"
             if tag in REGION:
                 self.inside -= 1
             if self.container[-1] == element:
@@ -123,7 +125,10 @@ class Lines(HTMLParser):
         self.stack.append((tag, element, left_out))
         self.out += left_out
         self.links += tag == "a"
-        self.inside += tag in REGION
+        self.titles += tag == "h1"
+        if tag in REGION:
+            self.regions += not self.inside
+            self.inside += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -170,20 +175,27 @@ def split_point(values: np.ndarray) -> float:
     return (low + high) / 2 if high > 2 * low + 10 else -1.0
 
 
-def content(lines: list[tuple[str, int, int, int, bool]], elements: list[tuple[str, int]]) -> list[str]:
+def content(lines: list[tuple[str, int, int, int, int]], elements: list[tuple[str, int]]) -> list[str]:
     """The texts of the lines that are the article.
 
-    Lines above the threshold name the content element: the smallest one that holds most of their text. All its lines
-    are the article, so that short paragraphs and headings between long ones stay; outside article and main elements,
-    lines under the threshold that are mostly links go."""
+    Lines above the threshold tell whether article and main elements hold the content; if so, they are it with all their
+    lines, short paragraphs, headings, lists and quotes alike. Only one that has no line above the threshold and is mostly
+    links isn't. Elsewhere the page is the article without its menus: lines that are mostly links go, but for those above
+    the threshold in the smallest element that holds most of their text."""
     if not lines:
         return []
     size = np.array([len(t) for t, *_ in lines], float)
     smooth = smoothed(size / np.array([1 + tags for _, tags, *_ in lines]))
     high = smooth >= split_point(smooth)
-    marked = np.array([x[4] for x in lines])
+    marked = np.array([x[4] >= 0 for x in lines])
     if (high & marked).any() and size[high & marked].sum() >= 0.5 * size[high].sum():
-        high &= marked
+        told, text_of, linked_of = set(), {}, {}
+        for (text, _, linked, _, region), is_high in zip(lines, high.tolist(), strict=True):
+            text_of[region] = text_of.get(region, 0) + len(text)
+            linked_of[region] = linked_of.get(region, 0) + linked
+            if is_high:
+                told.add(region)
+        return [x[0] for x in lines if x[4] >= 0 and (x[4] in told or linked_of[x[4]] <= LINKS * text_of[x[4]])]
     held: dict[int, float] = {}
     for i in np.flatnonzero(high).tolist():
         e = lines[i][3]
@@ -194,10 +206,10 @@ def content(lines: list[tuple[str, int, int, int, bool]], elements: list[tuple[s
     # Element ids grow inwards, so the last one that holds enough is the smallest.
     best = max(e for e, n in held.items() if n >= enough)
     out = []
-    for i, (text, _, linked, e, inside) in enumerate(lines):
+    for i, (text, _, linked, e, region) in enumerate(lines):
         while e > best:
             e = elements[e][1]
-        if e == best and (inside or high[i] or linked <= LINKS * len(text)):
+        if region >= 0 or linked <= LINKS * len(text) or (e == best and high[i]):
             out.append(text)
     return out
 

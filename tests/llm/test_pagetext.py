@@ -26,6 +26,17 @@ def test_page_without_an_article_element():
     assert main_text(page) == f"Head {clean} Tiny. {clean}"
 
 
+def test_articles_are_whole():
+    clean = " ".join(LONG.split())
+    assert main_text(f"<article><h1>T</h1><div>{LONG}</div><p>closing paragraph</p></article>") == f"T {clean} closing paragraph"
+    sections = f"<main><section><h2>A</h2><p>{LONG * 9}</p></section><section><h2>B</h2><ul><li>b1<li>b2</ul></section><section><p>c</p></section></main>"
+    assert main_text(f"<body><p>{LONG}</p>{sections}</body>") == f"A {' '.join([clean] * 9)} B b1 b2 c"
+    for tag in ("blockquote", "table", "td"):
+        assert main_text(f"<article><p>before</p><{tag}>{LONG}</{tag}><p>after</p></article>") == f"before {clean} after"
+    assert main_text(f"<body><h1><a>T</a></h1><div>{LONG}</div><p>closing</p><ul><li><a>one</a><li><a>two</a></ul></body>") == f"T {clean} closing"
+    assert main_text(f"<body><article>{LONG}</article><article><h2>Short</h2><p>one</p></article></body>") == f"{clean} Short one"
+
+
 def test_broken_and_odd_pages():
     assert main_text("") == main_text("   ") == main_text("<nav>menu</nav>") == main_text("<script>never closed") == ""
     assert main_text("just text &lt;3") == "just text <3"
