@@ -33,6 +33,11 @@ BLOCK = set(
 )
 NEVER = set("head script style noscript template title nav footer aside form button select textarea iframe svg canvas object dialog menu search input label".split())
 REGION = {"article", "main"}
+#: Left out only where their end tag is found; a form also only if it isn't around the page.
+CLOSED = {"form", "nav", "aside"}
+IN_HEAD = set("html head base basefont bgsound link meta title style script noscript template".split())
+#: Elements inside a line, left out without a look at what they hold.
+PHRASING = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
 CONTAINERS = set("article main section div td body html center blockquote table".split())
 #: An element that a start tag of the key closes if it is open inside the same container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,6 +47,11 @@ BOILERPLATE = set(
     "newsletter subscribe subscription signup login sidebar sidenav rail widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
     "comment comments commentlist disqus respond reply replies share sharing social related recommended pagination pager skip copyright".split()
 )
+#: Whole words of class names and ids; of the above also the first part of a word counts, since wrappers are called has-sidebar.
+COMPOUNDS = set(
+    "site-footer page-footer main-footer entry-footer post-footer site-nav main-nav primary-nav top-nav site-navigation main-navigation post-navigation primary-menu main-menu "
+    "left-sidebar right-sidebar main-sidebar primary-sidebar post-comments".split()
+)
 HEADERS = {"header", "site-header", "page-header"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 _PARTS = re.compile(r"[\s_-]+")
@@ -52,58 +62,109 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        #: Open elements: tag, id, whether it is left out.
-        self.stack: list[tuple[str, int, bool]] = []
+        #: Open elements: tag, id, whether it is left out for good, number of its doubtful exclusion or 0, the local region before it.
+        self.stack: list[tuple[str, int, bool, int, int]] = []
+        #: Exclusions that what the page holds may lift: the one around it, kind, whether in an article, whether its end tag was found.
+        self.doubts: list[list] = [[0, "", False, True]]
         #: By element id: tag and the id of the container around it.
         self.elements: list[tuple[str, int]] = [("#page", -1)]
         self.text: list[str] = []
         self.tags = self.linked = self.out = self.links = self.titles = self.inside = self.regions = 0
         self.container = [0]
+        #: Innermost doubtful exclusion, the outermost region inside it or -1, regions so counted, open articles.
+        self.doubt, self.local, self.locals, self.articles = 0, -1, 0, 0
         #: text, tags, characters in links (of titles none), container id, number of the outermost article or main element
-        #: around it or -1.
-        self.found: list[tuple[str, int, int, int, int]] = []
+        #: around it or -1, doubtful exclusion, local region.
+        self.found: list[tuple[str, int, int, int, int, int, int]] = []
 
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            self.found.append((line, self.tags, 0 if self.titles else self.linked, self.container[-1], self.regions if self.inside else -1))
+            self.found.append((line, self.tags, 0 if self.titles else self.linked, self.container[-1], self.regions if self.inside else -1, self.doubt, self.local))
         self.text, self.tags, self.linked = [], 0, 0
 
-    def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER:
-            return True
+    def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """Empty, "good" for an element that is left out whatever it holds, or the kind of a doubtful exclusion."""
+        if tag in NEVER and tag not in CLOSED:
+            return "good"
         if tag == "header":
-            return not self.inside
+            return "" if self.inside else "good"
         if tag in ("html", "body") or tag in REGION:
-            return False
+            return ""
+        kind = tag if tag in CLOSED else ""
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
+                return "good"
             if not value:
                 continue
+            if name == "style" and "display:none" in value.replace(" ", "").lower():
+                return "good"
+            if tag in CLOSED:
+                continue
             if name in ("class", "id"):
                 words = value.lower().split()
-                if any(p in BOILERPLATE for w in words for p in _PARTS.split(w)) or (not self.inside and not HEADERS.isdisjoint(words)):
-                    return True
+                if any(w in COMPOUNDS or _PARTS.split(w.lstrip("_-"))[0] in BOILERPLATE for w in words) or (not self.inside and not HEADERS.isdisjoint(words)):
+                    kind = "good" if tag in PHRASING else "class"
             elif name == "role" and value.lower() in ROLES:
-                return True
-            elif name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return "good"
+        return kind
 
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            tag, element, left_out = self.stack.pop()
+            tag, element, left_out, doubt, local = self.stack.pop()
             self.out -= left_out
             self.links -= tag == "a"
             self.titles -= tag == "h1"
             if tag in REGION:
                 self.inside -= 1
+            self.articles -= tag == "article"
+            if doubt:
+                self.doubt = self.doubts[doubt][0]
+            self.local = local
             if self.container[-1] == element:
                 self.container.pop()
 
+    def close_head(self, tag: str) -> None:
+        """Both tags of head and the start tag of body may be left away: the first thing that can't be in a head ends it."""
+        if tag == "body":
+            for depth, opened in enumerate(self.stack):
+                if opened[0] == "head":
+                    return self.pop_to(depth)
+        elif self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.pop_to(len(self.stack) - 1)
+
+    def live(self) -> list[tuple[str, int, int, int, int]]:
+        """Lines that no exclusion holds. A class name or a form is no exclusion if it is around the larger article or main
+        element, unless itself in an article; a form neither if it is around most of the text; form, nav and aside without
+        an end tag never are, since nobody knows where they end."""
+        own, by_region = [0] * len(self.doubts), {}
+        for text, *_, doubt, local in self.found:
+            own[doubt] += len(text)
+            if local >= 0:
+                by_region[doubt, local] = by_region.get((doubt, local), 0) + len(text)
+        mine = [0] * len(self.doubts)
+        for (doubt, _), n in by_region.items():
+            mine[doubt] = max(mine[doubt], n)
+        inner = mine[:]
+        # Numbers grow inwards.
+        for i in range(len(self.doubts) - 1, 0, -1):
+            around = self.doubts[i][0]
+            inner[around] = max(inner[around], inner[i])
+        lifted, largest, outside = [True], [0], [0]
+        for i, (around, kind, in_article, closed) in enumerate(self.doubts[1:], 1):
+            largest.append(max(largest[around], mine[around]))
+            outside.append(outside[around] + own[around])
+            lift = kind != "class" and not closed
+            if kind in ("class", "form"):
+                lift |= not in_article and inner[i] > largest[i]
+            if kind == "form":
+                lift |= own[i] > outside[i]
+            lifted.append(lift and lifted[around])
+        return [x[:5] for x in self.found if lifted[x[5]]]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        self.close_head(tag)
         if tag in BLOCK:
             self.end_line()
             self.tags = 1
@@ -116,19 +177,31 @@ class Lines(HTMLParser):
                         break
         if tag in VOID:
             return
-        left_out = self.left_out(tag, attrs)
+        kind, local, doubt = self.left_out(tag, attrs), self.local, 0
+        left_out = kind == "good"
+        if kind and not left_out:
+            if tag not in BLOCK:
+                self.end_line()
+                self.tags = 1
+            doubt = len(self.doubts)
+            self.doubts.append([self.doubt, kind, self.articles > 0, False])
+            self.doubt, self.local = doubt, -1
         element = -1
         if tag in CONTAINERS:
             element = len(self.elements)
             self.elements.append((tag, self.container[-1]))
             self.container.append(element)
-        self.stack.append((tag, element, left_out))
+        self.stack.append((tag, element, left_out, doubt, local))
         self.out += left_out
         self.links += tag == "a"
         self.titles += tag == "h1"
         if tag in REGION:
             self.regions += not self.inside
             self.inside += 1
+            self.articles += tag == "article"
+            if self.local < 0:
+                self.locals += 1
+                self.local = self.locals
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -141,12 +214,18 @@ class Lines(HTMLParser):
             self.end_line()
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
+                if tag not in BLOCK and any(x[3] or x[0] in REGION for x in self.stack[depth:]):
+                    self.end_line()
+                if doubt := self.stack[depth][3]:
+                    self.doubts[doubt][3] = True
                 self.pop_to(depth)
                 break
             if self.stack[depth][0] in CONTAINERS and tag not in CONTAINERS and tag not in BLOCK:
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.out and not data.isspace():
+            self.close_head("#text")
         if not self.out:
             self.text.append(data)
             if self.links:
@@ -221,7 +300,7 @@ def main_text(html: str) -> str:
         parser.feed(html[i : i + FEED])
     parser.close()
     parser.end_line()
-    return " ".join(content(parser.found, parser.elements))
+    return " ".join(content(parser.live(), parser.elements))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -37,6 +37,28 @@ def test_articles_are_whole():
     assert main_text(f"<body><article>{LONG}</article><article><h2>Short</h2><p>one</p></article></body>") == f"{clean} Short one"
 
 
+def test_exclusions_around_the_article():
+    clean = " ".join(LONG.split())
+    article = f"<article><h1>T</h1><p>{LONG}</p></article>"
+    for name in ("layout has-sidebar", "no-sidebar", "elementor-widget-text-editor", "content-widget", "sidebar-right", "widget"):
+        assert main_text(f'<body><div class="{name}"><nav>No</nav>{article}</div></body>') == f"T {clean}", name
+    for name in ("layout has-sidebar", "no-sidebar", "content-widget"):
+        assert main_text(f'<body><div class="{name}"><div><p>{LONG}</p></div></div></body>') == clean, name
+    assert main_text(f"<html><head><title>No</title><meta charset=utf-8><style>p{{}}</style><body><p>{LONG}</body>") == clean
+    assert main_text(f"<html><head><title>No</title><p>{LONG}") == main_text(f"<head><title>No</title> {LONG}") == clean
+    assert main_text(f"<body><form id=aspnetForm><input>{article}</form></body>") == f"T {clean}"
+    assert main_text(f"<body><form id=aspnetForm><p>{LONG}</p><div class=ad>No</div></form><p>&copy;</p></body>") == f"{clean} ©"
+    for tag in ("form", "nav", "aside"):
+        assert main_text(f"<body><{tag}><ul><li><a>No</a></ul>{article}</body>") == f"T {clean}"
+        assert main_text(f"<body><{tag}><input><div><p>{LONG}</p></div></body>") == clean
+        assert main_text(f"<body><div><p>{LONG}</p></div><{tag}>No</{tag}></body>") == clean
+    # Articles inside an exclusion beside the page's own, as comments and related ones are, stay out.
+    small = "<article><p>No no no.</p></article>"
+    assert main_text(f'<main>{article}<section id="comments">{small}{small}</section><div class="related-posts">{small}</div></main>') == f"T {clean}"
+    assert main_text(f'<article><p>{LONG}</p><div class="comments"><article>{LONG * 3}</article></div></article>') == clean
+    assert main_text(f'<body><div class="site-footer">{LONG}</div><p>{LONG}</p></body>') == clean
+
+
 def test_broken_and_odd_pages():
     assert main_text("") == main_text("   ") == main_text("<nav>menu</nav>") == main_text("<script>never closed") == ""
     assert main_text("just text &lt;3") == "just text <3"
