@@ -139,12 +139,20 @@ def _entries(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def named_maps(endpoints: DataFrame) -> DataFrame:
+    """Distinct (site_id, run_id, url) of the sitemaps that robots.txt names."""
+    robots = robots_info(endpoints.filter((F.col("path") == "/robots.txt") & F.col("ok")))
+    return robots.select(*SITE, F.explode("sitemap_urls").alias("url")).distinct()
+
+
 def probed_entries(endpoints: DataFrame) -> DataFrame:
-    """Entries of the first probed sitemap of each site that answered."""
+    """Entries of the probed sitemaps that count: the first of each site that answered, and the other one if it answered
+    and robots.txt names it."""
     which = F.when(F.col("path") == MAP_PATHS[0], 0).otherwise(1)
     maps = endpoints.filter(F.col("path").isin(MAP_PATHS) & F.col("ok")).withColumn("which", which)
     first = maps.groupBy(*SITE).agg(F.min("which").alias("which"))
-    return _entries(maps, "which").join(first, [*SITE, "which"]).drop("which")
+    named = maps.select(*SITE, "which", "url").join(named_maps(endpoints), [*SITE, "url"], "left_semi").select(*SITE, "which")
+    return _entries(maps, "which").join(first.unionByName(named).distinct(), [*SITE, "which"]).drop("which")
 
 
 def sitemap_universe(endpoints: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -152,13 +160,12 @@ def sitemap_universe(endpoints: DataFrame, documents: DataFrame | None = None) -
 
     Sitemaps are the probed ones and those that robots.txt names, an index is expanded one level. ``documents``
     (site_id, run_id, url, body) holds the fetched children and named sitemaps; without it only what was probed counts,
-    and the entries of an index are no pages."""
+    the named ones among it too, and the entries of an index are no pages."""
     entries = probed_entries(endpoints)
     if documents is not None:
-        robots = robots_info(endpoints.filter((F.col("path") == "/robots.txt") & F.col("ok")))
-        named = robots.select(*SITE, F.explode("sitemap_urls").alias("url")).distinct()
+        # A named map that was probed is among the entries already.
         probed = endpoints.filter(F.col("path").isin(MAP_PATHS) & F.col("ok")).select(*SITE, "url")
-        named = named.join(probed, [*SITE, "url"], "left_anti")
+        named = named_maps(endpoints).join(probed, [*SITE, "url"], "left_anti")
         entries = entries.unionByName(_entries(documents.join(named, [*SITE, "url"], "left_semi")))
         children = expand_index(entries.filter("is_index").withColumn("site_origin", F.col("site_id")), documents).select(*SITE, "loc")
         pages = entries.filter("NOT is_index").select(*SITE, "loc").unionByName(children)

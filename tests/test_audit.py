@@ -2,6 +2,7 @@
 
 import pytest
 
+from auditlake.operators import discovery
 from auditlake.plans.audit import audit_facts, audit_scores
 
 EP = "site_id string, run_id string, path string, url string, ok boolean, status int, content_type string, body string"
@@ -40,6 +41,19 @@ def test_index_with_a_complete_child_misses_nothing(spark, lake):
     assert "https://probed.test" in runs and "SEO-CRAWL-003" in found["probed"]
 
 
+@pytest.mark.parametrize("with_documents", [False, True])
+def test_probed_sitemap_that_robots_names_counts_beside_the_first(spark, lake, with_documents):
+    answer = lambda s, path, body: (f"https://{s}.test", "r0", path, f"https://{s}.test{path}", True, 200, "text/plain", body)
+    loc = lambda s, i: f"<urlset><url><loc>https://{s}.test/{i}</loc></url></urlset>"
+    probes = [answer(s, path, body) for s in ("plain", "leak") for path, body in (("/sitemap.xml", loc(s, 0)), ("/sitemap_index.xml", loc(s, "cart/1")))]
+    probes += [answer("plain", "/robots.txt", "Sitemap: https://plain.test/sitemap_index.xml"), answer("leak", "/robots.txt", "Sitemap: https://leak.test/sitemap.xml")]
+    ep, documents = spark.createDataFrame(probes, EP), lake[2] if with_documents else None
+    found = sorted((r.site_id, r.loc) for r in discovery.sitemap_universe(ep, documents).collect())
+    assert found == [("https://leak.test", "https://leak.test/0"), ("https://plain.test", "https://plain.test/0"), ("https://plain.test", "https://plain.test/cart/1")]
+    counts = {r.site_id: r.n_sitemap_urls for r in discovery.sitemap_url_counts(ep, documents).collect()}
+    assert counts == {"https://leak.test": 1, "https://plain.test": 2}
+
+
 def test_performance_metrics_fire_their_rules(spark, lake):
     names = ["lcp-ms", "document-fetch-ms", "total-js-kb", "third-party-js-kb", "render-blocking-requests", "total-requests"]
     metrics = spark.createDataFrame([("https://plain.test", "r0", names)], "site_id string, run_id string, failed_metrics array<string>")
