@@ -57,6 +57,23 @@ def test_every_template_is_found_whole_and_edited():
             assert [m.name for m in x.matches([*noise, *edited, *noise, *edited], known)] == [name] * 2
 
 
+def test_fuller_templates_win():
+    known, named = x.templates(), {}
+    for name, text in license_texts.TEMPLATES:
+        named.setdefault(name, []).append(text)
+    find = lambda text: [(m.name, m.matched, m.total) for m in x.matches(x.TOKEN.findall(text.lower()), known)]
+    for kind, n in (("BY", 6), ("BY-ND", 7), ("BY-NC", 7), ("BY-SA", 7), ("BY-NC-ND", 8), ("BY-NC-SA", 8)):
+        assert find(f"See below. Licensed under CC {kind} 4.0.") == [(f"CC-{kind}", n, n)]
+    assert find("Licensed under the Eclipse Public License, version 2.0.")[0][0] == "EPL-line"
+    affero = "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"
+    assert any(affero in t for t in named["AGPL-notice"]) and {m[0] for t in named["AGPL-notice"] for m in find(t)} == {"AGPL-notice"}
+    for name, last in (("BSD-2-Clause", "damage"), ("BSD-3-Clause", "damage"), ("Unlicense", "software")):
+        words = x.TOKEN.findall(max(named[name], key=len).lower())
+        got = x.matches(words, known)
+        assert [(m.name, m.last) for m in got] == [(name, len(words) - 1)] and words[-1] == last
+    assert {"Zlib", "BSL-1.0", "EPL-2.0", "WTFPL"} <= set(named)
+
+
 def test_signs_are_mandatory():
     for t in x.templates():
         kept = sum(w not in t.signs for w in t.words)
