@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake import dims
 from auditlake.functions import urls as u
 from auditlake.functions.numeric import lookup, round_half_up
-from auditlake.operators.ranking import nearest_ranks, top_k
+from auditlake.operators.ranking import nearest_ranks, ranked, top_k
 
 HTML_TYPE = "(?i)html|xhtml"
 
@@ -130,9 +129,12 @@ def metric_deltas(baseline: DataFrame, current: DataFrame, keys: list[str]) -> D
 
 def label_runs(fetch_log: DataFrame, keys: list[str], max_runs: int | None = None) -> DataFrame:
     """Run number of each fetch of a URL and its profile: crawl, cold, warm. All fetches are
-    labelled; ``max_runs`` leaves out later ones."""
-    w = W.partitionBy(*keys, "url").orderBy("started_at", "event_id")
-    placed = fetch_log.withColumn("run", F.row_number().over(w))
+    labelled; ``max_runs`` leaves out later ones. Fetches are sorted inside hours, whose sizes are counted first, so no
+    task sorts a whole URL."""
+    # Structs, so that a null URL or time meets its like in the join of the hours' sizes.
+    keyed = fetch_log.withColumn("_url", F.struct(*keys, "url"))
+    hour = F.struct(F.floor(F.unix_timestamp("started_at") / 3600).alias("hour"))
+    placed = ranked(keyed, ["_url"], hour, [F.col("started_at"), F.col("event_id")], "run").drop("_url")
     if max_runs is not None:
         placed = placed.filter(F.col("run") <= max_runs)
     return placed.withColumn(

@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict, deque
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditlake.operators import compare, discovery, graph, performance, ranking, rules, submission
@@ -192,3 +193,20 @@ def test_open_headings_and_many_attributes_are_read_once(spark, make_pages):
     rows = pages.page_attributes(make_pages([{"url": "https://a.com/", "html": tag}]))
     assert {int(r.value) for r in rows.collect()} == set(range(15_000, 30_000))
     assert time.time() - began < 90
+
+
+def test_fetches_of_a_hot_url_are_labelled_without_one_task_for_all(spark):
+    from auditlake.operators.performance import label_runs
+
+    log = spark.range(3000).selectExpr(
+        "'s' AS site_id", "'r0' AS run_id", "id AS event_id", "CASE WHEN id % 10 = 9 THEN NULL ELSE 'u' END AS url",
+        "CASE WHEN id % 7 <> 0 THEN timestamp_seconds((id * 7919) % 3000 * 60) END AS started_at",
+    )
+    keys = ["site_id", "run_id"]
+    got = label_runs(log, keys)
+    assert "_bucket" in got._jdf.queryExecution().analyzed().toString()
+    w = Window.partitionBy(*keys, "url").orderBy("started_at", "event_id")
+    want = {r.event_id: r.n for r in log.withColumn("n", F.row_number().over(w)).collect()}
+    rows = got.collect()
+    assert len(rows) == 3000 and {r.event_id: r.run for r in rows} == want
+    assert {r.profile for r in rows if r.run == 2} == {"cold"} and got.columns == [*log.columns, "run", "profile"]
