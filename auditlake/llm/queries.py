@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import forest, language, licenses, minhash, mixing, pagetext, pieces, quality, secrets, tokens
+from auditlake.llm import bpe, forest, language, licenses, manifest, minhash, mixing, pagetext, pieces, quality, secrets, spelling, tokens
 from auditlake.llm.registry import query, table
 
 
@@ -56,3 +56,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", manifest.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_bpe_encoding")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
