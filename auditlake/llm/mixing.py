@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.blockpairs import groups_of
 from auditlake.llm.common import WORD_JVM, bound_batches, fresh
+from auditlake.llm.manifest import numbered
 from auditlake.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,8 +24,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WEIGHTS = (1, 2, 3)
 #: A source gives at most this many times its size.
 MOST_TIMES = 3
-#: The table of sources is read by the driver and broadcast, so it has a bound.
-MOST_SOURCES = 100_000
 #: Units of a source that one flight works on.
 FLIGHT_UNITS = 2000
 #: Units of a source that are left for its last flight, so that it can land well.
@@ -38,22 +37,24 @@ def size_of(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_JVM)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> dict[str | None, float]:
-    """Words to take from each source: all sizes are shared by weight; what lies above a source's limit is shared again
-    by weight among the others, until none is above."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, full, out = sum(sizes.values()), set(), {}
+def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
+    """``sources`` (source, words, one row each) with source_no, their number by code point with null last, and target,
+    the words to take: all words are shared by weight, what lies above a source's limit is shared again by weight
+    among the others, until none is above. Each round is one sum over the sources, whatever their number."""
+    named = sources.withColumn("is_null", F.col("source").isNull())
+    told = numbered(named.withColumn("part", F.lit("")), ["is_null", "source"]).withColumnRenamed("pos", "source_no").drop("part", "n", "is_null")
+    turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    told = materialise(told.withColumn("weight", turn.cast("long")).withColumn("limit", F.col("words") * most_times), "llm-sources")
+    total = told.agg(F.sum("words")).first()[0] or 0
+    share_of, full, n_full = F.lit(0.0), F.lit(False), -1
     while True:
-        rest = total - sum(most_times * sizes[s] for s in full)
-        share = sum(weight[s] for s in order if s not in full)
-        out = {s: float(most_times * sizes[s]) if s in full else rest * weight[s] / share for s in order}
-        over = {s for s in order if s not in full and out[s] > most_times * sizes[s]}
-        if not over:
-            return out
-        full |= over
-        if len(full) == len(order):
-            return {s: float(most_times * sizes[s]) for s in order}
+        row = told.agg(F.sum(F.when(full, F.col("limit")).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight"))), F.count_if(full)).first()
+        if not row[1] or row[2] == n_full:
+            break
+        n_full = row[2]
+        share_of = F.lit(float(total - row[0])) * F.col("weight") / F.lit(float(row[1]))
+        full = share_of > F.col("limit")
+    return told.withColumn("target", F.when(full, F.col("limit").cast("double")).otherwise(share_of)).drop("weight", "limit")
 
 
 def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]:
@@ -149,9 +150,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int
     of the pick at their expectation. Sources are cut into blocks of units; flights over blocks leave two open units
     each, which are gathered block by block until one block per source is left, and only that lands.
 
-    Draws depend on ids, sizes and sources alone, so reruns agree. Documents without words (null, empty) are taken 0
-    times; a source without words has target 0. Null is a source of its own. Null ids stay rows; repeated rows are units
-    of their own. Other columns aren't read. Raises ValueError beyond MOST_SOURCES sources."""
+    Draws depend on ids, sizes and the order of the sources alone, not on how rows are dealt out, so reruns agree on any
+    cluster. Documents without words (null, empty) are taken 0 times; a source without words has target 0. Null is a
+    source of its own, the last. Null ids stay rows; repeated rows are units of their own. Other columns aren't read."""
     out = _drawn(docs, weights, most_times)
     taken = F.col("size") * (F.col("whole") + F.col("p").cast("long"))
     return out.select(F.col("unit_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
@@ -161,14 +162,18 @@ def _drawn(docs: DataFrame, weights: tuple[int, ...], most_times: int) -> DataFr
     """A row per row of ``docs``: unit_id, key, size, source_size, target, whole (sure times) and p, by now 0 or 1."""
     spark = docs.sparkSession
     base = materialise(docs.select("doc_id", "source", size_of().alias("size"), _key().alias("key")), "llm-sizes")
-    rows = base.groupBy("source").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    target = targets({r["source"]: r["words"] for r in rows}, weights, most_times)
-    table = [(r["source"], i, r["words"], target[r["source"]], *_times(target[r["source"]], r["words"]), math.ceil(r["n"] / FLIGHT_UNITS)) for i, r in enumerate(rows)]
-    sources = spark.createDataFrame(table, "s string, source_no long, source_size long, target double, whole long, p double, n_blocks long")
+    sizes = base.groupBy("source").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("units"))
+    rate = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0))
+    whole = F.floor(rate + F.lit(1e-12))
+    sources = materialise(
+        with_targets(sizes, weights, most_times).select(
+            F.col("source").alias("s"), "source_no", F.col("words").alias("source_size"), "target", whole.alias("whole"),
+            F.when(rate - whole > NEAR, rate - whole).otherwise(F.lit(0.0)).alias("p"), F.ceil(F.col("units") / FLIGHT_UNITS).alias("n_blocks"),
+        ),
+        "llm-targets",
+    )
     order = F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(3))
-    joined = base.join(F.broadcast(sources), base["source"].eqNullSafe(sources["s"])).drop("s", "source")
+    joined = base.join(sources, base["source"].eqNullSafe(sources["s"])).drop("s", "source")
     sure = (F.col("size") == 0) | (F.col("p") == 0)
     units = (
         joined.withColumn("p", F.when(sure, F.lit(0.0)).otherwise(F.col("p")))
@@ -177,7 +182,7 @@ def _drawn(docs: DataFrame, weights: tuple[int, ...], most_times: int) -> DataFr
         .withColumnRenamed("doc_id", "unit_id")
     )
     settled = [units.where("block < 0")]
-    open_units, blocks, level = units.where("block >= 0"), max([x[-1] for x in table], default=0), 0
+    open_units, blocks, level = units.where("block >= 0"), sources.agg(F.max("n_blocks")).first()[0] or 0, 0
     while blocks:
         flown = materialise(settle(open_units, level, blocks == 1), f"llm-flight{level}")
         settled.append(flown.where("p in (0, 1)"))
@@ -191,16 +196,6 @@ def _drawn(docs: DataFrame, weights: tuple[int, ...], most_times: int) -> DataFr
     return out
 
 
-def _times(target: float, words: int) -> tuple[int, float]:
-    """Whole times a source is taken, and the probability of one more."""
-    if not words:
-        return 0, 0.0
-    rate = target / words
-    whole = math.floor(rate + 1e-12)
-    rest = rate - whole
-    return whole, rest if rest > NEAR else 0.0
-
-
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
     """The rows of the mix: ``docs`` with every row as many times as it is taken, all columns kept.
 

@@ -7,12 +7,55 @@ import pytest
 from auditlake.llm import mixing as m
 
 
-def test_targets_by_hand():
+def literal_targets(sizes):
+    """The rule read literally: shares by weight, what is above three times a source's size goes to the others."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    full = set()
+    while True:
+        rest = sum(sizes.values()) - sum(3 * sizes[s] for s in full)
+        share = sum(weight[s] for s in order if s not in full)
+        out = {s: 3.0 * sizes[s] if s in full else rest * weight[s] / share for s in order}
+        over = {s for s in order if s not in full and out[s] > 3 * sizes[s]}
+        if not over or len(over) + len(full) == len(order):
+            return out
+        full |= over
+
+
+def test_targets(spark):
+    def got(sizes):
+        rows = m.with_targets(spark.createDataFrame(list(sizes.items()), "source string, words long")).collect()
+        assert [r.source for r in sorted(rows, key=lambda r: r.source_no)] == sorted(sizes, key=lambda s: (s is None, s or ""))
+        return {r.source: r.target for r in rows}
+
     # Weights a:1 b:2 c:3 null:1 over 700 words; c stops at 3 * 20, what is over goes to the others by 1:2:1.
-    got = m.targets({"b": 300, "a": 200, None: 180, "c": 20})
-    assert got == {"a": 160.0, "b": 320.0, "c": 60.0, None: 160.0}
-    assert m.targets({"a": 0}) == {"a": 0.0} and m.targets({}) == {}
-    assert m.targets({"a": 0, "b": 10}) == {"a": 0.0, "b": 10.0}
+    assert got({"b": 300, "a": 200, None: 180, "c": 20}) == {"a": 160.0, "b": 320.0, "c": 60.0, None: 160.0}
+    assert got({"a": 0}) == {"a": 0.0} and got({}) == {}
+    assert got({"a": 0, "b": 10}) == {"a": 0.0, "b": 10.0}
+    # Sources that stop one after the other.
+    many = {f"s{i:03}é": 3**i for i in range(25)} | {f"t{i}": i for i in range(200)}
+    want = literal_targets(many)
+    assert got(many) == pytest.approx(want)
+
+
+def test_reruns_agree_on_any_layout(spark):
+    """200 sources; shuffle partitions and the way rows are dealt decide nothing."""
+    rng = random.Random(2)
+    rows = [(i, "w " * int(rng.lognormvariate(3, 1)), "hot" if i % 3 == 0 else f"s{rng.randrange(200)}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for partitions, layout in ((1, docs), (3, docs.repartition(5)), (200, docs), (4, docs.orderBy("text")), (3, docs.repartition(2, "source"))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            results.append(sorted(map(tuple, m.mixture(layout).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert all(r == results[0] for r in results)
+    sizes, target, source = {}, {}, {i: s for i, _, s in rows}
+    for r in results[0]:
+        sizes[source[r[0]]], target[source[r[0]]] = r[2], r[3]
+    assert target == pytest.approx(literal_targets(sizes))
 
 
 def test_flight_keeps_both_sums_and_expectations():

@@ -41,9 +41,9 @@ def test_run_is_the_stages(spark):
     assert got.count() > 0 and "ids" in got.columns
 
 
-def test_ten_queries_and_the_pipeline():
+def test_thirteen_queries_and_the_pipeline():
     numbers = sorted(int(m[1]) for q in QUERIES if (m := re.match(r"op(\d+)_", q)))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
