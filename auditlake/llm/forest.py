@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from auditlake.llm.blockpairs import bucket_lists, pair_links
-from auditlake.llm.common import with_batch_columns
+from auditlake.llm.common import mixed, with_batch_columns
 from auditlake.llm.components import components
 from auditlake.session import materialise
 
@@ -155,9 +155,19 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def close_vectors(a: pa.Table, b: pa.Table) -> np.ndarray:
-    va = unit(matrix(a.column("vector").chunk(0)))
-    vb = va if a is b else unit(matrix(b.column("vector").chunk(0)))
-    return va @ vb.T >= THRESHOLD
+    ca, cb = a.column("vector").chunk(0), b.column("vector").chunk(0)
+    la, lb = lengths(ca), lengths(cb)
+    out = np.zeros((len(la), len(lb)), dtype=bool)
+    for n in np.intersect1d(la, lb):
+        i, j = np.flatnonzero(la == n), np.flatnonzero(lb == n)
+        va = unit(matrix(ca.take(pa.array(i))))
+        vb = va if a is b else unit(matrix(cb.take(pa.array(j))))
+        out[np.ix_(i, j)] = va @ vb.T >= THRESHOLD
+    return out
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    return column.value_lengths().to_numpy(zero_copy_only=False)
 
 
 def leaf_codes(trees: list[Tree], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +178,26 @@ def leaf_codes(trees: list[Tree], vectors: np.ndarray) -> tuple[np.ndarray, np.n
     return code[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(vectors)))])
 
 
+def leaf_lists(forests: dict[int, list[Tree]], column: pa.Array) -> pa.Array:
+    """Buckets of every vector: codes of its leaves in the forest of its length, told apart by length. Lengths without a
+    forest are one leaf each."""
+    size = lengths(column)
+    rows, codes = [], []
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        if n in forests:
+            code, offsets = leaf_codes(forests[n], unit(matrix(column.take(pa.array(at)))))
+            row = np.repeat(at, np.diff(offsets))
+        else:
+            code, row = np.ones(len(at), dtype=np.int64), at
+        rows.append(row)
+        codes.append(mixed(code.view(np.uint64) ^ mixed(np.full(len(code), int(n) + 1, np.uint64))).view(np.int64))
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(codes)[order]))
+
+
 def fit_forest(sample: np.ndarray, n_vectors: int, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF) -> list[Tree]:
     return [Tree(sample, n_vectors, leaf, spill, np.random.default_rng(1000 + i)) for i in range(trees if n_vectors > leaf else 1)]
 
@@ -178,10 +208,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Splits are fitted on FIT_ROWS distinct vectors with the smallest hash; every vector is indexed and every leaf
     compared in full, a large one in blocks (see ``blockpairs``). Equal vectors are compared once and weighed by their
-    number. A pair is missed only if every tree parts it.
+    number. A pair is missed only if every tree parts it. Vectors of each length have a forest of their own, fitted on
+    the sampled ones of that length; a length that the sample lacks is one leaf, compared in full.
 
-    Vectors that are null, empty, all zero or hold a null or non-finite component link with nothing, nor do those of
-    another length than most. Null ids stay rows, never become component_id while the component has an id, and
+    Vectors that are null, empty, all zero or hold a null or non-finite component link with nothing. Null ids stay rows, never become component_id while the component has an id, and
     otherwise count as kept. Repeated rows link with each other. Other columns aren't read."""
     base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -194,21 +224,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .withColumn("n_dims", F.size("vector"))
     )
     classes = materialise(classes, "llm-vectors")
-    lengths = classes.groupBy("n_dims").count().orderBy(F.desc("count"), "n_dims").first()
-    n_dims, n_classes = (lengths["n_dims"], lengths["count"]) if lengths else (0, 0)
-    same = classes.where(F.col("n_dims") == n_dims)
-    picked = same.orderBy(F.xxhash64(F.col("node"), F.lit(7))).limit(FIT_ROWS).select("vector").toArrow().column("vector").combine_chunks()
-    sample = unit(matrix(picked)) if len(picked) else np.zeros((0, n_dims))
-    forest = fit_forest(sample, n_classes, trees, spill, leaf)
+    counts = {r["n_dims"]: r["count"] for r in classes.groupBy("n_dims").count().orderBy(F.desc("count"), "n_dims").limit(FIT_ROWS).collect()}
+    picked = classes.orderBy(F.xxhash64(F.col("node"), F.lit(7))).limit(FIT_ROWS).select("vector").toArrow().column("vector").combine_chunks()
+    size = lengths(picked) if len(picked) else np.zeros(0, np.int32)
+    forests = {int(n): fit_forest(unit(matrix(picked.take(pa.array(np.flatnonzero(size == n))))), counts[n], trees, spill, leaf) for n in np.unique(size) if n in counts}
 
     def work(column: pa.Array) -> list:
-        codes, offsets = leaf_codes(forest, unit(matrix(column)))
-        return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(codes))]
+        return [leaf_lists(forests, column)]
 
-    leaves = with_batch_columns(same.select("node", "vector"), ["vector"], StructType([StructField("leaves", ArrayType(LongType()))]), work)
-    members = leaves.select(F.explode("leaves").alias("bucket"), "node", F.lit(n_dims).alias("weight"))
+    leaves = with_batch_columns(classes.select("node", "n_dims", "vector"), ["vector"], StructType([StructField("leaves", ArrayType(LongType()))]), work)
+    members = leaves.select(F.explode("leaves").alias("bucket"), "node", F.col("n_dims").alias("weight"))
     members = materialise(members, "llm-leaves")
-    nodes = same.select("node", "vector", "weight").join(bucket_lists(members), "node")
+    nodes = classes.select("node", "vector", "weight").join(bucket_lists(members), "node")
     links = materialise(pair_links(nodes, ["vector"], close_vectors, weighted=True), "llm-vector-links")
     roots = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     per_class = (

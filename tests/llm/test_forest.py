@@ -56,6 +56,18 @@ def test_odd_vectors(spark):
     assert forest.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_every_length_is_compared(spark):
+    """Lengths beside the commonest have links too, in one leaf or in many."""
+    few = [(i, [1.0, 0.5], "a", 1) for i in (1, 2)] + [(3, [2.0, 1.0], "a", 1)] + [(i, [1.0, float(i), 0.0], "a", 1) for i in range(4, 9)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_vectors(spark.createDataFrame(few, SCHEMA)).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [(2, 1)] * 3
+    a, b = vectors(900, 24), vectors(700, 16, seed=4)
+    links = [*brute(a)[0], *brute(b)[0]]
+    rows = [(i, x.tolist(), "a", 1) for i, x in enumerate([*a, *b])]
+    got = {r.vec_id: r.n_links for r in forest.near_vectors(spark.createDataFrame(rows, SCHEMA), leaf=100).collect()}
+    assert all(got[i] <= n for i, n in enumerate(links)) and sum(got.values()) >= 0.9 * sum(links)
+
+
 def test_leaves_keep_every_row_in_every_tree():
     v = forest.unit(vectors(2000, 16))
     trees = forest.fit_forest(v[::4], 200_000, trees=3, leaf=100)
