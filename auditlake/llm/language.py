@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import sys
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from auditlake.llm.common import fresh, utf8, with_batch_columns
 
@@ -22,9 +23,15 @@ DOCS_PER_LANG, WINDOWS_PER_DOC, TRAIN_CHARS = 1200, 4, 64
 STEPS, BATCH, RATE, SEED = 600, 256, 0.02, 11
 #: Labels that a model can tell apart at most.
 MOST_LANGS = 500
-#: A document is rejected without a letter, or if its mean probability is below this many times that of a blind guess.
-LEAST_LIFT = 1.1
+#: Learned beside the languages where documents are to be rejected: made-up texts that are none of them.
+NEITHER = "\0neither"
+#: A document is rejected if its share of NEITHER is above that of all but this share of the labelled sample, and above
+#: LEAST_NEITHER; texts of up to SHORT bytes are held against single windows of the sample.
+REJECTED, LEAST_NEITHER, SHORT = 0.005, 0.4, 256
 UNKNOWN = "und"
+# Scripts that made-up texts are written in, by code point ranges, and vowels of Latin letters.
+SCRIPTS = ((0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3093), (0x30A1, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+VOWELS = "aeiouyàáâäèéêëìíîïòóôöùúûü"
 
 
 class Net:
@@ -192,15 +199,15 @@ def has_letter():
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def learn(docs: DataFrame) -> tuple[Net | None, list[str]]:
-    """A model from a bounded sample of the labelled documents that aren't held out: DOCS_PER_LANG of each language by
-    the smallest hash of the id, and WINDOWS_PER_DOC stretches of TRAIN_CHARS characters from places all over each."""
+def sampled(docs: DataFrame) -> tuple[list[list[str]], list[str]]:
+    """Stretches and language of a bounded sample of the labelled documents that aren't held out: DOCS_PER_LANG of each
+    language by the smallest hash of the id, and WINDOWS_PER_DOC stretches of TRAIN_CHARS characters from places all over
+    each."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out() & has_letter())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
-        return None, []
+        return [], []
+    rows = rows.where(F.col("lang").isin(list(counts)))
     order = F.xxhash64(F.col("doc_id"), F.lit(SEED))
     share = {lang: min(1.0, (1.5 * DOCS_PER_LANG + 50) / n) for lang, n in counts.items()}
     limits = F.create_map(*[F.lit(y) for lang, s in share.items() for y in (lang, int(s * 2**40))])
@@ -215,10 +222,56 @@ def learn(docs: DataFrame) -> tuple[Net | None, list[str]]:
     for r in picked:
         if taken[r["lang"]] < DOCS_PER_LANG:
             taken[r["lang"]] += 1
-            for s in dict.fromkeys(r["stretches"]):
-                texts.append(s.encode())
-                langs.append(r["lang"])
-    return train(texts, langs)
+            texts.append(list(dict.fromkeys(r["stretches"])))
+            langs.append(r["lang"])
+    return texts, langs
+
+
+def learn(docs: DataFrame) -> tuple[Net | None, list[str]]:
+    """A model from the sample of ``docs``; the languages are the MOST_LANGS commonest at most."""
+    return trained(*sampled(docs))
+
+
+def trained(texts: list[list[str]], langs: list[str]) -> tuple[Net | None, list[str]]:
+    if not langs:
+        return None, []
+    return train([s.encode() for t in texts for s in t], [x for t, x in zip(texts, langs, strict=True) for _ in t])
+
+
+def made_up(text: str, rng: random.Random) -> str:
+    """A text of no learned language, in the outer shape of ``text``: its letters in any order, its letters exchanged for
+    others of their kind throughout, or letters of some script drawn at random."""
+    way = rng.randrange(3)
+    if way == 0:
+        letters = [c for c in text if c.isalpha()]
+        rng.shuffle(letters)
+        return "".join(letters.pop() if c.isalpha() else c for c in text)
+    if way == 1:
+        lower = "".join(chr(c) for c in range(0x61, 0x7B)) + "àáâäèéêëìíîïòóôöùúûüçñß"
+        change = {}
+        for group in ([c for c in lower if c in VOWELS], [c for c in lower if c not in VOWELS]):
+            plain = [c for c in group if c < "{"]
+            for c, d in zip(group, rng.sample(group, len(group)) if rng.random() < 0.3 else [*rng.sample(plain, len(plain)), *rng.choices(plain, k=len(group) - len(plain))], strict=True):
+                change[c] = d
+        return "".join(change.get(c, c) for c in text.lower())
+    low, high = SCRIPTS[0] if rng.random() < 0.4 else rng.choice(SCRIPTS)
+    return "".join(chr(rng.randint(low, high)) if c.isalpha() else c for c in text)
+
+
+def learn_known(docs: DataFrame) -> tuple[Net | None, list[str], float, float]:
+    """A model with NEITHER as a further language, and the shares of it above which a short or a long text is rejected,
+    as the labelled sample has them."""
+    texts, langs = sampled(docs)
+    if not langs:
+        return None, [], 1.0, 1.0
+    rng = random.Random(SEED)
+    others = [[made_up(s, rng) for s in t] for t in texts]
+    net, names = trained([*texts, *others], [*langs, *([NEITHER] * len(others))])
+    at = names.index(NEITHER)
+    single = pooled(net, [s.encode() for t in texts for s in t])[:, at]
+    whole = pooled(net, ["".join(t).encode() for t in texts])[:, at]
+    limits = [max(LEAST_NEITHER, float(np.quantile(x, 1 - REJECTED))) for x in (single, whole)]
+    return net, names, *limits
 
 
 def with_language(docs: DataFrame, model: tuple[Net | None, list[str]], pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -255,8 +308,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected: a language is found, and with more than a guess's probability."""
-    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    model = learn(docs)
-    least = LEAST_LIFT / len(model[1]) if len(model[1]) > 1 else 0.0
-    return with_language(docs, model, pred, score).where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
+    """The rows of ``docs`` whose text is in one of the learned languages: it has a letter, and no more of NEITHER than
+    nearly all labelled documents have. Texts that mix learned languages stay. Without labels only letters count."""
+    net, names, short, long = learn_known(docs)
+    kept, letter = fresh(docs, "kept"), fresh(docs, "has_letter")
+
+    def work(text: pa.Array, letters: pa.Array) -> list:
+        keep = letters.to_numpy(zero_copy_only=False).astype(bool)
+        if net is not None and keep.any():
+            raw, at = utf8(text), np.flatnonzero(keep)
+            share = pooled(net, [raw[i] for i in at])[:, names.index(NEITHER)]
+            keep[at] = share <= np.where([len(raw[i]) <= SHORT for i in at], short, long)
+        return [pa.array(keep, pa.bool_())]
+
+    told = with_batch_columns(docs.withColumn(letter, has_letter()), ["text", letter], StructType([StructField(kept, BooleanType())]), work)
+    return told.where(kept).select(*docs.columns)

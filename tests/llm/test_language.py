@@ -1,5 +1,6 @@
 """Operator 2: gradients against differences, held-out accuracy, odd rows."""
 
+import random
 import zlib
 
 import numpy as np
@@ -52,8 +53,34 @@ def test_held_out_accuracy(spark, monkeypatch):
     assert (both.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in both.doc_id]).all()
     held = both[both.held_out]
     assert (held.lang_pred == held.lang).mean() > 0.95
-    kept = language.known_language(docs)
-    assert kept.columns == docs.columns and kept.count() >= 0.99 * len(truth)
+
+
+#: Sentences of languages that the tables don't hold.
+FOREIGN = [
+    "Suomen kieli kuuluu itämerensuomalaisiin kieliin ja sitä puhutaan pääosin Suomessa, missä se on toinen virallisista kielistä.",
+    "Türkçe, Güneydoğu Avrupa ve Batı Asya'da konuşulan, Türk dilleri dil ailesine ait sondan eklemeli bir dildir ve çok sayıda lehçesi vardır.",
+    "Русский язык является одним из восточнославянских языков и национальным языком русского народа, на нём говорят во многих странах мира.",
+    "日本語は、日本国内や、かつての日本領だった国、そして国外移民や移住者を含む日本人同士の間で使用されている言語である。",
+    "Język polski należy do grupy zachodniosłowiańskiej i jest językiem urzędowym w Polsce oraz jednym z języków Unii Europejskiej.",
+    "A magyar nyelv az uráli nyelvcsalád tagja, a finnugor nyelvek közé tartozó ugor nyelvek egyike, legközelebbi rokonai a manysi és a hanti.",
+    "한국어는 대한민국과 조선민주주의인민공화국의 공용어이며 세계 여러 지역의 한민족 사회에서 널리 쓰이는 언어이다.",
+    "Tiếng Việt là ngôn ngữ của người Việt và là ngôn ngữ chính thức tại Việt Nam, được dùng bởi phần lớn dân số của nước này.",
+]
+
+
+def test_foreign_and_garbled_texts_are_rejected_and_clean_ones_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(6)
+    garbled = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(rng.randint(80, 2000))) for _ in range(60)]
+    foreign = [" ".join(rng.sample(t.split(), len(t.split()))) if i % 3 else t for t in FOREIGN for i in range(5)]
+    texts = [*garbled, *foreign]
+    planted = spark.createDataFrame([(10**9 + i, t, None, None, None) for i, t in enumerate(texts)], docs.schema)
+    kept = language.known_language(docs.unionByName(planted))
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    wrong = [t[:40] for i, t in enumerate(texts) if 10**9 + i in ids]
+    assert len(wrong) <= 0.1 * len(texts), wrong
+    assert sum(i < 10**9 for i in ids) >= 0.98 * docs.count()
 
 
 def test_odd_rows(spark, odd, monkeypatch):
