@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditlake.functions import privacy as x
 from auditlake.functions import urls as u
 from auditlake.operators.ranking import ranked
-from auditlake.session import cut_lineage, materialise
+from auditlake.session import materialise, new_shared_path
 
 SITE = ["site_id", "run_id"]
 #: Characters after the site that spread its URLs over ranking buckets.
 PATH_START = 6
 
 
+#: Levels that are kept apart before they are written as one.
+LEVELS_APART = 32
+
+
 def crawl_depth(
     edges: DataFrame,
     seeds: DataFrame,
@@ -24,37 +28,58 @@ def crawl_depth(
     max_depth: int | None = None,
     max_pages: int | None = None,
     blocked_sites: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Breadth-first depth of every reachable URL, site by site, all sites in the same sweep.
 
-    ``edges``: site_id, run_id, src, dst. ``seeds``: site_id, run_id, url. One level is one join of the frontier with
-    the edges and one anti join with what was seen, until a level is empty or, if given, ``max_depth`` levels. Each level is written to the shared
-    checkpoint folder, so lineage stays one level long and a lost executor costs one level at most.
-    A site whose robots file blocks everything keeps its seeds only."""
+    ``edges``: site_id, run_id, src, dst. ``seeds``: site_id, run_id, url. A site whose robots file blocks everything
+    keeps its seeds only. Levels go on until one is empty or, if given, for ``max_depth`` levels.
+
+    URLs are numbered by a 64-bit hash of site, run and URL. The checked edges are pairs of such numbers, written once
+    and bucketed by their source, so that no level shuffles them: a small frontier is broadcast by its size, a large
+    one is dealt to the buckets. What was seen is a table (node, depth) with a folder per level, made one every so many
+    levels, so each level has the same small plan however deep the crawl. A lost executor costs one level at most."""
+    spark = edges.sparkSession
+    # As many buckets as shuffle partitions, so that what is dealt to them meets them as they are.
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    node = lambda c: F.xxhash64(*SITE, c)
     safe = edges.filter(u.is_safe_crawl_url(F.col("dst"), F.col("site_id"))).select(*SITE, "src", "dst")
     if blocked_sites is not None:
         safe = safe.join(blocked_sites.select(*SITE), SITE, "left_anti")
-    # Read once per level, so the checked edges are written once.
-    safe = materialise(safe, "safe-edges")
-    levels = [cut_lineage(seeds.select(*SITE, "url").distinct().withColumn("depth", F.lit(0)))]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        seen = reduce(DataFrame.unionByName, levels).select(*SITE, "url")
-        step = (
-            levels[-1]
-            .withColumnRenamed("url", "src")
-            .join(safe, [*SITE, "src"])
-            .select(*SITE, F.col("dst").alias("url"))
-            .distinct()
-            .join(seen, [*SITE, "url"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        step = cut_lineage(step)
-        if step.isEmpty():
-            break
-        levels.append(step)
-    out = reduce(DataFrame.unionByName, levels)
+    named = materialise(safe.select(*SITE, F.col("dst").alias("url"), node("src").alias("a"), node("dst").alias("node")), "safe-edges")
+    starts = materialise(seeds.select(*SITE, "url").distinct().withColumn("node", node("url")), "crawl-seeds")
+    table = f"auditlake_edges_{uuid.uuid4().hex[:12]}"
+    pairs = named.select("a", "node").distinct().repartition(buckets, "a")
+    pairs.write.bucketBy(buckets, "a").sortBy("a").option("path", new_shared_path(spark, "crawl-edges")).saveAsTable(table)
+    levels: list[str] = []
+
+    def keep(nodes: DataFrame, depth: int) -> int:
+        """Writes a level and tells its size."""
+        path, told = new_shared_path(spark, "crawl-level"), Observation()
+        nodes.select("node", F.lit(depth).alias("depth")).observe(told, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        levels.append(path)
+        return told.get["n"]
+
+    def seen() -> DataFrame:
+        return spark.read.schema("node long, depth int").parquet(*levels)
+
+    try:
+        linked, depth = spark.table(table), 0
+        size = keep(starts.select("node").distinct(), 0)
+        while size and (max_depth is None or depth < max_depth):
+            depth += 1
+            frontier = spark.read.schema("node long, depth int").parquet(levels[-1]).select(F.col("node").alias("a"))
+            step = linked.join(frontier, "a", "left_semi").select("node").distinct().join(seen().select("node"), "node", "left_anti")
+            size = keep(step, depth)
+            if len(levels) > LEVELS_APART:
+                # All but the last, which is the next frontier.
+                path = new_shared_path(spark, "crawl-seen")
+                spark.read.schema("node long, depth int").parquet(*levels[:-1]).write.parquet(path)
+                levels[:-1] = [path]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    urls = starts.select(*SITE, "url", "node").unionByName(named.select(*SITE, "url", "node")).distinct()
+    out = urls.join(seen(), "node").select(*SITE, "url", "depth")
     if max_pages is None:
         return out
     # The page limit of a crawl run: exact, by depth then URL.

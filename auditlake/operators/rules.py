@@ -295,7 +295,7 @@ PRIVATE_DISALLOW = (
 AI_SIGNAL = "(?i)content-signal|ai-input|ai-train|gptbot|google-extended|ccbot"
 
 
-def site_rule_structs(search_integrations: bool) -> list[Column]:
+def site_rule_structs() -> list[Column]:
     c = F.col
     ok = lambda path: F.coalesce(c(probe(path))["ok"], F.lit(False))
     kind = lambda path: c(probe(path))["content_type"]
@@ -358,7 +358,7 @@ def site_rule_structs(search_integrations: bool) -> list[Column]:
         ("SEO-PERF-023", "total-requests"),
     ]
     out += [_emit(rule, F.array_contains("failed_metrics", metric)) for rule, metric in perf]
-    out += [_emit(r, F.lit(search_integrations)) for r in ("SEO-SEARCH-001", "SEO-SEARCH-002")]
+    out += [_emit(r, c("search_integrations")) for r in ("SEO-SEARCH-001", "SEO-SEARCH-002")]
     return out
 
 
@@ -371,9 +371,12 @@ def site_rule_findings(
     missing_counts: DataFrame | None = None,
     failed_metrics: DataFrame | None = None,
     *,
-    search_integrations: bool = False,
+    search_integrations: bool | DataFrame = False,
 ) -> DataFrame:
-    """Site grain findings. All inputs are one row per site (endpoints: one per path), joined on the site key."""
+    """Site grain findings. All inputs are one row per site (endpoints: one per path), joined on the site key.
+
+    ``search_integrations`` says whether search data was asked for and not imported: for all runs, or as a table
+    (site_id, run_id, search_integrations)."""
     none = F.array().cast("array<string>")
     wide = sites.select(*SITE).join(endpoint_wide(endpoints), SITE, "left").join(sitemap_counts, SITE, "left")
     wide = wide.join(page_facts, SITE, "left").join(site_types.select(*SITE, "site_type"), SITE, "left")
@@ -387,6 +390,10 @@ def site_rule_findings(
         if failed_metrics is not None
         else wide.withColumn("failed_metrics", none)
     )
+    if isinstance(search_integrations, DataFrame):
+        wide = wide.join(search_integrations.select(*SITE, F.coalesce("search_integrations", F.lit(False)).alias("search_integrations")), SITE, "left").fillna(False, ["search_integrations"])
+    else:
+        wide = wide.withColumn("search_integrations", F.lit(search_integrations))
     answered = [F.when(F.col(probe(p))["ok"], F.col(probe(p))["private_refs"]) for p in ("/sitemap.xml", "/sitemap_index.xml")]
     judged = wide.select(
         "*",
@@ -394,7 +401,7 @@ def site_rule_findings(
         F.coalesce(F.col(probe("/llms.txt"))["private_refs"], none).alias("llms_private"),
         F.coalesce(F.col(probe(JSON_DOCUMENTS[1]))["risky_tools"], none).alias("risky_tools"),
     ).fillna(0, ["n_sitemap_urls", "n_private_sitemap_urls", "n_pages", "n_hubs", "n_hreflang", "n_no_hreflang", "n_missing_from_sitemap"])
-    rows = judged.select(*SITE, F.posexplode(F.flatten(F.array(*site_rule_structs(search_integrations)))).alias("emit_ord", "f"))
+    rows = judged.select(*SITE, F.posexplode(F.flatten(F.array(*site_rule_structs()))).alias("emit_ord", "f"))
     return rows.select(*SITE, "emit_ord", "f.rule_id", "f.title", "f.severity", "f.refs")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import dims
-from auditlake.operators import discovery, intel, pages, rules, scoring
+from auditlake.operators import discovery, intel, pages, rules, runfacts, scoring
 from auditlake.session import materialise
 from auditlake.sources import sinks
 
@@ -28,14 +28,15 @@ def audit_facts(
     sitemap_documents: DataFrame | None = None,
     failed_metrics: DataFrame | None = None,
     *,
-    search_integrations: bool = False,
+    search_integrations: bool | DataFrame = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(runs, facts): long scoring facts of page, group and site rules.
 
     HTML is parsed once: the snapshot table is written and every rule reads the written columns it needs. Runs are those
     of any input, so a site that answered probes without an HTML page is scored too. ``sitemap_documents`` holds
     fetched child sitemaps (site_id, run_id, url, body), ``failed_metrics`` the metrics over budget of each run
-    (site_id, run_id, failed_metrics)."""
+    (site_id, run_id, failed_metrics), ``search_integrations`` whether search data is missing (site_id, run_id,
+    search_integrations, or the same for all runs)."""
     snap = materialise(pages.with_json_ld_types(pages.page_snapshots(page_raw)), "snapshots")
     typed = intel.site_types(snap)
     runs = snap.select(*SITE).unionByName(endpoints.select(*SITE)).distinct()
@@ -107,8 +108,18 @@ def write_audit(root: str, page_raw: DataFrame, endpoints: DataFrame, sitemap_do
     sinks.gold(scores_of(runs, groups), f"{root}/scores")
 
 
-def site_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship query on the driver's tables."""
+def audit_inputs(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], dict[str, DataFrame]]:
+    """All inputs of the audit from the driver's tables: pages, probes, sitemap children, metrics over budget of each run
+    as of its time, and search state."""
     from auditlake.plans import inputs
 
-    return audit_scores(inputs.page_raw(spark, sf_dir), inputs.endpoint_raw(spark, sf_dir))
+    logs = [of(spark, sf_dir) for of in (inputs.fetch_log, inputs.asset_log, inputs.paint_samples)]
+    failed = materialise(runfacts.failed_by_run(*logs, inputs.audit_runs(spark, sf_dir)), "failed-metrics")
+    given = [inputs.page_raw(spark, sf_dir), inputs.endpoint_raw(spark, sf_dir), inputs.sitemap_documents(spark, sf_dir), failed]
+    return given, {"search_integrations": inputs.search_state(spark, sf_dir)}
+
+
+def site_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship query on the driver's tables."""
+    given, options = audit_inputs(spark, sf_dir)
+    return audit_scores(*given, **options)

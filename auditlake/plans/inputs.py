@@ -141,6 +141,7 @@ ENDPOINT_CASES = {
         "'text/plain'",
         "'User-agent: *' || chr(10) || CASE WHEN page_id % 7 = 0 THEN 'Disallow: /' || chr(10) ELSE '' END || CASE WHEN page_id % 3 = 0 THEN 'Disallow: /admin/' || chr(10) ELSE '' END"
         " || CASE WHEN page_id % 4 = 0 THEN 'Sitemap: ' || site_id || '/sitemap.xml' || chr(10) ELSE '' END"
+        " || CASE WHEN page_id % 8 = 3 THEN 'Sitemap: ' || site_id || '/sitemap_index.xml' || chr(10) ELSE '' END || CASE WHEN page_id % 9 = 2 THEN 'Sitemap: ' || site_id || '/maps/named.xml' || chr(10) ELSE '' END"
         " || CASE WHEN page_id % 9 = 0 THEN '# content-signal: ai-train=no' || chr(10) ELSE '' END || 'User-agent: GoodBot' || chr(10) || 'Disallow: /private/x' || chr(10)"
         " || CASE WHEN page_id % 2 = 0 THEN 'User-agent: GPTBot' ELSE 'Allow: /' END",
     ),
@@ -150,6 +151,11 @@ ENDPOINT_CASES = {
         "CASE WHEN page_id % 10 = 3 THEN 'not xml' WHEN page_id % 10 = 6 THEN '<feed><loc>' || url || '</loc></feed>' ELSE '<urlset><url><loc> ' || url || ' </loc></url><url><loc>' || site_id || '/a?x=1&amp;y=2</loc></url>'"
         " || CASE WHEN page_id % 8 = 0 THEN '<url><loc>' || site_id || '/checkout/session?token=abcdefabcdef12</loc></url>' ELSE '' END || '</urlset>' END",
     ),
+    "/sitemap_index.xml": (
+        "page_id % 6 = 5 OR page_id % 7 = 3",
+        "'application/xml'",
+        "'<sitemapindex><sitemap><loc>' || site_id || '/maps/0.xml</loc></sitemap><sitemap><loc>' || site_id || '/maps/1.xml</loc></sitemap><sitemap><loc>https://elsewhere.example/maps/2.xml</loc></sitemap></sitemapindex>'",
+    ),
     "/llms.txt": (
         "page_id % 2 = 0",
         "CASE WHEN page_id % 4 = 0 THEN 'text/html' ELSE 'text/plain' END",
@@ -210,3 +216,61 @@ def site_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "html", "regexp_extract(url, '^https?://[^/]+', 0) AS site_id"
     )
     return src.selectExpr(*_split(DOC_SQL))
+
+
+_HOST = "regexp_extract(url, '^https?://[^/]+', 0)"
+#: Two runs per site, in seconds; pages and probes belong to the later one.
+EARLIER, LATER = 1709251200, 1709337600
+RUNS_SQL = f"site_id, run_id, started_at FROM (SELECT DISTINCT {_HOST} AS site_id FROM pages), (VALUES ('r-1', {EARLIER}), ('r0', {LATER})) AS v(run_id, started_at)"
+# Every page was fetched before the first run, in it and in the later one; k is the number of the visit.
+_VISITS = "k, page_id, url, " + _HOST + f" AS site_id, {EARLIER} + (k - 1) * 86400 + page_id * 7 % 80000 AS seen_at"
+FETCH_SQL = "site_id, seen_at, url, CASE WHEN page_id % 23 = 0 THEN 'application/pdf' ELSE 'text/html' END AS content_type, CAST((page_id * 37 + k * 911) % 2400 AS DOUBLE) AS total_ms"
+SAMPLE_SQL = "site_id, seen_at, CAST((page_id * 53 + k * 400) % 4000 AS DOUBLE) AS value"
+# Assets of a page by number a: their kind and size follow from their URL, or from the visit.
+ASSET_SQL = """
+  site_id, seen_at, CASE a WHEN 0 THEN 'https://cdn.example.com/lib' || CAST(page_id % 9 AS STRING) || '.js' WHEN 1 THEN site_id || '/js/app' || CAST(page_id % 13 AS STRING) || '.js'
+    WHEN 2 THEN site_id || '/css/site' || CAST(page_id % 12 AS STRING) || '.css' WHEN 3 THEN site_id || '/js/block' || CAST(page_id % 3 AS STRING) || '.js' ELSE site_id || '/img/a' || CAST(page_id AS STRING) || '-' || CAST(a AS STRING) || '.png' END AS url,
+  CASE WHEN a = 2 THEN 'stylesheet' WHEN a > 3 THEN 'image' ELSE 'script' END AS type, a = 0 AS third_party, a <> 0 AS same_origin, a IN (2, 3) AS render_blocking,
+  CASE a WHEN 0 THEN 20000 + page_id % 9 * 3000 WHEN 1 THEN 30000 + k * 5000 WHEN 2 THEN 9000 WHEN 3 THEN 12000 ELSE 40000 END AS bytes
+"""
+# Fetched sitemaps of a run in pieces, one page each: the children of an index, and one that only robots.txt names.
+CHILD_SQL = f"{_HOST} AS site_id, 'r0' AS run_id, {_HOST} || CASE WHEN page_id % 10 = 7 THEN '/maps/named.xml' ELSE '/maps/' || CAST(page_id % 2 AS STRING) || '.xml' END AS url, '<urlset><url><loc>' || url || CASE WHEN page_id % 40 = 1 THEN '/checkout/session?token=abcdefabcdef12' ELSE '' END || '</loc></url></urlset>' AS body"
+SEARCH_SQL = "site_id, run_id, page_id % 4 = 1 AS search_integrations"
+
+
+def audit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every site: site_id, run_id, started_at."""
+    sites = table(spark, sf_dir, "pages").selectExpr(f"{_HOST} AS site_id").distinct()
+    starts = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(t).cast("long").alias("started_at")) for r, t in (("r-1", EARLIER), ("r0", LATER))])
+    return sites.select("site_id", F.explode(starts).alias("r")).select("site_id", "r.*")
+
+
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
+    return pages.selectExpr(*_split(_VISITS))
+
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document fetches of all times."""
+    return _visits(spark, sf_dir).selectExpr(*_split(FETCH_SQL))
+
+
+def asset_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched assets of all times, with what their page uses them for."""
+    return _visits(spark, sf_dir).withColumn("a", F.explode(F.array(*[F.lit(a) for a in range(8)]))).selectExpr(*_split(ASSET_SQL))
+
+
+def paint_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest contentful paint as visitors had it."""
+    return _visits(spark, sf_dir).selectExpr(*_split(SAMPLE_SQL))
+
+
+def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched sitemaps beyond the probed ones; a document may come in several rows."""
+    return table(spark, sf_dir, "pages").selectExpr(*_split(CHILD_SQL))
+
+
+def search_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a run asked for search data that nobody imported, by the first page of each site."""
+    firsts = table(spark, sf_dir, "pages").groupBy(F.expr(_HOST).alias("site_id")).agg(F.min("page_id").alias("page_id"))
+    return firsts.withColumn("run_id", F.lit("r0")).selectExpr(*_split(SEARCH_SQL))

@@ -234,7 +234,7 @@ def v4(spark, sf):
     snap = materialise(snapshots(spark, sf), "snapshots")
     nodes, edges = g.nodes_and_edges(snap, p.page_links(snap))
     ep = inputs.endpoint_raw(spark, sf)
-    return ck.scan_artifacts(snap, ep, sitemap_urls(ep), g.uncrawled_links(edges, nodes)).drop("run_id")
+    return ck.scan_artifacts(snap, ep, sitemap_urls(spark, sf), g.uncrawled_links(edges, nodes)).drop("run_id")
 
 
 _NEED = f"regexp_matches(lower(title || chr(10) || recommendation), {o.q(pat.APPROVAL_ANY)})"

@@ -10,6 +10,7 @@ from auditlake.operators import discovery as d
 from auditlake.operators import intel as it
 from auditlake.operators import pages as p
 from auditlake.operators import rules as r
+from auditlake.operators import runfacts as rf
 from auditlake.plans import inputs
 from auditlake.plans import oracle as o
 from auditlake.plans.q_pages import RES, snapshots
@@ -118,17 +119,26 @@ def duplicate_members(spark, sf):
     return members.join(sizes, ["rule_id", "key_hash"]).select("rule_id", "affected_url", "n")
 
 
-SMAP = "smap AS (SELECT site_id, trim(replace(unnest(regexp_extract_all(body, '<loc>(.*?)</loc>', 1)), '&amp;', '&')) AS loc FROM ep WHERE path = '/sitemap.xml' AND ok)"
+_LOCS = lambda body: f"trim(replace(unnest(regexp_extract_all({body}, '<loc>(.*?)</loc>', 1)), '&amp;', '&'))"
+# Sitemaps that count: the first probed one that answered, those that robots.txt names, and the children of indexes.
+SMAP = f"""maps AS (SELECT site_id, url, body, row_number() OVER (PARTITION BY site_id ORDER BY path = '/sitemap_index.xml') AS nth FROM ep WHERE path IN ('/sitemap.xml', '/sitemap_index.xml') AND ok),
+named AS (SELECT DISTINCT site_id, unnest(regexp_extract_all(body, '(?m)^Sitemap: (.*)$', 1)) AS url FROM ep WHERE path = '/robots.txt' AND ok),
+probed AS (SELECT * FROM maps WHERE nth = 1 OR (site_id, url) IN (SELECT (site_id, url) FROM named)),
+child AS (SELECT {inputs.CHILD_SQL} FROM pages),
+entry AS (SELECT site_id, contains(body, '<sitemapindex>') AS is_index, {_LOCS("body")} AS loc FROM probed
+  UNION ALL SELECT c.site_id, false, {_LOCS("c.body")} FROM child c JOIN named USING (site_id, url)),
+listed AS (SELECT site_id, loc FROM entry WHERE NOT is_index UNION ALL SELECT e.site_id, {_LOCS("c.body")} FROM (SELECT DISTINCT site_id, loc FROM entry WHERE is_index) e JOIN child c ON c.site_id = e.site_id AND c.url = e.loc),
+smap AS (SELECT DISTINCT site_id, loc FROM listed WHERE starts_with(loc, site_id || '/'))"""
 MISS = f"miss AS (SELECT s.site_id, s.page_id, s.final_url AS affected_url FROM snap s WHERE s.status >= 200 AND s.status < 300 AND s.site_id IN (SELECT site_id FROM smap) AND NOT EXISTS (SELECT 1 FROM smap m WHERE m.site_id = s.site_id AND {o.canon('m.loc')} = {o.canon('s.final_url')}))"
 
 
-def sitemap_urls(ep):
-    return d.sitemap_universe(ep)
+def sitemap_urls(spark, sf):
+    return d.sitemap_universe(inputs.endpoint_raw(spark, sf), inputs.sitemap_documents(spark, sf))
 
 
 @query("R_SEO_SITEMAP_011", o.with_([*o.PAGE_CTES, o.ENDPOINTS, SMAP, MISS], "SELECT * FROM miss"))
 def sitemap_011(spark, sf):
-    return r.missing_from_sitemap(silver(spark, sf), sitemap_urls(inputs.endpoint_raw(spark, sf))).select("site_id", "page_id", "affected_url")
+    return r.missing_from_sitemap(silver(spark, sf), sitemap_urls(spark, sf)).select("site_id", "page_id", "affected_url")
 
 
 @query("R_SEO_INTL_001", o.with_(o.PAGE_CTES, "SELECT site_id, page_id, final_url AS affected_url FROM snap WHERE n_hre = 0 AND site_id IN (SELECT site_id FROM snap WHERE n_hre > 0)"))
@@ -144,19 +154,19 @@ def _body(path):
     return f"coalesce(max(body) FILTER (path = '{path}' AND ok), '')"
 
 
-WIDE = f"""wide AS (SELECT site_id, {_ep('/robots.txt')} AS robots_ok, {_body('/robots.txt')} AS robots, {_ep('/sitemap.xml')} AS map_ok, {_body('/sitemap.xml')} AS map, {_ep('/llms.txt')} AS llms_ok, {_body('/llms.txt')} AS llms, max(content_type) FILTER (path = '/llms.txt') AS llms_type, max(content_type) FILTER (path = '/') AS md_type,
+WIDE = f"""wide AS (SELECT site_id, {_ep('/robots.txt')} AS robots_ok, {_body('/robots.txt')} AS robots, {_ep('/sitemap.xml')} OR {_ep('/sitemap_index.xml')} AS map_ok, CASE WHEN {_ep('/sitemap.xml')} THEN {_body('/sitemap.xml')} ELSE {_body('/sitemap_index.xml')} END AS map, {_ep('/llms.txt')} AS llms_ok, {_body('/llms.txt')} AS llms, max(content_type) FILTER (path = '/llms.txt') AS llms_type, max(content_type) FILTER (path = '/') AS md_type,
  {_ep('/.well-known/agent-skills/index.json')} AS skill_ok, {_body('/.well-known/agent-skills/index.json')} AS skill, {_ep('/.well-known/mcp.json')} AS mcp_ok, {_body('/.well-known/mcp.json')} AS mcp, {_ep('/.well-known/api-catalog')} AS cat_ok, {_body('/.well-known/api-catalog')} AS cat,
  {_ep('/openapi.json')} OR {_ep('/swagger.json')} AS openapi_ok, {_ep('/auth.md')} AS auth_ok, {_ep('/.well-known/oauth-authorization-server')} AS as_ok, {_ep('/.well-known/oauth-protected-resource')} AS pr_ok FROM ep GROUP BY site_id),
 pfacts AS (SELECT site_id, count(*) AS n_pages, count(*) FILTER (n_int >= 4) AS n_hubs, count(*) FILTER (n_hre > 0) AS n_hre, count(*) FILTER (n_hre = 0) AS n_nohre FROM snap GROUP BY 1),
-nmap AS (SELECT site_id, count(*) AS n_map FROM smap GROUP BY 1), nmiss AS (SELECT site_id, count(*) AS n_miss FROM miss GROUP BY 1),
-sj AS (SELECT *, coalesce(n_map, 0) AS nm, coalesce(n_miss, 0) AS nx, length(site_id) % 2 = 0 AS slow FROM wide JOIN pfacts USING (site_id) JOIN stype USING (site_id) LEFT JOIN nmap USING (site_id) LEFT JOIN nmiss USING (site_id))"""
+nmap AS (SELECT site_id, count(*) AS n_map, count(*) FILTER (contains(loc, '/checkout/')) AS n_private_map FROM smap GROUP BY 1), nmiss AS (SELECT site_id, count(*) AS n_miss FROM miss GROUP BY 1),
+sj AS (SELECT *, coalesce(n_map, 0) AS nm, coalesce(n_miss, 0) AS nx, coalesce(failed_metrics, []) AS failed, coalesce(search_integrations, false) AS search FROM wide JOIN pfacts USING (site_id) JOIN stype USING (site_id) LEFT JOIN nmap USING (site_id) LEFT JOIN nmiss USING (site_id) LEFT JOIN fmet USING (site_id) LEFT JOIN search USING (site_id))"""
 _MUT = "regexp_matches(mcp, '(?i)delete')"
 SITE_RULES = {
     "SEO-CRAWL-001": "NOT robots_ok",
     "SEO-CRAWL-003": "robots_ok AND regexp_matches(robots, '(?im)disallow:\\s*/\\s*$')",
     "SEO-SITEMAP-001": "NOT map_ok",
     "SEO-SITEMAP-002": "map_ok AND nm = 0",
-    "SEO-SITEMAP-008": f"map_ok AND len({o.private_refs('map')}) > 0",
+    "SEO-SITEMAP-008": f"map_ok AND (len({o.private_refs('map')}) > 0 OR n_private_map > 0)",
     "SEO-CRAWL-004": "robots_ok AND NOT regexp_matches(robots, '(?im)^\\s*sitemap:')",
     "AR-ROBOTS-004": f"robots_ok AND NOT regexp_matches(robots, {o.q(r.AI_SIGNAL)})",
     "AR-ROBOTS-006": f"robots_ok AND NOT regexp_matches(robots, {o.rx(r.PRIVATE_DISALLOW)})",
@@ -178,29 +188,59 @@ SITE_RULES = {
     "AR-AUTH-001": "site_type IN ('api', 'app') AND NOT auth_ok",
     "AR-AUTH-002": "site_type IN ('api', 'app') AND NOT as_ok",
     "AR-AUTH-003": "site_type IN ('api', 'app') AND NOT pr_ok",
-    **{rule: "slow" for rule in ("SEO-PERF-001", "SEO-PERF-020", "SEO-PERF-021", "SEO-PERF-022", "SEO-PERF-023", "SEO-PERF-024")},
-    "SEO-SEARCH-001": "true",
-    "SEO-SEARCH-002": "true",
+    "SEO-PERF-001": "list_contains(failed, 'lcp-ms')",
+    "SEO-PERF-020": "list_contains(failed, 'total-js-kb')",
+    "SEO-PERF-021": "list_contains(failed, 'third-party-js-kb')",
+    "SEO-PERF-022": "list_contains(failed, 'render-blocking-requests')",
+    "SEO-PERF-023": "list_contains(failed, 'total-requests')",
+    "SEO-PERF-024": "list_contains(failed, 'document-fetch-ms')",
+    "SEO-SEARCH-001": "search",
+    "SEO-SEARCH-002": "search",
 }
 _SLIST = ", ".join(f"CASE WHEN {cond} THEN '{rule}' END" for rule, cond in SITE_RULES.items())
 SF = f"sf AS (SELECT site_id, rule_id, title, CASE WHEN rule_id = 'AR-LLMS-001' AND site_type NOT IN ('docs', 'api') THEN 'medium' ELSE severity END AS severity FROM (SELECT site_id, site_type, unnest([{_SLIST}]) AS rule_id FROM sj) JOIN ttl USING (rule_id))"
-SITE_CTES = [*o.PAGE_CTES, STYPE, o.ENDPOINTS, SMAP, MISS, WIDE, _TITLES, SF]
+# Logs know times only; ASOF finds the run of each row.
+_KB = lambda cond: f"floor(sum(CASE WHEN {cond} THEN bytes ELSE 0 END)::DOUBLE / 1024 * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE"
+_AS_OF = lambda rows: f"SELECT l.*, run_id FROM ({rows}) l ASOF JOIN runs r ON l.site_id = r.site_id AND l.seen_at >= r.started_at"
+RUN_METRICS = f"""runs AS (SELECT {inputs.RUNS_SQL}),
+visit AS (SELECT {inputs._VISITS} FROM (SELECT *, unnest([0, 1, 2]) AS k FROM pages)),
+fetched_in AS ({_AS_OF(f"SELECT {inputs.FETCH_SQL} FROM visit")}), painted_in AS ({_AS_OF(f"SELECT {inputs.SAMPLE_SQL} FROM visit")}),
+asset_in AS (SELECT site_id, run_id, url, any_value(type) AS type, any_value(third_party) AS third_party, any_value(render_blocking) AS render_blocking, max(bytes) AS bytes FROM ({_AS_OF(f"SELECT {inputs.ASSET_SQL} FROM (SELECT *, unnest(range(8)) AS a FROM visit)")}) GROUP BY 1, 2, 3),
+rdoc AS (SELECT site_id, run_id, count(*) AS n, quantile_disc(total_ms, 0.5) AS v FROM fetched_in WHERE content_type = 'text/html' GROUP BY 1, 2), rlcp AS (SELECT site_id, run_id, quantile_disc(value, 0.75) AS v FROM painted_in GROUP BY 1, 2),
+rres AS (SELECT site_id, run_id, count(*) AS n, count(*) FILTER (render_blocking) AS blocking, {_KB("type = 'script'")} AS js, {_KB("type = 'script' AND third_party")} AS tjs, {_KB("type = 'stylesheet'")} AS css, {_KB("type = 'image'")} AS img FROM asset_in GROUP BY 1, 2),
+rall AS (SELECT rres.site_id, rres.run_id, rdoc.v AS doc, rlcp.v AS lcp, coalesce(rdoc.n, 0) + rres.n AS requests, blocking, js, tjs, css, img FROM rres LEFT JOIN rdoc USING (site_id, run_id) LEFT JOIN rlcp USING (site_id, run_id)),
+rmet AS (SELECT site_id, run_id, metric_id, value, budget, CASE WHEN value IS NULL THEN 'not_measured' WHEN budget IS NULL OR value <= budget THEN 'passed' WHEN value <= budget * 1.15::DOUBLE THEN 'warning' ELSE 'failed' END AS status FROM (""" + " UNION ALL ".join(
+    f"SELECT site_id, run_id, '{m}' AS metric_id, {c}::DOUBLE AS value, {dims.BUDGETS[m]}::DOUBLE AS budget FROM rall"
+    for m, c in {"document-fetch-ms": "doc", "lcp-ms": "lcp", "total-requests": "requests", "render-blocking-requests": "blocking", "total-js-kb": "js", "third-party-js-kb": "tjs", "total-css-kb": "css", "image-bytes-kb": "img"}.items()
+) + f""")),
+fmet AS (SELECT site_id, list(metric_id) AS failed_metrics FROM rmet WHERE status = 'failed' AND run_id = 'r0' GROUP BY 1),
+search AS (SELECT {inputs.SEARCH_SQL} FROM fp)"""
+SITE_CTES = [*o.PAGE_CTES, STYPE, o.ENDPOINTS, SMAP, MISS, RUN_METRICS, WIDE, _TITLES, SF]
+
+
+@query("R4_run_metrics", o.with_([RUN_METRICS.rsplit(",\nfmet", 1)[0]], "SELECT * FROM rmet"))
+def run_metrics(spark, sf):
+    logs = [of(spark, sf) for of in (inputs.fetch_log, inputs.asset_log, inputs.paint_samples)]
+    runs = inputs.audit_runs(spark, sf)
+    return rf.run_metrics(*[rf.as_of_runs(log, runs) for log in logs])
+
+
+@query("D7_sitemap_universe", o.with_([o.ENDPOINTS, SMAP], "SELECT * FROM smap"))
+def sitemap_universe(spark, sf):
+    return sitemap_urls(spark, sf).select("site_id", "loc")
 
 
 def site_findings(spark, sf):
-    return site_findings_of(silver(spark, sf), inputs.endpoint_raw(spark, sf))
+    return site_findings_of(spark, sf, silver(spark, sf))
 
 
-def site_findings_of(snap, ep):
-    maps = sitemap_urls(ep)
-    missing = r.missing_from_sitemap(snap, maps).groupBy("site_id", "run_id").agg(F.count("*").alias("n_missing_from_sitemap"))
+def site_findings_of(spark, sf, snap):
+    from auditlake.plans.audit import audit_inputs
+
+    (_, ep, documents, failed), options = audit_inputs(spark, sf)
+    missing = r.missing_from_sitemap(snap, d.sitemap_universe(ep, documents)).groupBy("site_id", "run_id").agg(F.count("*").alias("n_missing_from_sitemap"))
     sites = snap.select("site_id", "run_id").distinct()
-    metrics = ["lcp-ms", "document-fetch-ms", "total-js-kb", "third-party-js-kb", "render-blocking-requests", "total-requests"]
-    slow = F.when(F.length("site_id") % 2 == 0, F.array(*[F.lit(x) for x in metrics])).otherwise(F.array().cast("array<string>"))
-    failed = sites.select("site_id", "run_id", slow.alias("failed_metrics"))
-    return r.site_rule_findings(
-        sites, ep, d.sitemap_url_counts(ep), r.page_rollup(snap), it.site_types(snap), missing, failed, search_integrations=True
-    )
+    return r.site_rule_findings(sites, ep, d.sitemap_url_counts(ep, documents), r.page_rollup(snap), it.site_types(snap), missing, failed, **options)
 
 
 @query("R_site_rule_findings", o.with_(SITE_CTES, "SELECT * FROM sf"))
@@ -393,14 +433,14 @@ def i13(spark, sf):
         "site_id", "run_id", ok("/llms.txt").alias("has_llms"), F.coalesce(kind.rlike("(?i)markdown|text/plain"), F.lit(False)).alias("has_markdown"),
         ok("/.well-known/mcp.json").alias("has_mcp"), ok("/.well-known/api-catalog").alias("has_api_catalog"), ok("/.well-known/agent-skills/index.json").alias("has_skills"),
     )
-    found = r.with_catalogue(site_findings_of(snap, ep)).filter(F.col("category").isin("agent_readiness", "protocol_discovery", "api_auth_mcp", "policy"))
+    found = r.with_catalogue(site_findings_of(spark, sf, snap)).filter(F.col("category").isin("agent_readiness", "protocol_discovery", "api_auth_mcp", "policy"))
     points = it.lookup(F.col("severity"), it.AGENT_PENALTY)
     agent = found.groupBy("site_id", "run_id").agg(
         F.count("*").alias("n_agent_findings"), F.count_if(F.col("severity") == "critical").alias("n_critical_agent"), F.sum(points).alias("agent_penalty")
     )
     words = snap.groupBy("site_id", "run_id").agg(F.count("*").alias("n_pages"), F.avg("word_count").alias("avg_words"))
     key = ["site_id", "run_id"]
-    joined = flags.join(agent, key, "left").join(words, key).join(d.sitemap_url_counts(ep), key, "left").fillna(0, ["n_sitemap_urls", "n_agent_findings", "n_critical_agent", "agent_penalty"])
+    joined = flags.join(agent, key, "left").join(words, key).join(d.sitemap_url_counts(ep, inputs.sitemap_documents(spark, sf)), key, "left").fillna(0, ["n_sitemap_urls", "n_agent_findings", "n_critical_agent", "agent_penalty"])
     return it.agent_experience(joined).drop("run_id")
 
 
@@ -408,14 +448,13 @@ def i13(spark, sf):
 _CATC = "cc(rule_id, category, confidence) AS (VALUES " + dims.values_sql([(x["rule_id"], x["category"], x["confidence"]) for x in dims.EMITTED]) + ")"
 _D = "::DOUBLE"
 _SEV = lambda table: "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}{_D}" for k, v in table.items()) + " END"
-SITE_ONLY = "sfa AS (SELECT * FROM sf WHERE NOT regexp_matches(rule_id, '^SEO-(PERF|SEARCH)-'))"
 REFS = f"refs AS (SELECT site_id, 'SEO-SITEMAP-008' AS rule_id, unnest({o.private_refs('map')}) AS ref FROM sj UNION ALL SELECT site_id, 'AR-LLMS-008', unnest({o.private_refs('llms')}) FROM sj UNION ALL SELECT site_id, 'AR-MCP-005', 'delete_order' FROM sj)"
 FACTS = """fct AS (SELECT site_id, rule_id, title, severity, 'f' AS kind, NULL AS value FROM pf UNION ALL SELECT site_id, rule_id, title, severity, 'u', affected_url FROM pf
  UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM (SELECT site_id, rule_id, k FROM dk WHERE k <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1) JOIN ttl USING (rule_id)
  UNION ALL SELECT site_id, rule_id, title, severity, 'u', final_url FROM (SELECT *, count(*) OVER (PARTITION BY site_id, rule_id, k) AS n FROM dk WHERE k <> '') JOIN ttl USING (rule_id) WHERE n > 1
- UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM sfa UNION ALL SELECT site_id, rule_id, title, severity, 'u', site_id FROM sfa WHERE rule_id NOT IN ('SEO-SITEMAP-011', 'SEO-INTL-001')
- UNION ALL SELECT site_id, rule_id, title, severity, 'u', affected_url FROM sfa JOIN miss USING (site_id) WHERE rule_id = 'SEO-SITEMAP-011'
- UNION ALL SELECT sfa.site_id, rule_id, sfa.title, severity, 'u', final_url FROM sfa JOIN snap USING (site_id) WHERE rule_id = 'SEO-INTL-001' AND n_hre = 0 UNION ALL SELECT sfa.site_id, sfa.rule_id, title, severity, 't', ref FROM sfa JOIN refs USING (site_id, rule_id)),
+ UNION ALL SELECT site_id, rule_id, title, severity, 'f', NULL FROM sf UNION ALL SELECT site_id, rule_id, title, severity, 'u', site_id FROM sf WHERE rule_id NOT IN ('SEO-SITEMAP-011', 'SEO-INTL-001')
+ UNION ALL SELECT site_id, rule_id, title, severity, 'u', affected_url FROM sf JOIN miss USING (site_id) WHERE rule_id = 'SEO-SITEMAP-011'
+ UNION ALL SELECT sf.site_id, rule_id, sf.title, severity, 'u', final_url FROM sf JOIN snap USING (site_id) WHERE rule_id = 'SEO-INTL-001' AND n_hre = 0 UNION ALL SELECT sf.site_id, sf.rule_id, title, severity, 't', ref FROM sf JOIN refs USING (site_id, rule_id)),
 gf AS (SELECT site_id, rule_id, title, category, severity, any_value(confidence) AS confidence, count(*) FILTER (kind = 'f') AS nf, count(DISTINCT value) FILTER (kind = 'u') AS nu, count(DISTINCT value) FILTER (kind = 't') AS nt FROM fct JOIN cc USING (rule_id) GROUP BY 1, 2, 3, 4, 5),
 gp AS (SELECT *, """ + f"({_SEV(dims.BASE_PENALTY)}) * confidence / 100.0{_D} + least(greatest(0, greatest(nf, nu, nt) - 1){_D} * ({_SEV(dims.STEP_PENALTY)}) * confidence / 100.0{_D}, ({_SEV(dims.CAP_PENALTY)}) * confidence / 100.0{_D}) AS penalty FROM gf)"
 _MAP = {**dims.AREAS, "total": dims.PROFILES["core_seo"]}
@@ -423,7 +462,7 @@ _AMAP = "am(area, category) AS (VALUES " + dims.values_sql([(k, c) for k, cs in
 _SC = "CAST(greatest(0, least(100, floor(round(100.0::DOUBLE - coalesce(sum(penalty) FILTER (area = '{a}' AND ('{a}' <> 'total' OR NOT regexp_matches(rule_id, '^(AR-|SEO-SEARCH-)'))), 0), 6) + 0.5))) AS INT)"
 
 
-@query("A_site_audit", o.with_([*SITE_CTES, PF.split(",\n", 1)[1], DUP, _CATC, SITE_ONLY, REFS, FACTS, _AMAP, "wide2 AS (SELECT st.site_id, " + ", ".join(f'{_SC.replace("{a}", a)} AS "{a}"' for a in _MAP) + " FROM stype st LEFT JOIN gp USING (site_id) LEFT JOIN am USING (category) GROUP BY 1)"],
+@query("A_site_audit", o.with_([*SITE_CTES, PF.split(",\n", 1)[1], DUP, _CATC, REFS, FACTS, _AMAP, "wide2 AS (SELECT st.site_id, " + ", ".join(f'{_SC.replace("{a}", a)} AS "{a}"' for a in _MAP) + " FROM stype st LEFT JOIN gp USING (site_id) LEFT JOIN am USING (category) GROUP BY 1)"],
     "SELECT *, CASE WHEN total >= 90 THEN 'excellent' WHEN total >= 75 THEN 'strong' WHEN total >= 60 THEN 'medium' WHEN total >= 40 THEN 'weak' ELSE 'critical' END AS level FROM wide2"))
 def site_audit_query(spark, sf):
     from auditlake.plans.audit import site_audit

@@ -210,3 +210,28 @@ def test_fetches_of_a_hot_url_are_labelled_without_one_task_for_all(spark):
     rows = got.collect()
     assert len(rows) == 3000 and {r.event_id: r.run for r in rows} == want
     assert {r.profile for r in rows if r.run == 2} == {"cold"} and got.columns == [*log.columns, "run", "profile"]
+
+
+def test_deep_crawl_keeps_one_small_plan(spark, monkeypatch):
+    """A chain deeper than the levels kept apart, with shortcuts and a cycle: depths are exact, levels are folded into one."""
+    import collections
+
+    monkeypatch.setattr(graph, "LEVELS_APART", 4)
+    site, n = "https://deep.test", 23
+    url = lambda i: f"{site}/p/{i}"
+    pairs = [(i, i + 1) for i in range(n)] + [(3, 9), (9, 4), (12, 0), (n, 2)] + [(i, i) for i in range(0, n, 5)]
+    edges = spark.createDataFrame([(site, "r", url(a), url(b)) for a, b in pairs] + [(site, "r2", url(0), url(7))], "site_id string, run_id string, src string, dst string")
+    seeds = spark.createDataFrame([(site, "r", url(0)), (site, "r", url(0)), (site, "r2", url(0)), (site, "r3", url(5))], "site_id string, run_id string, url string")
+    want, todo = {("r", 0): 0, ("r2", 0): 0, ("r2", 7): 1, ("r3", 5): 0}, collections.deque([0])
+    while todo:
+        a = todo.popleft()
+        for x, b in pairs:
+            if x == a and ("r", b) not in want:
+                want["r", b] = want["r", a] + 1
+                todo.append(b)
+    out = graph.crawl_depth(edges, seeds)
+    assert {(r.run_id, int(r.url.rsplit("/", 1)[1])): r.depth for r in out.collect()} == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 4
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("auditlake_edges")]
+    assert graph.crawl_depth(edges.limit(0), seeds).count() == 3 and graph.crawl_depth(edges, seeds.limit(0)).count() == 0
