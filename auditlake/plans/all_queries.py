@@ -6,4 +6,5 @@ from auditlake.plans import q_scores  # noqa: F401
 from auditlake.plans import q_field  # noqa: F401
 from auditlake.plans import q_rules  # noqa: F401
 from auditlake.plans import q_compare  # noqa: F401
+from auditlake.plans import q_contracts  # noqa: F401
 from auditlake.plans import q_lake  # noqa: F401
