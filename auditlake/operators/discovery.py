@@ -174,11 +174,12 @@ def sitemap_universe(endpoints: DataFrame, documents: DataFrame | None = None) -
     return pages.filter(u.same_origin(F.col("loc"), F.col("site_id"))).distinct()
 
 
-def sitemap_url_counts(endpoints: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+def sitemap_url_counts(endpoints: DataFrame, documents: DataFrame | None = None, universe: DataFrame | None = None) -> DataFrame:
     """Sitemap URLs per site and how many of them are private; a site whose map is empty has a row of zeros. Where the
-    children of an index aren't known, its entries keep the map from counting as empty."""
+    children of an index aren't known, its entries keep the map from counting as empty. ``universe`` is what
+    ``sitemap_universe`` gives, where it is at hand."""
     answered = endpoints.filter(F.col("path").isin(MAP_PATHS) & F.col("ok")).select(*SITE)
-    urls = sitemap_universe(endpoints, documents)
+    urls = universe if universe is not None else sitemap_universe(endpoints, documents)
     if documents is None:
         urls = urls.unionByName(probed_entries(endpoints).filter("is_index").select(*SITE, "loc").distinct())
     answered = answered.unionByName(urls.select(*SITE)).distinct()

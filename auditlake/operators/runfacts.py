@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +70,11 @@ def run_metrics(fetches: DataFrame, assets: DataFrame, samples: DataFrame, budge
 
 
 def failed_by_run(fetches: DataFrame, assets: DataFrame, samples: DataFrame, runs: DataFrame, budgets: dict[str, float] | None = None) -> DataFrame:
-    """site_id, run_id, failed_metrics: the metrics over budget of every run, from logs that know only times (``seen_at``)."""
-    of_run = [as_of_runs(log, runs) for log in (fetches, assets, samples)]
-    return failed_metrics(run_metrics(*of_run, budgets), SITE)
+    """site_id, run_id, failed_metrics: the metrics over budget of every run, from logs that know only times (``seen_at``).
+
+    The three logs are given their runs as one table, which is written and read by each part of the metrics."""
+    logs = {"fetch": fetches, "asset": assets, "sample": samples}
+    told = [log.withColumn("_log", F.lit(name)) for name, log in logs.items()]
+    of_run = materialise(as_of_runs(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), told), runs), "run-logs")
+    part = lambda name: of_run.filter(F.col("_log") == name).select("run_id", *logs[name].columns)
+    return failed_metrics(run_metrics(part("fetch"), part("asset"), part("sample"), budgets), SITE)

@@ -56,12 +56,12 @@ def audit_facts(
         .select(*of_group, F.lit("u").alias("kind"), F.col("affected_url").alias("value"))
     )
 
-    universe = discovery.sitemap_universe(endpoints, sitemap_documents)
+    universe = materialise(discovery.sitemap_universe(endpoints, sitemap_documents), "sitemap-urls")
     missing = materialise(rules.missing_from_sitemap(snap, universe).select(*SITE, "affected_url"), "missing-from-sitemap")
     n_missing = missing.groupBy(*SITE).agg(F.count("*").alias("n_missing_from_sitemap"))
     site = materialise(
         rules.site_rule_findings(
-            types, endpoints, discovery.sitemap_url_counts(endpoints, sitemap_documents), rules.page_rollup(snap), types, n_missing,
+            types, endpoints, discovery.sitemap_url_counts(endpoints, sitemap_documents, universe), rules.page_rollup(snap), types, n_missing,
             failed_metrics, search_integrations=search_integrations,
         ),
         "site-findings",
@@ -115,7 +115,9 @@ def audit_inputs(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], dic
 
     logs = [of(spark, sf_dir) for of in (inputs.fetch_log, inputs.asset_log, inputs.paint_samples)]
     failed = materialise(runfacts.failed_by_run(*logs, inputs.audit_runs(spark, sf_dir)), "failed-metrics")
-    given = [inputs.page_raw(spark, sf_dir), inputs.endpoint_raw(spark, sf_dir), inputs.sitemap_documents(spark, sf_dir), failed]
+    # Probes are read by many parts; in a lake they are a table of their own.
+    probes = materialise(inputs.endpoint_raw(spark, sf_dir), "endpoints")
+    given = [inputs.page_raw(spark, sf_dir), probes, inputs.sitemap_documents(spark, sf_dir), failed]
     return given, {"search_integrations": inputs.search_state(spark, sf_dir)}
 
 

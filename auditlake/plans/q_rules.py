@@ -238,9 +238,10 @@ def site_findings_of(spark, sf, snap):
     from auditlake.plans.audit import audit_inputs
 
     (_, ep, documents, failed), options = audit_inputs(spark, sf)
-    missing = r.missing_from_sitemap(snap, d.sitemap_universe(ep, documents)).groupBy("site_id", "run_id").agg(F.count("*").alias("n_missing_from_sitemap"))
+    universe = materialise(d.sitemap_universe(ep, documents), "sitemap-urls")
+    missing = r.missing_from_sitemap(snap, universe).groupBy("site_id", "run_id").agg(F.count("*").alias("n_missing_from_sitemap"))
     sites = snap.select("site_id", "run_id").distinct()
-    return r.site_rule_findings(sites, ep, d.sitemap_url_counts(ep, documents), r.page_rollup(snap), it.site_types(snap), missing, failed, **options)
+    return r.site_rule_findings(sites, ep, d.sitemap_url_counts(ep, documents, universe), r.page_rollup(snap), it.site_types(snap), missing, failed, **options)
 
 
 @query("R_site_rule_findings", o.with_(SITE_CTES, "SELECT * FROM sf"))
