@@ -8,3 +8,4 @@ from auditlake.plans import q_rules  # noqa: F401
 from auditlake.plans import q_compare  # noqa: F401
 from auditlake.plans import q_contracts  # noqa: F401
 from auditlake.plans import q_lake  # noqa: F401
+from auditlake.plans import q_evidence  # noqa: F401
