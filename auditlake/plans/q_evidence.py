@@ -1,4 +1,4 @@
-"""Queries over the evidence store: content-addressed rows, who cites them, and their JSONL file."""
+"""Queries over the evidence store (content-addressed rows, who cites them, their JSONL file) and the gold store."""
 
 from __future__ import annotations
 
@@ -8,12 +8,16 @@ from auditlake.operators import discovery as d
 from auditlake.operators import evidence as ev
 from auditlake.operators import intel as it
 from auditlake.operators import rules as r
+from auditlake.operators import scoring as sc
+from auditlake.plans import findings_input as fi
+from auditlake.plans import gold
 from auditlake.plans import oracle as o
+from auditlake.plans import q_scores as qs
 from auditlake.plans.audit import audit_inputs
 from auditlake.plans.q_rules import DUP, PF, SITE_CTES, silver
 from auditlake.plans.registry import query
 from auditlake.session import materialise, new_shared_path
-from auditlake.sources import sinks
+from auditlake.sources import goldstore, sinks
 
 _J = lambda x: f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
 _PART = lambda x: f"coalesce(CAST(strlen({x}) AS VARCHAR) || ':' || {x}, '-')"
@@ -97,3 +101,43 @@ def evidence_jsonl(spark, sf):
     evidence = store(spark, sf)[0]
     sinks.jsonl(evidence, path)
     return spark.read.schema(evidence.schema).json(path).drop("run_id")
+
+
+# What is told of each gold table: its rows and one sum that any lost, doubled or mixed-up row changes.
+GOLD = {
+    "finding": ("fnd", "ord"),
+    "evidence": ("(SELECT * FROM fnd WHERE evidence_url IS NOT NULL)", "ord * 7 + length(evidence_url)"),
+    "ledger": ("led", "finding_count * 3 + length(status)"),
+    "score": ("ars", "score * length(area)"),
+    "plan": (f"(SELECT site_id, run_id, rule_id, row_number() OVER (PARTITION BY site_id, run_id ORDER BY {qs.PLAN_ORDER}) AS plan_rank FROM opt JOIN fst USING (site_id, run_id, rule_id))", "plan_rank * length(rule_id)"),
+    "queue": ("items", "instances * length(item_id) + n_evidence"),
+}
+_ALL_OPTIONS = qs.QUEUE.replace("opt2 AS (SELECT * FROM opt WHERE NOT (run_id = 'r0' AND fix_class = 'safe_auto_fix'))", "opt2 AS (SELECT * FROM opt)")
+GOLD_CTES = [fi.SCOREABLE, qs.GRP, fi.LEDGER, qs.AREAS, qs.AREA_SCORES, qs.FIRST, qs.OPTS, qs.QG, qs.LASTG, _ALL_OPTIONS]
+
+
+@query("S19_run_tables", fi.with_(GOLD_CTES, " UNION ALL ".join(f"SELECT '{name}' AS gold_table, run_id, site_id, count(*) AS n, CAST(sum({total}) AS BIGINT) AS total FROM {source} GROUP BY 2, 3" for name, (source, total) in GOLD.items())))
+def run_tables(spark, sf):
+    """Six gold tables of all runs in one commit; then the newer run is committed again and replaces itself, and a third
+    commit breaks off before its end. What is read are the rows of the finished ones."""
+    root, commit = new_shared_path(spark, "gold"), goldstore.new_commit()
+    found = fi.findings(spark, sf)
+    goldstore.add(root, commit, {"finding": found})
+    back = goldstore.written(spark, root, commit, "finding", found.schema)
+    runs = back.select("site_id", "run_id").distinct()
+    config = fi.run_config(spark, sf)
+    penalties = materialise(sc.with_penalty(sc.finding_groups(back)), "penalties")
+    rest = gold.derived_tables(back, penalties, config)
+    rest["evidence"] = back.select("site_id", "run_id", "ord", "rule_id", F.explode("evidence_urls").alias("evidence_url"))
+    goldstore.add(root, commit, rest)
+    goldstore.finish(root, commit, runs, {"finding": found.schema} | {name: df.schema for name, df in rest.items()})
+
+    newer = {name: goldstore.table(spark, root, name).filter("run_id = 'r1'") for name in GOLD}
+    goldstore.commit_tables(root, runs.filter("run_id = 'r1'"), newer)
+    goldstore.add(root, goldstore.new_commit(), {"finding": newer["finding"].withColumn("run_id", F.lit("r2"))})
+    out = None
+    for name, (_, total) in GOLD.items():
+        rows = goldstore.table(spark, root, name).groupBy("run_id", "site_id").agg(F.count("*").alias("n"), F.sum(F.expr(total)).cast("long").alias("total"))
+        rows = rows.withColumn("gold_table", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
