@@ -250,28 +250,36 @@ GRAM = 3
 def template_sources(templates: DataFrame, route_files: DataFrame, k: int = 5) -> DataFrame:
     """Route files whose path contains the first segment of a pattern, best confidence first, else the first files.
 
-    Containment is an equality on the segment's first characters: every file is listed under its own short
-    substrings, and only files that share the start of a segment are tested for the whole of it. So patterns and files
-    of one site never meet pairwise."""
+    A segment holds no slash, so a path contains it where one of its parts does. Each distinct part of a site keeps its
+    best k files: every file of a part that matches a pattern matches it too, so nothing else of the part can be
+    among the pattern's best. Segments then meet distinct parts only, by equality on their first characters,
+    and a pattern is joined with k files per part at most, however many files share a folder."""
     seg = F.regexp_replace(F.regexp_extract("url_pattern", "^/([^/]*)", 1), "^:", "")
     left = templates.select("site_id", "url_pattern", seg.alias("segment")).distinct()
     files = route_files.select("site_id", "path", "confidence", "ord")
     low = F.lower("path")
+    best_first = [F.col("confidence").desc(), F.col("ord")]
+    parts = files.select("*", F.explode(F.array_distinct(F.split(low, "/"))).alias("part")).filter("part <> ''")
+    tops = top_k(parts, ["site_id", "part"], best_first, k).drop("rank")
+    text = F.col("part")
     gram = lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n))
+        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n))
     )
     grams = F.array_distinct(F.flatten(F.array(*[gram(n) for n in range(1, GRAM + 1)])))
-    keyed = files.select("*", F.explode(grams).alias("gram"))
-    by_text = (
-        left.filter("url_pattern <> '/' AND segment <> ''")
+    keyed = parts.select("site_id", "part").distinct().select("site_id", "part", F.explode(grams).alias("gram"))
+    asked = left.filter("url_pattern <> '/' AND segment <> ''")
+    holding = (
+        asked.select("site_id", "segment").distinct()
         .withColumn("gram", F.substring("segment", 1, GRAM))
         .join(keyed, ["site_id", "gram"])
-        .filter(low.contains(F.col("segment")))
-    )
+        .filter(text.contains(F.col("segment")))
+        .select("site_id", "segment", "part")
+    )
+    by_text = asked.join(holding, ["site_id", "segment"]).join(tops, ["site_id", "part"]).drop("part", "segment").distinct()
     cols = ["site_id", "url_pattern", "path", "confidence", "ord"]
     home = left.filter("url_pattern = '/'").join(files.filter(low.rlike(INDEX_FILE)), "site_id")
     matched = by_text.select(*cols).unionByName(home.select(*cols))
-    best = top_k(matched, ["site_id", "url_pattern"], [F.col("confidence").desc(), F.col("ord")], k)
+    best = top_k(matched, ["site_id", "url_pattern"], best_first, k)
     bare = left.join(best.select("site_id", "url_pattern").distinct(), ["site_id", "url_pattern"], "left_anti")
     first = top_k(files, ["site_id"], [F.col("ord")], k)
     return best.select("site_id", "url_pattern", "path", "rank").unionByName(

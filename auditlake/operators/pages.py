@@ -65,9 +65,11 @@ def prefixed_meta(tags: Column, key: str, prefix: str) -> Column:
     )
 
     def dedupe(items: Column) -> Column:
-        kept = F.filter(
-            items, lambda p, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda q: q["k"] == p["k"])
-        )
+        # Sorted by key and place, the last of a key is the one before another key; then back to document order.
+        placed = F.array_sort(F.transform(items, lambda p, i: F.struct(p["k"].alias("k"), i.alias("place"), p["v"].alias("v"))))
+        last = bind(placed, lambda rows: F.filter(rows, lambda p, i: ~F.try_element_at(rows, i + 2)["k"].eqNullSafe(p["k"])))
+        ordered = F.array_sort(F.transform(last, lambda p: F.struct(p["place"].alias("place"), p["k"].alias("k"), p["v"].alias("v"))))
+        kept = F.transform(ordered, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
         return F.map_from_entries(kept)
 
     return bind(pairs, dedupe)

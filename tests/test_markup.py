@@ -106,3 +106,14 @@ def test_resources_merge_flags(make_pages):
 def test_snapshot_is_one_narrow_stage(make_pages):
     plan = p.page_snapshots(make_pages([{"url": "https://e.com/", "html": "<p>"}]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_many_metas_keep_the_last_of_each_key_in_linear_time(make_pages):
+    import time
+
+    html = "".join(f'<meta property="og:k{i % 4000}" content="{i}">' for i in range(16000))
+    page = p.page_snapshots(make_pages([{"url": "https://e.com/", "html": html}])).select("open_graph")
+    start = time.time()
+    got = page.first().open_graph
+    assert len(got) == 4000 and got["og:k0"] == "12000" and got["og:k3999"] == "15999"
+    assert time.time() - start < 20
