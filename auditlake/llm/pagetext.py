@@ -16,8 +16,8 @@ from auditlake.llm.common import with_batch_columns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Width of the Gaussian over lines, and its reach in widths.
-SIGMA, REACH = 1.5, 3
+#: Widths of the Gaussians over lines, and their reach in widths: the wide one finds the region of the content, the narrow one its lines.
+SIGMA, SHARP, REACH = 1.5, 0.5, 3
 #: Share of the content lines' text that an element has to hold so that long lines of links in it are no menus.
 COVERED = 0.85
 #: Outside an article, lines that are links in more than this share of their text are menus.
@@ -31,8 +31,9 @@ BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-NEVER = set("head script style noscript template title nav footer aside form button select textarea iframe svg canvas object dialog menu search input label".split())
+NEVER = set("head script style noscript template title nav footer aside form button select textarea iframe svg canvas object dialog menu search input".split())
 REGION = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Left out only where their end tag is found; a form also only if it isn't around the page.
 CLOSED = {"form", "nav", "aside"}
 IN_HEAD = set("html head base basefont bgsound link meta title style script noscript template".split())
@@ -47,14 +48,34 @@ BOILERPLATE = set(
     "newsletter subscribe subscription signup login sidebar sidenav rail widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
     "comment comments commentlist disqus respond reply replies share sharing social related recommended pagination pager skip copyright".split()
 )
-#: Whole words of class names and ids; of the above also the first part of a word counts, since wrappers are called has-sidebar.
+#: What may follow a word of the above in a class name or id: ad-slot and related-posts are boilerplate, ad-hoc and related-work are not.
+PLACES = set(
+    "area bar block body bottom box button buttons card center column container content desktop dialog fixed form foot frame global group header heading holder icons inner item "
+    "items large left link links list main message mobile outer panel post posts primary region right row rows secondary section site slot small sticky stories text "
+    "title toggle top unit wrap wrapper".split()
+)
+#: Words that paragraphs, headings, cells and the like of an article also use for what they say.
+SAID = set("alert banner copyright notice notices overlay related respond reply replies share skip social widget".split())
+PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr figure figcaption pre blockquote label caption details summary hgroup".split())
+#: Whole words of class names and ids beside those whose first part is a word of the above and whose other parts are places or numbers.
 COMPOUNDS = set(
     "site-footer page-footer main-footer entry-footer post-footer site-nav main-nav primary-nav top-nav site-navigation main-navigation post-navigation primary-menu main-menu "
     "left-sidebar right-sidebar main-sidebar primary-sidebar post-comments".split()
 )
 HEADERS = {"header", "site-header", "page-header"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-_PARTS = re.compile(r"[\s_-]+")
+_PARTS = re.compile(r"[_-]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_PLACE = re.compile(r"[0-9]+(?:x[0-9]+)?")
+
+
+def boilerplate(words: list[str], said: bool) -> bool:
+    """Whether a class name or id in ``words`` tells that its element is not of the article. ``said``: paragraphs inside one."""
+    for word in words:
+        first, *rest = _PARTS.split(word.strip("_-"))
+        if word in COMPOUNDS or (first in BOILERPLATE and not (said and first in SAID) and all(x in PLACES or x in BOILERPLATE or _PLACE.fullmatch(x) for x in rest)):
+            return True
+    return False
 
 
 class Lines(HTMLParser):
@@ -64,6 +85,10 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         #: Open elements: tag, id, whether it is left out for good, number of its doubtful exclusion or 0, the local region before it.
         self.stack: list[tuple[str, int, bool, int, int]] = []
+        #: Depths of the open elements by tag, of the open containers, and of those that keep what is around them open.
+        self.open: dict[str, list[int]] = {}
+        self.holders: list[int] = []
+        self.fences: list[int] = []
         #: Exclusions that what the page holds may lift: the one around it, kind, whether in an article, whether its end tag was found.
         self.doubts: list[list] = [[0, "", False, True]]
         #: By element id: tag and the id of the container around it.
@@ -91,6 +116,8 @@ class Lines(HTMLParser):
             return "" if self.inside else "good"
         if tag in ("html", "body") or tag in REGION:
             return ""
+        if tag == "label":
+            return "good" if self.open.get("form") else ""
         kind = tag if tag in CLOSED else ""
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -102,8 +129,11 @@ class Lines(HTMLParser):
             if tag in CLOSED:
                 continue
             if name in ("class", "id"):
-                words = value.lower().split()
-                if any(w in COMPOUNDS or _PARTS.split(w.lstrip("_-"))[0] in BOILERPLATE for w in words) or (not self.inside and not HEADERS.isdisjoint(words)):
+                if name == "id" and tag in HEADINGS:
+                    # Made from what the heading says.
+                    continue
+                words = _HUMP.sub("-", value).lower().split()
+                if boilerplate(words, self.inside > 0 and tag in PARAGRAPHS) or (not self.inside and not HEADERS.isdisjoint(words)):
                     kind = "good" if tag in PHRASING else "class"
             elif name == "role" and value.lower() in ROLES:
                 return "good"
@@ -112,6 +142,11 @@ class Lines(HTMLParser):
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             tag, element, left_out, doubt, local = self.stack.pop()
+            self.open[tag].pop()
+            if tag in CONTAINERS:
+                self.holders.pop()
+            if tag in KEEPS_OPEN:
+                self.fences.pop()
             self.out -= left_out
             self.links -= tag == "a"
             self.titles -= tag == "h1"
@@ -127,9 +162,8 @@ class Lines(HTMLParser):
     def close_head(self, tag: str) -> None:
         """Both tags of head and the start tag of body may be left away: the first thing that can't be in a head ends it."""
         if tag == "body":
-            for depth, opened in enumerate(self.stack):
-                if opened[0] == "head":
-                    return self.pop_to(depth)
+            if heads := self.open.get("head"):
+                self.pop_to(heads[0])
         elif self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
             self.pop_to(len(self.stack) - 1)
 
@@ -169,12 +203,9 @@ class Lines(HTMLParser):
             self.end_line()
             self.tags = 1
             if closed := CLOSES.get(tag):
-                for depth in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[depth][0] in closed:
-                        self.pop_to(depth)
-                        break
-                    if self.stack[depth][0] in KEEPS_OPEN:
-                        break
+                depth = max((self.open[x][-1] for x in closed if self.open.get(x)), default=-1)
+                if depth >= (self.fences[-1] if self.fences else 0):
+                    self.pop_to(depth)
         if tag in VOID:
             return
         kind, local, doubt = self.left_out(tag, attrs), self.local, 0
@@ -191,6 +222,12 @@ class Lines(HTMLParser):
             element = len(self.elements)
             self.elements.append((tag, self.container[-1]))
             self.container.append(element)
+        depth = len(self.stack)
+        self.open.setdefault(tag, []).append(depth)
+        if tag in CONTAINERS:
+            self.holders.append(depth)
+        if tag in KEEPS_OPEN:
+            self.fences.append(depth)
         self.stack.append((tag, element, left_out, doubt, local))
         self.out += left_out
         self.links += tag == "a"
@@ -212,16 +249,16 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
-                if tag not in BLOCK and any(x[3] or x[0] in REGION for x in self.stack[depth:]):
-                    self.end_line()
-                if doubt := self.stack[depth][3]:
-                    self.doubts[doubt][3] = True
-                self.pop_to(depth)
-                break
-            if self.stack[depth][0] in CONTAINERS and tag not in CONTAINERS and tag not in BLOCK:
-                break
+        if not (depths := self.open.get(tag)):
+            return
+        depth = depths[-1]
+        if tag not in CONTAINERS and tag not in BLOCK and self.holders and depth < self.holders[-1]:
+            return
+        if tag not in BLOCK and any(x[3] or x[0] in REGION for x in self.stack[depth:]):
+            self.end_line()
+        if doubt := self.stack[depth][3]:
+            self.doubts[doubt][3] = True
+        self.pop_to(depth)
 
     def handle_data(self, data: str) -> None:
         if self.out and not data.isspace():
@@ -232,10 +269,10 @@ class Lines(HTMLParser):
                 self.linked += len(data)
 
 
-def smoothed(ratios: np.ndarray) -> np.ndarray:
+def smoothed(ratios: np.ndarray, width: float = SIGMA) -> np.ndarray:
     """Gaussian mean over neighbouring lines; at the ends over those that exist."""
-    reach = int(SIGMA * REACH)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
+    reach = int(width * REACH)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / width) ** 2)
     full = np.convolve(ratios, kernel)[reach : reach + len(ratios)]
     return full / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
@@ -259,12 +296,17 @@ def content(lines: list[tuple[str, int, int, int, int]], elements: list[tuple[st
 
     Lines above the threshold tell whether article and main elements hold the content; if so, they are it with all their
     lines, short paragraphs, headings, lists and quotes alike. Only one that has no line above the threshold and is mostly
-    links isn't. Elsewhere the page is the article without its menus: lines that are mostly links go, but for those above
-    the threshold in the smallest element that holds most of their text."""
+    links isn't.
+
+    Elsewhere the narrowly smoothed ratios choose the smallest container that holds most of the text of the lines above
+    their threshold. What is in it, or directly in the containers around it, is the article. Another branch of the page is
+    left out if no line of it is above the threshold; if the container is the page itself, so are such branches before the
+    first or after the last of these lines. Lines that are mostly links go, but for those above the threshold in the container."""
     if not lines:
         return []
     size = np.array([len(t) for t, *_ in lines], float)
-    smooth = smoothed(size / np.array([1 + tags for _, tags, *_ in lines]))
+    ratios = size / np.array([1 + tags for _, tags, *_ in lines])
+    smooth = smoothed(ratios)
     high = smooth >= split_point(smooth)
     marked = np.array([x[4] >= 0 for x in lines])
     if (high & marked).any() and size[high & marked].sum() >= 0.5 * size[high].sum():
@@ -275,20 +317,31 @@ def content(lines: list[tuple[str, int, int, int, int]], elements: list[tuple[st
             if is_high:
                 told.add(region)
         return [x[0] for x in lines if x[4] >= 0 and (x[4] in told or linked_of[x[4]] <= LINKS * text_of[x[4]])]
-    held: dict[int, float] = {}
+    sharp = smoothed(ratios, SHARP)
+    high = sharp >= split_point(sharp)
+    held = [0.0] * len(elements)
     for i in np.flatnonzero(high).tolist():
-        e = lines[i][3]
-        while e >= 0:
-            held[e] = held.get(e, 0.0) + size[i]
-            e = elements[e][1]
+        held[lines[i][3]] += size[i]
+    # Element ids grow inwards: sums go from children to parents, and the last one that holds enough is the smallest.
+    for e in range(len(elements) - 1, 0, -1):
+        held[elements[e][1]] += held[e]
     enough = COVERED * float(size[high].sum())
-    # Element ids grow inwards, so the last one that holds enough is the smallest.
-    best = max(e for e, n in held.items() if n >= enough)
+    best = max(e for e, n in enumerate(held) if n >= enough)
+    around, e = set(), best
+    while e >= 0:
+        around.add(e)
+        e = elements[e][1]
+    root = elements[best][0] in ("#page", "html", "body")
+    within, told = [False] * len(elements), [False] * len(elements)
+    for e, (_, parent) in enumerate(elements):
+        within[e] = e == best or (parent >= 0 and within[parent])
+        # Whether the branch of the element has a line above the threshold.
+        told[e] = e in around or (held[e] > 0 if parent in around else told[parent])
+    first, last = np.flatnonzero(high)[[0, -1]].tolist()
     out = []
     for i, (text, _, linked, e, region) in enumerate(lines):
-        while e > best:
-            e = elements[e][1]
-        if region >= 0 or linked <= LINKS * len(text) or (e == best and high[i]):
+        stays = told[e] or (within[e] and (not root or first < i < last))
+        if region >= 0 or (stays and linked <= LINKS * len(text)) or (within[e] and high[i]):
             out.append(text)
     return out
 
