@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import dims
@@ -102,31 +102,29 @@ def regression_policy(
 
 
 NEVER = "$a"
-MOST_PATTERNS = 100_000
 
 
-def checked_patterns(suppressions: DataFrame) -> DataFrame:
-    """Suppressions whose url_pattern can be run: one that the JVM's own compiler refuses matches nothing instead of
-    failing the job. A list of suppressions is written by people, so its distinct patterns are checked on the driver;
-    beyond MOST_PATTERNS it is an error."""
-    spark = suppressions.sparkSession
-    found = [r[0] for r in suppressions.select("url_pattern").where("url_pattern <> ''").distinct().limit(MOST_PATTERNS + 1).collect()]
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} suppression patterns")
-    bad = [p for p in found if not _compiles(spark, p)]
-    pattern = F.nullif("url_pattern", F.lit(""))
-    return suppressions.withColumn("url_pattern", F.when(pattern.isin(bad), F.lit(NEVER)).otherwise(pattern) if bad else pattern)
+def required_literal(pattern: Column) -> Column:
+    """Longest text that every match of the pattern contains; '' where none is known.
 
+    Escaped signs and character classes stand for one unknown character. What is then left without groups, alternatives and
+    counted repeats is a sequence, whose runs of plain characters must all occur; a character that may be absent ends a run."""
+    plain = F.regexp_replace(F.regexp_replace(pattern, r"\\\W", "."), r"\[\^?[^\[\]\\&^]+\]", ".")
+    runs = F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9/_:=%~,;@ -]+(?![?*])"), F.lit(0))
+    longest = F.aggregate(runs, F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best))
+    return F.when(plain.rlike(r"[\\|()\[\]{}]"), F.lit("")).otherwise(longest)
 
-def _compiles(spark: SparkSession, pattern: str) -> bool:
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import PySparkException
 
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except (Py4JJavaError, PySparkException):
-        return False
-    return True
+def checked_patterns(suppressions: DataFrame) -> DataFrame:
+    """Suppressions whose url_pattern can be run, with the text that a match must contain (url_literal).
+
+    Each pattern is given to the JVM's own compiler in its row; one that it refuses matches nothing instead of failing the
+    job. No list of patterns passes through the driver, so their number has no limit."""
+    pattern = F.nullif("url_pattern", F.lit(""))
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("url_pattern"))
+    tried = suppressions.withColumn("url_pattern", pattern).withColumn("_compiled", compiled)
+    usable = F.when(F.col("url_pattern").isNotNull(), F.coalesce("_compiled", F.lit(NEVER)))
+    return tried.withColumn("url_pattern", usable).drop("_compiled").withColumn("url_literal", required_literal(F.col("url_pattern")))
 
 
 def _until(expires_at: str = "expires_at") -> Column:
@@ -137,11 +135,12 @@ def _until(expires_at: str = "expires_at") -> Column:
 def suppression_matches(suppressions: DataFrame, findings: DataFrame, today: Column) -> DataFrame:
     """Distinct matched URLs per suppression still in force.
 
-    Equality on site and rule first; the pattern is a residual. Findings are made distinct by URL before the
-    join, and findings without URL cannot match. Patterns come checked from :func:`checked_patterns`."""
+    Equality on site and rule first; the pattern is a residual, and its required text is looked for before the pattern is run,
+    since a pattern that changes from row to row is compiled for each. Findings are made distinct by URL before the join, and
+    findings without URL cannot match. Patterns come checked from :func:`checked_patterns`."""
     active = suppressions.filter(_until().isNull() | (_until() >= today))
     urls = findings.select("site_id", "rule_id", F.explode("affected_urls").alias("url")).distinct()
-    fits = F.col("url_pattern").isNull() | F.expr("url rlike url_pattern")
+    fits = F.col("url_pattern").isNull() | (F.col("url").contains(F.col("url_literal")) & F.expr("url rlike url_pattern"))
     return active.join(urls, ["site_id", "rule_id"]).filter(fits).select("site_id", "suppression_id", "rule_id", "url")
 
 
