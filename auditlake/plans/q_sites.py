@@ -8,6 +8,7 @@ from auditlake import dims
 from auditlake.functions import privacy as x
 from auditlake.functions import privacy_patterns as pat
 from auditlake.functions import urls as u
+from auditlake.functions.hosts import ascii_url
 from auditlake.operators import discovery as d
 from auditlake.operators import graph as g
 from auditlake.operators import pages as p
@@ -93,6 +94,16 @@ def u11(spark, sf):
     return inputs.texts(spark, sf).select("doc_id", u.text_shape(F.col("text")).alias("shape"))
 
 
+# Every document's first word as a host label: most are plain, some international. The coding can't be said in SQL.
+HOST_SQL = "doc_id, 'https://' || lower(regexp_extract(text, '(\\\\p{L}+)', 1)) || '.' || source || '.example/p/' || doc_id AS url"
+
+
+@query("U12_ascii_hosts")
+def u12_ascii(spark, sf):
+    urls = inputs.table(spark, sf, "documents").selectExpr(*inputs._split(HOST_SQL))
+    return urls.select("doc_id", "url", u.normalize_url(ascii_url(F.col("url"))).alias("normal"))
+
+
 @query("U14_site_slug", "SELECT c_custkey, regexp_replace(regexp_replace(lower(translate(c_name || ' Café & Co', 'áàâäéèêëíîïóôöúûüçñ', 'aaaaeeeeiiiooouuucn')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer")
 def u14(spark, sf):
     from auditlake.functions.text import site_slug
