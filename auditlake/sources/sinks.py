@@ -29,11 +29,12 @@ def gold(df: DataFrame, path: str, *, files_per_run: int | None = None) -> None:
 
 
 def upsert_runs(index: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Run index where an incoming run replaces the one with its scan id: latest completion wins, max combined map-side."""
-    rows = index.unionByName(incoming)
-    others = [c for c in rows.columns if c not in ("scan_id", "completed_at")]
-    best = rows.groupBy("scan_id").agg(F.max(F.struct("completed_at", *others)).alias("r"))
-    return best.select("scan_id", "r.*")
+    """Run index where an incoming run replaces the one with its scan id: latest completion wins, and the indexed run stays
+    where both completed at the same time. Max combined map-side."""
+    rows = index.withColumn("_indexed", F.lit(True)).unionByName(incoming.withColumn("_indexed", F.lit(False)))
+    others = [c for c in index.columns if c not in ("scan_id", "completed_at")]
+    best = rows.groupBy("scan_id").agg(F.max(F.struct("completed_at", "_indexed", *others)).alias("r"))
+    return best.select("scan_id", *[F.col(f"r.{c}").alias(c) for c in ("completed_at", *others)])
 
 
 def append_events(df: DataFrame, path: str) -> None:
