@@ -107,3 +107,29 @@ def test_sketches_roll_up(spark, tmp_path):
                 rank = sum(v <= r[name] for v in values) / len(values)
                 # Twice the bound of one sketch leaves room for merging.
                 assert abs(rank - p) <= 2 * jobs.rank_error(200)
+
+
+def test_hourly_values_roll_up_exactly(spark, tmp_path):
+    """Far more samples per group than a sketch keeps; late rows go, null values count as samples only."""
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    n = 60_000
+    rows = spark.range(n).select(
+        F.lit("s").alias("site_id"), F.when(F.col("id") % 3 > 0, "LCP").otherwise("INP").alias("metric"),
+        F.when(F.col("id") % 101 > 0, (F.col("id") * 7919 % 60_013) / 7).alias("value"), F.timestamp_seconds(F.col("id") % 172_800 + 1_704_067_200).alias("ts"),
+    )
+    rows.write.parquet(src)
+    put(spark, src, [("s", "CLS", None, T0 - timedelta(days=1))])
+    run = lambda: jobs.run_to_parquet(jobs.hourly_values(jobs.event_stream(spark, src, "*.parquet", EVENTS)), out, state)
+    put(spark, src, [("s", "LCP", 1.0, T0 + timedelta(days=9))])
+    run()
+    put(spark, src, [("s", "LCP", 1e9, T0)])
+    run()
+    kept = [(r.metric, r.value) for r in rows.collect()]
+    wanted = {"p50": 0.5, "p75": 0.75, "p95": 0.95}
+    got = {r.name: r for r in jobs.exact_vitals_of(spark.read.parquet(out), {"name": "metric"}, wanted).collect()}
+    assert set(got) == {"LCP", "INP", "CLS"} and got["CLS"].samples == 1 and got["CLS"].p75 is None
+    for metric in ("LCP", "INP"):
+        values = sorted(v for m, v in kept if m == metric and v is not None)
+        assert got[metric].samples == sum(m == metric for m, _ in kept)
+        for name, p in wanted.items():
+            assert got[metric][name] == values[-(-len(values) * int(p * 100) // 100) - 1]
