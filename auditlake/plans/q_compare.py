@@ -205,11 +205,13 @@ SCORE_CHECKS = {
 
 @query("V2_score_contract", fi.with_([fi.SCOREABLE, fi.LEDGER, qs.ALLOWED, fi.grp("sca", "ga"), qs.PROFILES, SC2], check_sql("sv", "site_id, run_id", SCORE_CHECKS)))
 def v2(spark, sf):
-    f, runs, led = fi.findings(spark, sf), fi.runs(spark, sf), fi.ledger(spark, sf)
     key = ["site_id", "run_id"]
-    total = s.primary_total(runs, f, led)
-    core = s.profiles(runs, f, led).filter("profile = 'core_seo'").select(*key, F.col("score").alias("core_score"))
-    scores = total.join(core, key).join(s.coverage(led, key), key).join(s.composite(qs.area_scores(spark, sf)), key)
+    led = materialise(fi.ledger(spark, sf), "ledger")
+    runs = materialise(led.select(*key).distinct(), "runs")
+    penalties = materialise(s.with_penalty(s.finding_groups(fi.findings(spark, sf))), "penalties")
+    core = s.profiles_of(runs, penalties, led).filter("profile = 'core_seo'").select(*key, F.col("score").alias("core_score"))
+    combined = s.composite(s.scores_by(runs, penalties, dims.AREAS, "area"))
+    scores = s.primary_of(runs, penalties, led).join(core, key).join(s.coverage(led, key), key).join(combined, key)
     return ck.score_contract(scores)
 
 
