@@ -9,10 +9,13 @@ from auditlake import dims
 from auditlake.functions import urls as u
 from auditlake.functions.numeric import lookup, name_of, rank_case, round_half_up
 from auditlake.functions.text import slugify
+from auditlake.operators.codes import KEY, coded, decoded
 from auditlake.operators.ranking import ranked, top_k
 
 SITE = ["site_id", "run_id"]
-GROUP = [*SITE, "rule_id", "title", "severity", "category"]
+RULE = ["rule_id", "title", "severity", "category"]
+GROUP = [*SITE, *RULE]
+OPTION = [*RULE, "recommendation", "fix_class"]
 FIX_ORDER_PLAN = ["safe_auto_fix", "approval_required", "manual_strategy"]
 FIX_ORDER_QUEUE = ["safe_auto_fix", "manual_strategy", "approval_required", "not_applicable"]
 EFFORTS = ["small", "medium", "large"]
@@ -126,18 +129,31 @@ def queue_facts(findings: DataFrame) -> DataFrame:
     """The one pass over the findings that plan and queue need: per group and option the count, the flags, the evidence
     and the first finding. Everything below works on these few rows.
 
-    Names inside the buffers are kept as positions, so this stays a hash aggregation with map-side combine."""
-    first = lambda c: F.min_by(c, F.col("ord"))
-    return findings.groupBy(*GROUP, "recommendation", "fix_class").agg(
-        F.count("*").alias("n"),
-        F.sum("evidence_count").alias("evidence"),
-        F.min("ord").alias("ord"),
-        first(F.col("approval_required")).alias("approval_required"),
-        first(F.col("safe_to_auto_fix")).alias("safe_to_auto_fix"),
-        first(F.col("n_affected")).alias("n_affected"),
-        first(rank_case(F.col("effort"), EFFORTS)).alias("k_effort"),
-        first(rank_case(F.col("risk"), RISKS)).alias("k_risk"),
+    Flags and places of enum values of the first finding lie in the bits of one number, and the rule's texts are a number
+    too: rows stay short, and this stays a hash aggregation with map-side combine."""
+    c, kind = F.col, findings.schema["n_affected"].dataType
+    bits = [
+        (c("n_affected").isNull().cast("int"), 1), (_flag("approval_required"), 2), (_flag("safe_to_auto_fix"), 2),
+        (rank_case(c("effort"), EFFORTS), 2), (rank_case(c("risk"), RISKS), 2),
+    ]
+    packed = F.coalesce(c("n_affected").cast("long"), F.lit(0))
+    for value, width in bits:
+        packed = F.shiftleft(packed, width) + value
+    rows = coded(findings, OPTION).select(*SITE, *KEY, "ord", "evidence_count", packed.alias("first"))
+    short = rows.groupBy(*SITE, *KEY).agg(
+        F.count("*").alias("n"), F.sum("evidence_count").alias("evidence"), F.min("ord").alias("ord"), F.min_by("first", "ord").alias("first")
     )
+    part = lambda shift, width=2: F.shiftright("first", shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    flag = lambda shift: F.when(part(shift) < 2, part(shift) == 1)
+    return decoded(short, OPTION).select(
+        *GROUP, "recommendation", "fix_class", "n", "evidence", "ord", flag(6).alias("approval_required"), flag(4).alias("safe_to_auto_fix"),
+        F.when(part(8, 1) == 0, F.shiftright("first", 9)).cast(kind).alias("n_affected"), part(2).alias("k_effort"), part(0).alias("k_risk"),
+    )
+
+
+def _flag(column: str) -> Column:
+    """0 or 1, 2 for null."""
+    return F.coalesce(F.col(column).cast("int"), F.lit(2))
 
 
 def first_by_rule(facts: DataFrame) -> DataFrame:
@@ -149,19 +165,19 @@ def first_by_rule(facts: DataFrame) -> DataFrame:
 
 def unique_options(facts: DataFrame) -> DataFrame:
     """Remediation options, first of each (rule, advice, fix class) kept."""
-    first = lambda c: F.min_by(c, "ord")
-    best = facts.groupBy(*SITE, "rule_id", "recommendation", "fix_class").agg(
-        F.min("ord").alias("ord"), first("k_effort").alias("k_effort"), first("k_risk").alias("k_risk")
-    )
+    advice = ["rule_id", "recommendation", "fix_class"]
+    marks = (F.col("k_effort") * 4 + F.col("k_risk")).alias("marks")
+    short = coded(facts.select(*SITE, *advice, "ord", marks), advice).groupBy(*SITE, *KEY)
+    best = decoded(short.agg(F.min("ord").alias("ord"), F.min_by("marks", "ord").alias("marks")), advice)
     return best.select(
-        *SITE, "rule_id", "recommendation", "fix_class", "ord", name_of(F.col("k_effort"), EFFORTS).alias("effort"),
-        name_of(F.col("k_risk"), RISKS).alias("risk"),
-    )
+        *SITE, *advice, "ord", name_of(F.floor(F.col("marks") / 4).cast("int"), EFFORTS).alias("effort"), name_of(F.col("marks") % 4, RISKS).alias("risk")
+    )
 
 
 def last_groups(facts: DataFrame) -> DataFrame:
     """Count and evidence of the last group of each rule in the order severity, count, title: it wins the lookup by rule."""
-    groups = facts.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.sum("evidence").alias("evidence"))
+    short = coded(facts.select(*GROUP, "n", "evidence"), RULE).groupBy(*SITE, *KEY)
+    groups = decoded(short.agg(F.sum("n").alias("n"), F.sum("evidence").alias("evidence")), RULE)
     order = F.struct(
         rank_case(F.col("severity"), dims.SEVERITIES).alias("k1"), (-F.col("n")).alias("k2"), F.col("title").alias("k3")
     )
