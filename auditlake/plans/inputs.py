@@ -87,6 +87,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Short rows that each stand for much work, dealt out by ``key`` over the session's shuffle partitions: a table of few bytes
+    is read by one task otherwise, however long its rows take."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def page_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze pages with response facts."""
     bound = dealt(table(spark, sf_dir, "pages")).selectExpr(*_split(PAGE_RAW_SQL))

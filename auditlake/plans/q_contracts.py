@@ -193,7 +193,8 @@ def _register(name: str, doc: str, contract: ct.Contract, told: tuple) -> None:
     def documents(spark, sf):
         source = doc.rsplit(" FROM ", 1)[1].rstrip(")")
         key = doc.rsplit("(SELECT ", 1)[1].split(" AS k")[0]
-        return inputs.table(spark, sf, source).selectExpr(f"{key} AS k").selectExpr("k", doc.split("SELECT k, ", 1)[1].rsplit(" FROM (SELECT", 1)[0])
+        keys = inputs.spread(inputs.table(spark, sf, source).selectExpr(f"{key} AS k"), "k")
+        return keys.selectExpr("k", doc.split("SELECT k, ", 1)[1].rsplit(" FROM (SELECT", 1)[0])
 
     @query(f"{name}_violations", f"{with_} SELECT k, check_id, path FROM chk WHERE NOT ok")
     def violations(spark, sf):
