@@ -363,6 +363,6 @@ def s7(spark, sf):
 @query("S8_search_metrics", o.with_([SR], "SELECT site_id, url, metric, dims, count(*) AS n, sum(value) AS total FROM (SELECT site_id, page AS url, unnest(['clicks', 'impressions', 'ctr', 'position']) AS metric, unnest([clicks, impressions, 0, position])::DOUBLE AS value, 'query=' || query AS dims FROM sr) GROUP BY 1, 2, 3, 4"))
 def s8(spark, sf):
     rows = search_rows(spark, sf).withColumns({"ctr": F.lit(0.0), "device": F.lit(""), "country": F.lit(None).cast("string")})
-    long = fd.search_metrics(rows, KEY)
+    long = fd.search_totals(rows, KEY)
     dims_ = F.array_join(F.transform(F.map_entries("dimensions"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return long.groupBy("site_id", "url", "metric", dims_.alias("dims")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return long.select("site_id", "url", "metric", dims_.alias("dims"), "n", "total")
