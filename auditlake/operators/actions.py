@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake import dims
@@ -156,13 +157,6 @@ def _flag(column: str) -> Column:
     return F.coalesce(F.col(column).cast("int"), F.lit(2))
 
 
-def first_by_rule(facts: DataFrame) -> DataFrame:
-    """The first finding of each rule in a run speaks for it."""
-    cols = ["title", "severity", "category", "approval_required", "safe_to_auto_fix", "n_affected"]
-    firsts = facts.groupBy(*SITE, "rule_id").agg(F.min(F.struct("ord", *cols)).alias("f"))
-    return firsts.select(*SITE, "rule_id", *[F.col(f"f.{c}").alias(c) for c in cols])
-
-
 def unique_options(facts: DataFrame) -> DataFrame:
     """Remediation options, first of each (rule, advice, fix class) kept."""
     advice = ["rule_id", "recommendation", "fix_class"]
@@ -174,48 +168,70 @@ def unique_options(facts: DataFrame) -> DataFrame:
     )
 
 
-def last_groups(facts: DataFrame) -> DataFrame:
-    """Count and evidence of the last group of each rule in the order severity, count, title: it wins the lookup by rule."""
-    short = coded(facts.select(*GROUP, "n", "evidence"), RULE).groupBy(*SITE, *KEY)
-    groups = decoded(short.agg(F.sum("n").alias("n"), F.sum("evidence").alias("evidence")), RULE)
-    order = F.struct(
-        rank_case(F.col("severity"), dims.SEVERITIES).alias("k1"), (-F.col("n")).alias("k2"), F.col("title").alias("k3")
-    )
-    return groups.groupBy(*SITE, "rule_id").agg(
-        F.max_by("n", order).alias("instances"), F.max_by("evidence", order).alias("n_evidence")
-    )
+def told(facts: DataFrame) -> DataFrame:
+    """Facts with what the first finding and the last group of their rule tell, their place among the rule's facts and among those
+    of their option, and the option's rank in the plan.
+
+    A run has few facts, however many findings it has. So the facts of a run meet in one task: they travel once, with short
+    keys, and everything is a window inside the run instead of a join. The last group is the one that wins the lookup by rule in
+    the order severity, count, title."""
+    c = F.col
+    rows = facts.filter(c("site_id").isNotNull() & c("run_id").isNotNull() & c("rule_id").isNotNull())
+    rows = decoded(coded(rows, OPTION).repartition(*SITE), OPTION)
+    rule, option = W.partitionBy(*SITE, "rule_id"), W.partitionBy(*SITE, "rule_id", "recommendation", "fix_class")
+    seen = [c("ord").asc_nulls_last(), c("k_effort"), c("k_risk")]
+    first = F.struct("ord", "title", "severity", "category", "approval_required", "safe_to_auto_fix", "n_affected")
+    rows = rows.select(
+        "*",
+        F.min(first).over(rule).alias("first"), F.sum("n").over(rule).alias("n_findings"),
+        F.row_number().over(rule.orderBy(*seen)).alias("rule_no"), F.row_number().over(option.orderBy(*seen)).alias("option_no"),
+        F.max(F.coalesce(c("fix_class") != "not_applicable", F.lit(False))).over(rule).alias("has_option"),
+        F.sum("n").over(W.partitionBy(*GROUP)).alias("group_n"), F.sum("evidence").over(W.partitionBy(*GROUP)).alias("group_evidence"),
+    )
+    order = [rank_case(c("severity"), dims.SEVERITIES).alias("k1"), (-c("group_n")).alias("k2"), c("title").alias("k3")]
+    last = F.max(F.struct(*order, c("group_n").alias("instances"), c("group_evidence").alias("n_evidence"))).over(rule)
+    rows = rows.select(
+        *SITE, "rule_id", "recommendation", "fix_class", name_of(c("k_effort"), EFFORTS).alias("effort"), name_of(c("k_risk"), RISKS).alias("risk"),
+        "ord", "first", last.alias("last"), "n_findings", "rule_no", "option_no", "has_option",
+    )
+    place = W.partitionBy(*SITE).orderBy(c("option_no") > 1, *_plan_keys().values(), "ord", "rule_id", "recommendation")
+    return rows.withColumn("plan_rank", F.row_number().over(place).cast("long"))
+
+
+def _plan_keys() -> dict[str, Column]:
+    """Plan order: severity, fix class, affected count, effort, then first seen."""
+    c = F.col
+    return {
+        "k_severity": rank_case(c("first.severity"), dims.SEVERITIES), "k_fix": rank_case(c("fix_class"), FIX_ORDER_PLAN),
+        "k_affected": -c("first.n_affected"), "k_effort": rank_case(c("effort"), EFFORTS),
+    }
 
 
 def plan(facts: DataFrame) -> DataFrame:
-    """Options with the keys of their order and their phase (NULL where no phase applies)."""
-    options = unique_options(facts).join(first_by_rule(facts), [*SITE, "rule_id"])
+    """Options with their rank, the keys of their order and their phase (NULL where no phase applies)."""
+    return plan_of(told(facts))
+
+
+def plan_of(rows: DataFrame) -> DataFrame:
+    """The plan from what :func:`told` gives."""
     c = F.col
+    severity, category = c("first.severity"), c("first.category")
     open_ = c("fix_class") != "approval_required"
-    agent = c("category").isin(AGENT)
+    agent = category.isin(AGENT)
     phase = (
         F.when(~open_, "user_decision_required")
-        .when(c("severity").isin("critical", "high") & ~agent, "do_now_seo")
-        .when(c("severity").isin("critical", "high") & agent, "do_now_agent")
-        .when((c("severity") == "medium") & ~agent, "do_next_seo")
-        .when(c("severity").isin("medium", "low") & agent, "do_next_agent")
-        .when(c("severity").isin("low", "info") & ~agent, "later")
+        .when(severity.isin("critical", "high") & ~agent, "do_now_seo")
+        .when(severity.isin("critical", "high") & agent, "do_now_agent")
+        .when((severity == "medium") & ~agent, "do_next_seo")
+        .when(severity.isin("medium", "low") & agent, "do_next_agent")
+        .when(severity.isin("low", "info") & ~agent, "later")
     )
-    return options.select(
-        *SITE, "rule_id", "recommendation", "fix_class", "effort", "risk", "ord", "severity", "category",
-        phase.alias("phase_id"),
-        rank_case(c("severity"), dims.SEVERITIES).alias("k_severity"),
-        rank_case(c("fix_class"), FIX_ORDER_PLAN).alias("k_fix"),
-        (-c("n_affected")).alias("k_affected"),
-        rank_case(c("effort"), EFFORTS).alias("k_effort"),
+    return rows.filter("option_no = 1").select(
+        *SITE, "rule_id", "recommendation", "fix_class", "effort", "risk", "ord", severity.alias("severity"), category.alias("category"),
+        phase.alias("phase_id"), *[key.alias(name) for name, key in _plan_keys().items()], "plan_rank",
     )
 
 
-def ordered_plan(options: DataFrame) -> DataFrame:
-    """Plan order: severity, fix class, affected count, effort, first seen. Severity and class bucket the sort."""
-    order = [F.col(k) for k in ("k_severity", "k_fix", "k_affected", "k_effort", "ord", "rule_id", "recommendation")]
-    return ranked(options, SITE, F.col("k_severity") * 10 + F.col("k_fix"), order, "plan_rank")
-
-
 def finding_groups(findings: DataFrame) -> DataFrame:
     """Groups for the queue: counts, flags, evidence, first position, distinct URL count by two-level grouping."""
     base = findings.groupBy(*GROUP).agg(
@@ -237,31 +253,28 @@ def finding_groups(findings: DataFrame) -> DataFrame:
 
 def queue(facts: DataFrame) -> DataFrame:
     """Queue items: every option with its first finding and the last group of the rule, then the rules left over."""
-    c = F.col
-    firsts, last = first_by_rule(facts), last_groups(facts)
-    has_option = facts.filter(c("fix_class") != "not_applicable")
-    options = unique_options(has_option).join(firsts, [*SITE, "rule_id"]).join(last, [*SITE, "rule_id"])
-    from_options = options.select(
-        *SITE,
-        slugify(F.concat_ws("-", "rule_id", "rule_id", F.lit("FIX"))).alias("item_id"),
-        "rule_id", c("recommendation").alias("item_title"), "severity", "category", "fix_class", "effort", "risk",
-        ((c("fix_class") == "approval_required") | c("approval_required")).alias("approval_required"),
-        ((c("fix_class") == "safe_auto_fix") & ~c("approval_required")).alias("safe_to_auto_fix"),
-        "instances", "n_evidence",
-    )
-    rest = firsts.join(from_options.select(*SITE, "rule_id").distinct(), [*SITE, "rule_id"], "left_anti").join(
-        last, [*SITE, "rule_id"]
-    )
-    from_findings = rest.select(
+    return queue_of(told(facts))
+
+
+def queue_of(rows: DataFrame) -> DataFrame:
+    """The queue from what :func:`told` gives."""
+    c, f = F.col, lambda name: F.col("first")[name]
+    of_option = (c("option_no") == 1) & (c("fix_class") != "not_applicable")
+    # A rule without an option has one item, which its first finding tells.
+    left_over = (c("rule_no") == 1) & ~c("has_option")
+    either = lambda option, finding: F.when(c("has_option"), option).otherwise(finding)
+    approval, safe, severe = f("approval_required"), f("safe_to_auto_fix"), f("severity").isin("critical", "high")
+    items = rows.filter(of_option | left_over).select(
         *SITE,
-        slugify(F.concat_ws("-", "rule_id", F.lit("finding"))).alias("item_id"),
-        "rule_id", c("title").alias("item_title"), "severity", "category",
-        F.when(c("approval_required"), "approval_required").when(c("safe_to_auto_fix"), "safe_auto_fix").otherwise("manual_strategy").alias("fix_class"),
-        F.when(c("severity").isin("critical", "high"), "medium").otherwise("small").alias("effort"),
-        F.when(c("approval_required"), "high").when(c("severity") == "critical", "medium").otherwise("low").alias("risk"),
-        "approval_required", "safe_to_auto_fix", "instances", "n_evidence",
+        either(slugify(F.concat_ws("-", "rule_id", "rule_id", F.lit("FIX"))), slugify(F.concat_ws("-", "rule_id", F.lit("finding")))).alias("item_id"),
+        "rule_id", either(c("recommendation"), f("title")).alias("item_title"), f("severity").alias("severity"), f("category").alias("category"),
+        either(c("fix_class"), F.when(approval, "approval_required").when(safe, "safe_auto_fix").otherwise("manual_strategy")).alias("fix_class"),
+        either(c("effort"), F.when(severe, "medium").otherwise("small")).alias("effort"),
+        either(c("risk"), F.when(approval, "high").when(f("severity") == "critical", "medium").otherwise("low")).alias("risk"),
+        either((c("fix_class") == "approval_required") | approval, approval).alias("approval_required"),
+        either((c("fix_class") == "safe_auto_fix") & ~approval, safe).alias("safe_to_auto_fix"),
+        c("last")["instances"].alias("instances"), c("last")["n_evidence"].alias("n_evidence"),
     )
-    items = from_options.unionByName(from_findings)
     return items.select("*", impact(c("severity")).alias("expected_impact"), owner(c("category")).alias("owner"))
 
 

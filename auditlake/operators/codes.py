@@ -10,7 +10,10 @@ from auditlake.functions.numeric import lookup, rank_case
 
 #: Columns that :func:`coded` leaves in place of the given ones.
 KEY = ["_code", "_own"]
-_ENUMS = {"severity": dims.SEVERITIES, "fix_class": ["safe_auto_fix", "approval_required", "manual_strategy", "not_applicable"]}
+_ENUMS = {
+    "severity": dims.SEVERITIES, "fix_class": ["safe_auto_fix", "approval_required", "manual_strategy", "not_applicable"],
+    "effort": ["small", "medium", "large"], "risk": ["low", "medium", "high"], "status": ["open", "warning", "passed", "not_applicable"],
+}
 _BASE = 8
 
 
@@ -43,3 +46,14 @@ def decoded(rows: DataFrame, columns: list[str]) -> DataFrame:
         if x not in _ENUMS:
             back[x] = F.get(_texts(x), rest)
     return rows.withColumns({x: F.coalesce(back[x], c("_own")[x]) for x in columns}).drop(*KEY)
+
+
+def short_url(url: Column, site: Column) -> Column:
+    """A URL below its site without the site, any other one marked; :func:`long_url` gives it back."""
+    rest = F.substring(url, F.length(site) + 1, F.length(url))
+    return F.when(url.startswith(site), F.concat(F.lit("/"), rest)).otherwise(F.concat(F.lit("u"), url))
+
+
+def long_url(short: Column, site: Column) -> Column:
+    rest = F.substring(short, F.lit(2), F.length(short))
+    return F.when(short.startswith("/"), F.concat(site, rest)).otherwise(rest)

@@ -452,15 +452,18 @@ def coverage_ledger(runs: DataFrame, counts: DataFrame, *, strict_coverage: bool
     """One row per rule and run: passed, failed, not_applicable or not_measured.
 
     ``runs``: site_id, run_id, site_type, lcp_measured and the include flags. The catalogue side is a fixed
-    list of rules exploded from a literal, so there is no cross join."""
+    list of rules exploded from a literal, so there is no cross join. ``counts``: one row per run and rule with n_findings; those
+    of the catalogue's rules meet the run as one short map, so the ledger's rows themselves are not exchanged."""
     cat = F.array(
         *[
             F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["category"]).alias("category"), F.lit(r["fix"] != "-").alias("has_evaluator"))
             for r in dims.RULES
         ]
     )
-    ledger = runs.select("*", F.explode(cat).alias("r")).select(*runs.columns, "r.rule_id", "r.category", "r.has_evaluator")
     c = F.col
+    per_rule = F.map_from_entries(F.collect_list(F.struct("rule_id", "n_findings")))
+    of_run = counts.filter(c("rule_id").isin([r["rule_id"] for r in dims.RULES])).groupBy(*SITE).agg(per_rule.alias("_counts"))
+    ledger = runs.join(of_run, SITE, "left").select("*", F.explode(cat).alias("r")).select(*runs.columns, "_counts", "r.rule_id", "r.category", "r.has_evaluator")
     applicable = (
         F.when(c("rule_id").startswith("AR-") & ~c("include_agent"), False)
         .when(c("rule_id").startswith("SEO-SEARCH-") & ~c("include_search"), False)
@@ -477,9 +480,8 @@ def coverage_ledger(runs: DataFrame, counts: DataFrame, *, strict_coverage: bool
     measured = ~((c("rule_id") == "SEO-PERF-001") & ~c("lcp_measured"))
     if strict_coverage:
         measured = measured & c("has_evaluator")
-    found = F.coalesce(c("n_findings"), F.lit(0))
-    joined = ledger.join(counts, [*SITE, "rule_id"], "left").withColumn("applicable", applicable)
-    return joined.select(
+    found = F.coalesce(F.try_element_at("_counts", c("rule_id")), F.lit(0))
+    return ledger.withColumn("applicable", applicable).select(
         *SITE,
         "rule_id",
         "category",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake import dims
 from auditlake.functions.numeric import clamp, lookup
-from auditlake.operators.codes import KEY, coded, decoded
+from auditlake.operators.codes import KEY, coded, decoded, short_url
 from auditlake.session import materialise
 
 SITE = ["site_id", "run_id"]
@@ -49,9 +49,7 @@ def _counted(facts: DataFrame) -> DataFrame:
     multi-distinct expansion. Nearly every value is its own row, so rows are kept short: a URL below its site leaves the
     site out, and the rule's texts are a number."""
     c = F.col
-    below = c("value").startswith(c("site_id"))
-    url = F.when(below, F.concat(F.lit("/"), F.substring("value", F.length("site_id") + 1, F.length("value")))).otherwise(F.concat(F.lit("u"), c("value")))
-    fact = F.when(c("kind") == "u", url).otherwise(F.concat(F.lit("t"), c("value")))
+    fact = F.when(c("kind") == "u", short_url(c("value"), c("site_id"))).otherwise(F.concat(F.lit("t"), c("value")))
     short = facts.select(*SITE, *KEY, fact.alias("fact"), (c("kind") == "f").cast("int").alias("n"), "confidence")
     by_value = short.groupBy(*SITE, *KEY, "fact").agg(F.sum("n").alias("n"), F.max("confidence").alias("confidence"))
     groups = by_value.groupBy(*SITE, *KEY).agg(

@@ -122,22 +122,22 @@ def run_tables(spark, sf):
     commit breaks off before its end. What is read are the rows of the finished ones."""
     root, commit = new_shared_path(spark, "gold"), goldstore.new_commit()
     found = fi.findings(spark, sf)
-    goldstore.add(root, commit, {"finding": found})
+    goldstore.add(root, commit, {"finding": gold.placed_findings(found)}, lying=["finding"])
     back = goldstore.written(spark, root, commit, "finding", found.schema)
     runs = back.select("site_id", "run_id").distinct()
     config = fi.run_config(spark, sf)
     penalties = materialise(sc.with_penalty(sc.finding_groups(back)), "penalties")
     rest = gold.derived_tables(back, penalties, config)
     rest["evidence"] = back.select("site_id", "run_id", "ord", "rule_id", F.explode("evidence_urls").alias("evidence_url"))
-    goldstore.add(root, commit, rest)
+    goldstore.add(root, commit, rest, lying=rest)
     goldstore.finish(root, commit, runs, {"finding": found.schema} | {name: df.schema for name, df in rest.items()})
 
-    newer = {name: goldstore.table(spark, root, name).filter("run_id = 'r1'") for name in GOLD}
-    goldstore.commit_tables(root, runs.filter("run_id = 'r1'"), newer)
-    goldstore.add(root, goldstore.new_commit(), {"finding": newer["finding"].withColumn("run_id", F.lit("r2"))})
-    out = None
+    newer = {name: rows.filter("run_id = 'r1'") for name, rows in goldstore.tables(spark, root, list(GOLD)).items()}
+    goldstore.commit_tables(root, runs.filter("run_id = 'r1'"), newer, lying=newer)
+    goldstore.add(root, goldstore.new_commit(), {"finding": newer["finding"].withColumn("run_id", F.lit("r2"))}, lying=["finding"])
+    out, seen = None, goldstore.tables(spark, root, list(GOLD))
     for name, (_, total) in GOLD.items():
-        rows = goldstore.table(spark, root, name).groupBy("run_id", "site_id").agg(F.count("*").alias("n"), F.sum(F.expr(total)).cast("long").alias("total"))
+        rows = seen[name].groupBy("run_id", "site_id").agg(F.count("*").alias("n"), F.sum(F.expr(total)).cast("long").alias("total"))
         rows = rows.withColumn("gold_table", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out

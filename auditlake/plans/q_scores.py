@@ -197,7 +197,7 @@ def queue_facts(spark, sf):
 
 @query("J4_option_order", fi.with_([FIRST, OPTS], f"SELECT site_id, run_id, rule_id, row_number() OVER (PARTITION BY site_id, run_id ORDER BY {PLAN_ORDER}) AS plan_rank FROM opt JOIN fst USING (site_id, run_id, rule_id)"))
 def j4(spark, sf):
-    return a.ordered_plan(a.plan(queue_facts(spark, sf))).select("site_id", "run_id", "rule_id", "plan_rank")
+    return a.plan(queue_facts(spark, sf)).select("site_id", "run_id", "rule_id", "plan_rank")
 
 
 @query("J5_unique_options", fi.with_([OPTS], "SELECT * FROM opt"))
