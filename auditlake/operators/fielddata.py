@@ -84,7 +84,8 @@ def _weighted_position(digits: int) -> Column:
     return round_half_up(F.sum(F.col("position") * F.col("impressions")) / F.nullif(F.sum("impressions"), F.lit(0)), digits)
 
 
-def search_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+def search_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Clicks, impressions, click rate and mean position weighted by impressions."""
     ctr = round_half_up(F.sum("clicks") / F.nullif(F.sum("impressions"), F.lit(0)), 4)
     return rows.groupBy(*keys).agg(
         F.sum("clicks").alias("clicks"),

@@ -165,7 +165,7 @@ POS = "floor(sum(position * impressions)::DOUBLE / nullif(sum(impressions), 0) *
 
 @query("F13_search_totals", o.with_([SR], f"SELECT site_id, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, floor(sum(clicks)::DOUBLE / nullif(sum(impressions), 0) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS average_ctr, {POS} AS average_position FROM sr GROUP BY 1"))
 def f13(spark, sf):
-    return fd.search_totals(search_rows(spark, sf), KEY)
+    return fd.search_summary(search_rows(spark, sf), KEY)
 
 
 def top(by):
