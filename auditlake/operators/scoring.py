@@ -65,9 +65,15 @@ def finding_groups(findings: DataFrame) -> DataFrame:
     return _counted(_facts(coded(_scoreable(findings), RULE), [*SITE, *KEY]))
 
 
+def sorted_side(side: DataFrame) -> DataFrame:
+    """``side`` as one side of a join that sorts both. Rows per run repeat their texts, so files of a byte a row look small to
+    the planner, which then sends more than a gigabyte of rows through the driver."""
+    return side.hint("merge")
+
+
 def allowed_groups(groups: DataFrame, allowed: DataFrame) -> DataFrame:
     """Groups of allow-listed rules. The rule is part of the group key, so the few groups are filtered, not the findings."""
-    return groups.join(allowed, [*SITE, "rule_id"], "left_semi")
+    return groups.join(sorted_side(allowed), [*SITE, "rule_id"], "left_semi")
 
 
 def penalty(severity: Column, confidence: Column, repeats: Column) -> Column:
@@ -105,7 +111,7 @@ def scores_by(runs: DataFrame, penalties: DataFrame, mapping: dict[str, list[str
     long = penalties.select(*SITE, "penalty", F.explode(_memberships(mapping)).alias(key))
     sums = long.groupBy(*SITE, key).agg(F.sum("penalty").alias("total_penalty"))
     grid = runs.select(*SITE, F.explode(F.array(*[F.lit(a) for a in mapping])).alias(key))
-    return grid.join(sums, [*SITE, key], "left").select(*SITE, key, score_of(F.col("total_penalty")).alias("score"))
+    return grid.join(sorted_side(sums), [*SITE, key], "left").select(*SITE, key, score_of(F.col("total_penalty")).alias("score"))
 
 
 def stable_measured(ledger: DataFrame) -> DataFrame:
@@ -165,9 +171,8 @@ def profiles_of(runs: DataFrame, penalties: DataFrame, ledger: DataFrame) -> Dat
     restricted = allowed_groups(penalties, stable_measured(ledger))
     scores = scores_by(runs, restricted, core, "profile").unionByName(scores_by(runs, penalties, rest, "profile"))
     member = ledger.select("*", F.explode(_memberships(dims.PROFILES)).alias("profile"))
-    return scores.join(coverage(member, [*SITE, "profile"]), [*SITE, "profile"], "left").withColumn(
-        "level", level(F.col("score"))
-    )
+    covered = sorted_side(coverage(member, [*SITE, "profile"]))
+    return scores.join(covered, [*SITE, "profile"], "left").withColumn("level", level(F.col("score")))
 
 
 def level(score: Column) -> Column:
