@@ -211,7 +211,9 @@ def v2(spark, sf):
     penalties = materialise(s.with_penalty(s.finding_groups(fi.findings(spark, sf))), "penalties")
     core = s.profiles_of(runs, penalties, led).filter("profile = 'core_seo'").select(*key, F.col("score").alias("core_score"))
     combined = s.composite(s.scores_by(runs, penalties, dims.AREAS, "area"))
-    scores = s.primary_of(runs, penalties, led).join(core, key).join(s.coverage(led, key), key).join(combined, key)
+    scores = s.primary_of(runs, penalties, led)
+    for of_run in (core, s.coverage(led, key), combined):
+        scores = scores.join(s.sorted_side(of_run), key)
     return ck.score_contract(scores)
 
 

@@ -42,7 +42,7 @@ def test_profiles_of_written_tables(spark):
     assert len(rows) == 4 * len(dims.PROFILES) and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["C6_score_profiles"])
+@pytest.mark.parametrize("name", ["C6_score_profiles", "V2_score_contract"])
 def test_no_side_is_broadcast(spark, lines, name):
     rows, plan = ran(QUERIES[name](spark, lines))
     assert rows and "SortMergeJoin" in plan and "Broadcast" not in plan
